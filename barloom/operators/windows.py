@@ -94,14 +94,14 @@ def derivatives(
             d = [level_one(w, c, k) for k in range(3)]
             out[f"{c}_return"] = d[0]
             if acceleration:
-                out[f"{c}_return_acceleration"] = d[0] - d[1]
+                out[f"{c}_acceleration"] = d[0] - d[1]
             if acceleration and jerk:
-                out[f"{c}_return_acceleration_jerk"] = (d[0] - d[1]) - (d[1] - d[2])
+                out[f"{c}_jerk"] = (d[0] - d[1]) - (d[1] - d[2])
         return out
 
     plain = bounded(filled, g, exprs, back=3).drop(*[f"_p_{c}" for c in pct_cols])
     added = [c for c in plain.columns if c not in df.columns]
-    held = [c for c in added if any(c.startswith(h + "_return") for h in hold_zero)]
+    held = [c for c in added if any(c.startswith(f"{h}_") for h in hold_zero)]
     if held:
         plain = running(plain, g, {c: ("last", F.when(F.col(c) != 0, F.col(c))) for c in held}).fillna(0.0, held)
     return fill_both(plain, g, [c for c in added if c not in held])
