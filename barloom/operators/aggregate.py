@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def band_thresholds(df: DataFrame, keys: Sequence[str], cols: Sequence[str], z: float = 1.96) -> DataFrame:
@@ -14,3 +14,164 @@ def band_thresholds(df: DataFrame, keys: Sequence[str], cols: Sequence[str], z:
         aggs.append((F.avg(c) - z * F.stddev_samp(c)).alias(f"{c}_low"))
         aggs.append((F.avg(c) + z * F.stddev_samp(c)).alias(f"{c}_high"))
     return df.groupBy(*keys).agg(*aggs)
+
+
+def long_thresholds(wide: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """One row per key and column from the wide ``<c>_low`` / ``<c>_high`` row."""
+    return wide.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"{c}_low").alias("low"), F.col(f"{c}_high").alias("high")) for c in cols
+    ])).alias("_t")).select(*keys, "_t.*")
+
+
+def outlier_thresholds(df: DataFrame, keys: Sequence[str], cols: Sequence[str], prices: Sequence[str], z: float = 4.0) -> DataFrame:
+    """Wide thresholds: mean - z std to mean + z std; prices 0 to mean + 9.5 std (10 for a high)."""
+    aggs = []
+    for c in cols:
+        mean, std = F.avg(c), F.stddev_samp(c)
+        if c in prices:
+            aggs += [F.lit(0.0).alias(f"{c}_low"), (mean + (10.0 if c.endswith("high") else 9.5) * std).alias(f"{c}_high")]
+        else:
+            aggs += [(mean - z * std).alias(f"{c}_low"), (mean + z * std).alias(f"{c}_high")]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], parts: int = 64) -> DataFrame:
+    """Linear-interpolated quantiles, exact, as array ``quantiles`` per key.
+
+    ``percentile`` would hold every distinct value of a hot key in one task. Here values are counted
+    first (spread over all tasks), cut into ``parts`` ranges by an approximate sketch of bounded size,
+    and ranked inside each range; the ranks needed are then picked by plain minima.
+    """
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(
+        "_v", [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
+    ranged = counts.join(cuts, list(keys)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    by_part = [*keys, "_part"]
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy(*by_part).agg(F.sum("_n").alias("_m")).select(
+        *by_part, F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"),
+        F.sum("_m").over(Window.partitionBy(*keys)).alias("_total"))
+    inside = Window.partitionBy(*by_part).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = ranged.withColumn("_cum", F.sum("_n").over(inside)).join(offsets, by_part)
+    upto = F.col("_off") + F.col("_cum")
+    spot = lambda q: (F.col("_total") - 1) * F.lit(float(q))
+    picks, out = [], []
+    for i, q in enumerate(qs):
+        picks.append(F.min(F.when(upto > F.floor(spot(q)), F.col("_v"))).alias(f"_lo{i}"))
+        picks.append(F.min(F.when(upto > F.ceil(spot(q)), F.col("_v"))).alias(f"_hi{i}"))
+        out.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot(q) - F.floor(spot(q))))
+    return ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks).select(*keys, F.array(*out).alias("quantiles"))
+
+
+def most_frequent(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
+    """Most frequent value per key, the smallest one on ties."""
+    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(*keys).agg(F.min(F.struct(-F.col("_n"), F.col(col).alias("v"))).alias("_m")).select(*keys, F.col("_m.v").alias(col))
+
+
+def imputer_statistics(df: DataFrame, numbers: Sequence[str], strings: Sequence[str]) -> DataFrame:
+    """One row per column: median of numbers, most frequent string."""
+    whole = df.withColumn("_all", F.lit(1))
+    parts = [
+        exact_quantiles(whole, ["_all"], c, [0.5]).select(
+            F.lit(c).alias("column"), F.col("quantiles")[0].alias("number"), F.lit(None).cast("string").alias("text"))
+        for c in numbers
+    ] + [
+        most_frequent(whole, ["_all"], c).select(
+            F.lit(c).alias("column"), F.lit(None).cast("double").alias("number"), F.col(c).alias("text"))
+        for c in strings
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def correlations(df: DataFrame, keys: Sequence[str], target: str, cols: Sequence[str]) -> DataFrame:
+    """|Pearson| of each column with the target, one aggregation for all columns."""
+    return df.groupBy(*keys).agg(*[F.abs(F.corr(target, c)).alias(c) for c in cols]).unpivot(
+        list(keys), list(cols), "feature", "score")
+
+
+def above_quantile(scores: DataFrame, keys: Sequence[str], q: float) -> DataFrame:
+    """Features whose score is above the q-quantile of their list."""
+    w = Window.partitionBy(*keys)
+    return scores.withColumn("_q", F.percentile("score", F.lit(q)).over(w)).where(F.col("score") > F.col("_q")).drop("_q")
+
+
+def correlation_matrix(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Pairwise |Pearson| x 100 over common rows (null becomes 100), one row per column pair.
+
+    The pairs are pairs of columns: their number does not depend on the rows, and one pass of partial
+    sums covers them all.
+    """
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    wide = df.groupBy(*keys).agg(*[F.corr(a, b).alias(f"_c{i}") for i, (a, b) in enumerate(pairs)])
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.abs(f"_c{i}") * 100, F.lit(100.0)).alias("score"))
+             for i, (a, b) in enumerate(pairs)]
+    return wide.select(*keys, F.explode(F.array(*cells)).alias("_p")).select(*keys, "_p.*")
+
+
+def peer_scores(wide: DataFrame, peers: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """Mean |corr| of each peer's one-bar-old columns with the current columns of all other peers, ranked.
+
+    ``wide`` holds ``<peer>_<kind>`` and ``<peer>_<kind>_shifted`` columns, one row per time.
+    """
+    rows = []
+    for p in peers:
+        terms = [F.abs(F.corr(f"{p}_{k}_shifted", f"{o}_{m}")) for k in kinds for o in peers if o != p for m in kinds]
+        rows.append((sum(terms[1:], terms[0]) / len(terms)).alias(p))
+    scores = wide.agg(*rows).unpivot([], list(peers), "series", "score")
+    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "series")))
+
+
+def train_peers(matrix: DataFrame, limit: float = 0.6, q: float = 0.25) -> DataFrame:
+    """Peers of each series whose |corr| exceeds min(limit, q-quantile of the series' own list).
+
+    ``matrix`` holds ``(series, peer, score)``, the series itself included with 1.
+    """
+    w = Window.partitionBy("series")
+    return matrix.withColumn("threshold", F.least(F.lit(limit), F.percentile("score", F.lit(q)).over(w))).where(
+        F.col("score") > F.col("threshold"))
+
+
+def full_matrix(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Both halves and the diagonal of a pair list, as ``(series, peer, score)`` with shares of 1."""
+    half = pairs.select(F.col("a").alias("series"), F.col("b").alias("peer"), (F.col("score") / 100).alias("score"))
+    other = half.select(F.col("peer").alias("series"), F.col("series").alias("peer"), "score")
+    own = half.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], half.schema)
+    return half.unionByName(other).unionByName(own)
+
+
+def crosstab(df: DataFrame, keys: Sequence[str], feature: str, up: Column) -> DataFrame:
+    """Counts of a feature value against the sign of the target."""
+    return df.groupBy(*keys, feature).agg(F.count_if(~up).alias("down"), F.count_if(up).alias("up"))
+
+
+def class_counts(df: DataFrame, keys: Sequence[str], col: str, classes: Sequence[str]) -> DataFrame:
+    """Counts of each class; absent classes count 0."""
+    return df.groupBy(*keys).agg(*[F.count_if(F.col(col) == c).alias(c) for c in classes])
+
+
+def distinct_counts(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
+    """Distinct values per column; ``approximate`` keeps one small sketch per column instead of the values."""
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    return df.agg(*[count(F.col(c)).alias(c) for c in cols]).unpivot([], list(cols), "column", "n")
+
+
+def fills_vwap(fills: DataFrame, bucket: Column) -> DataFrame:
+    """Filled orders by symbol, type, side and bucket: quantity and quantity-weighted prices."""
+    q = F.sum("quantity")
+    return fills.where(F.col("status") == "FILLED").groupBy("symbol", "type", "side", bucket.alias("bucket")).agg(
+        F.try_divide(F.sum(F.col("price") * F.col("quantity")), q).alias("avg_price"), q.alias("quantity"),
+        F.try_divide(F.sum(F.col("stop_price") * F.col("quantity")), q).alias("stop_price"))
+
+
+def portfolio(balances: DataFrame, prices: DataFrame, wrapped: dict[str, str], least: float = 10.0) -> DataFrame:
+    """Total balance per asset (wrapped assets count as their base) valued at the last price; small ones dropped."""
+    base = F.col("asset")
+    for k, v in wrapped.items():
+        base = F.when(F.col("asset") == k, F.lit(v)).otherwise(base)
+    total = balances.where(F.col("balance") > 0).groupBy(base.alias("asset")).agg(F.sum("balance").alias("total_balance"))
+    valued = total.join(prices, "asset").withColumn("usd_amount", F.abs("total_balance") * F.col("usd_price"))
+    return valued.where(F.col("usd_amount") > least).orderBy(F.col("usd_amount").desc())

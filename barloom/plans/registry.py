@@ -50,7 +50,8 @@ class Query:
         if self.sql is None:
             return None
         out = []
-        for name, kind in self.columns():
+        for column, kind in self.columns():
+            name = f'"{column}"'
             if kind == "s":
                 e = f"CAST({name} AS VARCHAR)"
             elif kind == "t":
