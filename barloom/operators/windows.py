@@ -390,3 +390,12 @@ def cumulative_share(df: DataFrame, keys: Sequence[str], item: str, weight: str)
     w = Window.partitionBy(*keys)
     run = w.orderBy(F.col(weight).desc(), item).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("share", F.try_divide(F.sum(weight).over(run), F.sum(weight).over(w)))
+
+
+def running_next(df: DataFrame, g: Grid, names: dict[str, str]) -> DataFrame:
+    """Columns ``{new: source}`` with the next known value of the source, the last one at the end."""
+    specs = {}
+    for n, c in names.items():
+        specs[f"_nx_{n}"], specs[f"_lt_{n}"] = ("next", F.col(c)), ("last", F.col(c))
+    out = running(df, g, specs)
+    return out.withColumns({n: F.coalesce(f"_nx_{n}", f"_lt_{n}") for n in names}).drop(*specs)
