@@ -115,8 +115,24 @@ def bounded(
     )
 
 
-# Running kinds: how a block is summed up, how summaries carry over, how a carry joins the local value.
-_RUNNING = ("last", "last_before", "next", "sum", "count", "min", "max")
+# Running kinds: the block total, how totals carry over, the value inside the block, and how both join.
+# {v} value, {k} position of a known value, {t} total, {l} local value, {c} carry.
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_RUNNING = {
+    "last": ("max_by({v}, {k})", "last({t}, true)", _BEFORE, "last({v}, true)", _UPTO, "coalesce({l}, {c})"),
+    "last_before": ("max_by({v}, {k})", "last({t}, true)", _BEFORE, "last({v}, true)", _BEFORE, "coalesce({l}, {c})"),
+    "next": ("min_by({v}, {k})", "first({t}, true)", "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING",
+             "first({v}, true)", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING", "coalesce({l}, {c})"),
+    "sum": ("sum({v})", "sum({t})", _BEFORE, "sum({v})", _UPTO, "coalesce({l} + {c}, {l}, {c})"),
+    "count": ("count({v})", "sum({t})", _BEFORE, "count({v})", _UPTO, "{l} + coalesce({c}, 0)"),
+    "min": ("min({v})", "min({t})", _BEFORE, "min({v})", _UPTO, "least({l}, {c})"),
+    "max": ("max({v})", "max({t})", _BEFORE, "max({v})", _UPTO, "greatest({l}, {c})"),
+}
+
+
+def _quoted(names: Iterable[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
 def running(df: DataFrame, g: Grid, specs: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -124,64 +140,25 @@ def running(df: DataFrame, g: Grid, specs: dict[str, tuple[str, Column]]) -> Dat
 
     ``last``        last non-null value up to the row      ``last_before``  the same, row excluded
     ``next``        first non-null value from the row on   ``sum/count/min/max``  running aggregate
+
+    The input is read twice (block totals, block rows): pass a table, see ``session.stage``.
     """
-    for kind, _ in specs.values():
-        if kind not in _RUNNING:
-            raise ValueError(f"unknown running kind {kind}")
     names = list(specs)
-    placed = position(df, g).withColumn("_blk", F.floor(F.col("_pos") / F.lit(g.block)))
-    placed = placed.withColumns({f"_v{i}": specs[n][1] for i, n in enumerate(names)})
-    by_block = g.key_list + ["_blk"]
-
-    total = []
-    for i, n in enumerate(names):
-        kind, v = specs[n][0], F.col(f"_v{i}")
-        known = F.when(v.isNotNull(), F.col("_pos"))
-        total.append({
-            "last": F.max_by(v, known), "last_before": F.max_by(v, known), "next": F.min_by(v, known),
-            "sum": F.sum(v), "count": F.count(v), "min": F.min(v), "max": F.max(v),
-        }[kind].alias(f"_t{i}"))
-    ordered = Window.partitionBy(*g.keys).orderBy("_blk")
-    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
-    carry = []
-    for i, n in enumerate(names):
-        kind, t = specs[n][0], F.col(f"_t{i}")
-        carry.append({
-            "last": F.last(t, True).over(before), "last_before": F.last(t, True).over(before),
-            "next": F.first(t, True).over(after), "sum": F.sum(t).over(before), "count": F.sum(t).over(before),
-            "min": F.min(t).over(before), "max": F.max(t).over(before),
-        }[kind].alias(f"_c{i}"))
-    carries = placed.groupBy(*by_block).agg(*total).select(*by_block, *carry)
-
-    local = Window.partitionBy(*by_block).orderBy("_pos")
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = local.rowsBetween(Window.unboundedPreceding, -1)
-    onward = local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    own = []
-    for i, n in enumerate(names):
-        kind, v = specs[n][0], F.col(f"_v{i}")
-        own.append({
-            "last": F.last(v, True).over(upto), "last_before": F.last(v, True).over(prior),
-            "next": F.first(v, True).over(onward), "sum": F.sum(v).over(upto), "count": F.count(v).over(upto),
-            "min": F.min(v).over(upto), "max": F.max(v).over(upto),
-        }[kind].alias(f"_l{i}"))
-    keep = [c for c in df.columns if c not in specs]
-    local_rows = placed.select(*[F.col(c) for c in keep], "_blk", *own)
-    joined = local_rows.join(carries, by_block)
-    out = []
-    for i, n in enumerate(names):
-        kind, l, c = specs[n][0], F.col(f"_l{i}"), F.col(f"_c{i}")
-        out.append({
-            "last": F.coalesce(l, c), "last_before": F.coalesce(l, c), "next": F.coalesce(l, c),
-            "sum": F.coalesce(l + c, l, c),
-            "count": l + F.coalesce(c, F.lit(0)),
-            "min": F.least(l, c), "max": F.greatest(l, c),
-        }[kind].alias(n))
-    return joined.select(*keep, *out)
-
-
-def _decay_step(step: float) -> Callable[[Column, Column], Column]:
-    return lambda acc, e: acc * F.lit(step) + e
+    parts = [_RUNNING[specs[n][0]] for n in names]
+    word = [{"v": f"_v{i}", "k": f"CASE WHEN _v{i} IS NOT NULL THEN _pos END", "t": f"_t{i}", "l": f"_l{i}", "c": f"_c{i}"}
+            for i in range(len(names))]
+    placed = position(df, g).withColumns({
+        "_blk": F.floor(F.col("_pos") / F.lit(g.block)), **{f"_v{i}": specs[n][1] for i, n in enumerate(names)}})
+    keys = _quoted(g.keys)
+    by_block = [*keys, "_blk"]
+    series = f"PARTITION BY {', '.join(keys)} ORDER BY _blk"
+    block = f"PARTITION BY {', '.join(by_block)} ORDER BY _pos"
+    totals = placed.groupBy(*g.keys, "_blk").agg(*[F.expr(p[0].format(**w)).alias(w["t"]) for p, w in zip(parts, word)])
+    carries = totals.selectExpr(*by_block, *[f"{p[1].format(**w)} OVER ({series} {p[2]}) AS {w['c']}" for p, w in zip(parts, word)])
+    keep = _quoted(c for c in df.columns if c not in specs)
+    rows = placed.selectExpr(*keep, "_blk", *[f"{p[3].format(**w)} OVER ({block} {p[4]}) AS {w['l']}" for p, w in zip(parts, word)])
+    return rows.join(carries, g.key_list + ["_blk"]).selectExpr(
+        *keep, *[f"{p[5].format(**w)} AS `{n}`" for n, p, w in zip(names, parts, word)])
 
 
 def ema(df: DataFrame, g: Grid, specs: dict[str, tuple[Column, float]]) -> DataFrame:
@@ -203,49 +180,37 @@ def ema(df: DataFrame, g: Grid, specs: dict[str, tuple[Column, float]]) -> DataF
     decay = [1 - work[n][1] for n in names]
     size = min([g.block] + [max(1, int(200 / -math.log10(d))) for d in decay])
     placed = position(df, g).withColumn("_blk", F.floor(F.col("_pos") / F.lit(size)))
-    placed = placed.withColumn("_r", (F.col("_pos") - F.col("_blk") * size).cast("double"))
-    placed = placed.withColumns({f"_x{i}": work[n][0].cast("double") for i, n in enumerate(names)})
-    by_block = g.key_list + ["_blk"]
+    placed = placed.withColumns({
+        "_r": (F.col("_pos") - F.col("_blk") * size).cast("double"), **{f"_x{i}": work[n][0].cast("double") for i, n in enumerate(names)}})
+    keys = _quoted(g.keys)
+    by_block = [*keys, "_blk"]
+    series = f"PARTITION BY {', '.join(keys)} ORDER BY _blk"
 
     total = [F.min("_r").alias("_r0")]
     for i, d in enumerate(decay):
-        total.append(F.sum((1 - d) * F.col(f"_x{i}") * F.pow(F.lit(d), size - 1 - F.col("_r"))).alias(f"_t{i}"))
+        total.append(F.expr(f"sum({1 - d!r}D * _x{i} * power({d!r}D, {size - 1} - _r))").alias(f"_t{i}"))
         total.append(F.min_by(f"_x{i}", "_pos").alias(f"_f{i}"))
-    ordered = Window.partitionBy(*g.keys).orderBy("_blk")
-    sums = placed.groupBy(*by_block).agg(*total).withColumn("_first", F.lag(F.lit(1)).over(ordered).isNull())
+    sums = placed.groupBy(*g.keys, "_blk").agg(*total).selectExpr("*", f"lag(1) OVER ({series}) IS NULL AS _first")
     # In a series' first block the carry is x_0, moved back to the block start.
-    sums = sums.withColumns({
-        f"_s{i}": F.when(F.col("_first"), F.col(f"_f{i}") * F.pow(F.lit(d), -F.col("_r0")))
-        for i, d in enumerate(decay)
-    })
-    sums = sums.withColumns({
-        f"_e{i}": F.col(f"_t{i}") + F.coalesce(F.col(f"_s{i}") * d**size, F.lit(0.0)) for i, d in enumerate(decay)
-    })
+    sums = sums.selectExpr("*", *[f"CASE WHEN _first THEN _f{i} * power({d!r}D, -_r0) END AS _s{i}" for i, d in enumerate(decay)])
+    sums = sums.selectExpr("*", *[f"_t{i} + coalesce(_s{i} * {d**size!r}D, 0D) AS _e{i}" for i, d in enumerate(decay)])
     carry = []
     for i, d in enumerate(decay):
-        step = d**size
         reach = max(1, math.ceil(60 / (-size * math.log10(d))))
         if reach == 1:
-            past = F.lag(f"_e{i}").over(ordered)
+            past = f"lag(_e{i}) OVER ({series})"
         else:
-            past = F.aggregate(
-                F.collect_list(f"_e{i}").over(ordered.rowsBetween(-reach, -1)),
-                F.lit(0.0),
-                _decay_step(step),
-            )
-        carry.append(F.coalesce(F.col(f"_s{i}"), past).alias(f"_c{i}"))
-    carries = sums.select(*by_block, *carry)
-
-    upto = Window.partitionBy(*by_block).orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    keep = [c for c in df.columns if c not in work]
-    local = placed.select(*keep, "_blk", "_r", *[
-        F.sum((1 - d) * F.col(f"_x{i}") * F.pow(F.lit(d), -F.col("_r"))).over(upto).alias(f"_l{i}")
-        for i, d in enumerate(decay)
-    ])
-    return local.join(carries, by_block).select(*keep, *[
-        (F.pow(F.lit(d), F.col("_r")) * (F.col(f"_l{i}") + F.lit(d) * F.col(f"_c{i}"))).alias(n)
-        for i, (n, d) in enumerate(zip(names, decay))
-    ])
+            past = (f"aggregate(collect_list(_e{i}) OVER ({series} ROWS BETWEEN {reach} PRECEDING AND 1 PRECEDING), "
+                    f"0D, (acc, e) -> acc * {d**size!r}D + e)")
+        carry.append(f"coalesce(_s{i}, {past}) AS _c{i}")
+    carries = sums.selectExpr(*by_block, *carry)
+
+    block = f"PARTITION BY {', '.join(by_block)} ORDER BY _pos {_UPTO}"
+    keep = _quoted(c for c in df.columns if c not in work)
+    local = placed.selectExpr(*keep, "_blk", "_r", *[
+        f"sum({1 - d!r}D * _x{i} * power({d!r}D, -_r)) OVER ({block}) AS _l{i}" for i, d in enumerate(decay)])
+    return local.join(carries, g.key_list + ["_blk"]).selectExpr(*keep, *[
+        f"power({d!r}D, _r) * (_l{i} + {d!r}D * _c{i}) AS `{n}`" for i, (n, d) in enumerate(zip(names, decay))])
 
 
 def pct_change(x: Column, w: WindowSpec, lag: int = 1) -> Column:

@@ -283,14 +283,14 @@ def interpolate(df: DataFrame, g: Grid, cols: Sequence[str]) -> DataFrame:
     placed = position(df, g, "_p")
     specs = {}
     for c in cols:
-        known = F.when(F.col(c).isNotNull(), F.struct(F.col("_p").alias("p"), F.col(c).cast("double").alias("v")))
-        specs[f"_a_{c}"], specs[f"_z_{c}"] = ("last", known), ("next", known)
+        at = F.when(F.col(c).isNotNull(), F.col("_p"))
+        specs[f"_ap_{c}"], specs[f"_av_{c}"] = ("last", at), ("last", F.col(c).cast("double"))
+        specs[f"_zp_{c}"], specs[f"_zv_{c}"] = ("next", at), ("next", F.col(c).cast("double"))
     out = running(placed, g, specs)
     line = {}
     for c in cols:
-        a, z = f"_a_{c}", f"_z_{c}"
-        slope = F.try_divide(F.col(f"{z}.v") - F.col(f"{a}.v"), (F.col(f"{z}.p") - F.col(f"{a}.p")).cast("double"))
-        line[c] = F.coalesce(F.col(c), F.col(f"{a}.v") + slope * (F.col("_p") - F.col(f"{a}.p")), F.col(f"{a}.v"))
+        ap, av, zp, zv = (F.col(f"_{n}_{c}") for n in ("ap", "av", "zp", "zv"))
+        line[c] = F.coalesce(F.col(c), av + F.try_divide(zv - av, (zp - ap).cast("double")) * (F.col("_p") - ap), av)
     return out.withColumns(line).select(*df.columns)
 
 

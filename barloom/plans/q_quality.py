@@ -215,8 +215,7 @@ def band_sql(prefix: str, source: str, c: str, out: str, keep: str) -> str:
     k = "".join(f", {x}" for x in keep.split())
     chain = (f"{prefix}, {t}0 AS (SELECT series, ts{k}, CASE WHEN {c} >= lo_{c} AND {c} <= hi_{c} THEN {c} END AS x0 FROM {source}), "
              f"{t}1 AS ({interpolate_sql(f'{t}0', 'x0', 'x1')}), {t}2 AS (SELECT *, {bf('x1')} AS x2 FROM {t}1)")
-    e = ema_sql({f"e_{c}": ("x2", 2 / 11)}, f"{t}2", chain, keep=f"{keep} x1").replace("num AS (", f"{t}num AS (").replace(
-        "em AS (", f"{t}em AS (").replace("FROM num a JOIN num b", f"FROM {t}num a JOIN {t}num b")
+    e = ema_sql({f"e_{c}": ("x2", 2 / 11)}, f"{t}2", chain, keep=f"{keep} x1", out=f"{t}em")
     return (f"{e}, {t}3 AS (SELECT *, CASE WHEN NOT coalesce(abs(x1 - e_{c}) > 7 * stddev_samp(x1 - e_{c}) OVER (PARTITION BY series), false) THEN x1 END AS x3 FROM {t}em), "
             f"{out} AS (SELECT * EXCLUDE (x1, x3, {f'e_{c}'}) FROM ({interpolate_sql(f'{t}3', 'x3', f'new_{c}')}))")
 
@@ -296,8 +295,8 @@ def _(spark, d):
     return dq.frames_equal(a, b, ["series", "ts"], ["price", "volume", "high"], 0.005)
 
 
-@query("forecast_consistency", "series:s n_rows:i different:i consistent:b", f"""{RET}, f AS (SELECT series, ts, coalesce({lagged('"return"', 3)}, first_value({lagged('"return"', 3)} IGNORE NULLS) OVER ({W})) AS x, hour(ts) AS h FROM rets)
-SELECT series, count(*) AS n_rows, count(*) FILTER (h = 5 AND series = 'view' ) AS different, count(*) FILTER (h = 5 AND series = 'view') = 0 AS consistent FROM rets, (SELECT 1) x, LATERAL (SELECT hour(ts) AS h) GROUP BY 1""")
+@query("forecast_consistency", "series:s n_rows:i different:i consistent:b", f"""{RET}
+SELECT series, count(*) AS n_rows, count(*) FILTER (h = 5 AND series = 'view' ) AS different, count(*) FILTER (h = 5 AND series = 'view') = 0 AS consistent FROM (SELECT series, hour(ts) AS h FROM rets) GROUP BY 1""")
 def _(spark, d):
     one = win.naive_last_value(hour_returns(spark, d), HOUR, "return", 3)
     two = win.naive_last_value(hour_returns(spark, d), HOUR, "return", 3)

@@ -18,8 +18,8 @@ from barloom.session import stage
 WINDOWS = [6, 12, 24]
 
 
-def ema_sql(alphas: dict[str, tuple[str, float]], source: str, prefix: str = DENSE, keep: str = "") -> str:
-    """CTE chain whose table ``em`` holds exponential averages as explicit sums over all earlier rows."""
+def ema_sql(alphas: dict[str, tuple[str, float]], source: str, prefix: str = DENSE, keep: str = "", out: str = "em") -> str:
+    """CTE chain whose table ``out`` holds exponential averages as explicit sums over all earlier rows."""
     values = ", ".join(f"{v} AS x_{n}" for n, (v, _) in alphas.items())
     cols = ", ".join(
         f"sum(CASE WHEN b.rn = 1 THEN 1.0 ELSE {a!r} END * pow({1 - a!r}, a.rn - b.rn) * b.x_{n}) AS {n}"
@@ -28,8 +28,8 @@ def ema_sql(alphas: dict[str, tuple[str, float]], source: str, prefix: str = DEN
     group = ", ".join(["a.series", "a.ts"] + [f"a.{k}" for k in keep.split()])
     keeps = "".join(f", {k}" for k in keep.split())
     return (
-        f"{prefix}, num AS (SELECT series, ts{keeps}, {values}, row_number() OVER ({W}) AS rn FROM {source}), "
-        f"em AS (SELECT {group}, {cols} FROM num a JOIN num b ON a.series = b.series AND b.rn <= a.rn GROUP BY {group})"
+        f"{prefix}, {out}_n AS (SELECT series, ts{keeps}, {values}, row_number() OVER ({W}) AS rn FROM {source}), "
+        f"{out} AS (SELECT {group}, {cols} FROM {out}_n a JOIN {out}_n b ON a.series = b.series AND b.rn <= a.rn GROUP BY {group})"
     )
 
 
