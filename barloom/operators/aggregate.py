@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barloom.session import stage
+
 
 def band_thresholds(df: DataFrame, keys: Sequence[str], cols: Sequence[str], z: float = 1.96) -> DataFrame:
     """Per column mean - z * std and mean + z * std (sample), as ``<c>_low`` and ``<c>_high``."""
@@ -42,7 +44,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[f
     first (spread over all tasks), cut into ``parts`` ranges by an approximate sketch of bounded size,
     and ranked inside each range; the ranks needed are then picked by plain minima.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(
         "_v", [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
     ranged = counts.join(cuts, list(keys)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
@@ -53,14 +55,19 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[f
         F.sum("_m").over(Window.partitionBy(*keys)).alias("_total"))
     inside = Window.partitionBy(*by_part).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranged.withColumn("_cum", F.sum("_n").over(inside)).join(offsets, by_part)
-    upto = F.col("_off") + F.col("_cum")
-    spot = lambda q: (F.col("_total") - 1) * F.lit(float(q))
-    picks, out = [], []
-    for i, q in enumerate(qs):
-        picks.append(F.min(F.when(upto > F.floor(spot(q)), F.col("_v"))).alias(f"_lo{i}"))
-        picks.append(F.min(F.when(upto > F.ceil(spot(q)), F.col("_v"))).alias(f"_hi{i}"))
-        out.append(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot(q) - F.floor(spot(q))))
-    return ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks).select(*keys, F.array(*out).alias("quantiles"))
+    # A distinct value covers the ranks _first.._last (from 0); keep it where a wanted rank falls into them.
+    ranked = ranked.withColumn("_last", F.col("_off") + F.col("_cum") - 1).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    spots = F.transform(F.array(*[F.lit(float(q)) for q in qs]), lambda q, i: F.struct(i.alias("i"), ((F.col("_total") - 1) * q).alias("p")))
+    covers = lambda rank: (rank >= F.col("_first")) & (rank <= F.col("_last"))
+    hits = ranked.select(*keys, "_v", "_first", "_last", F.explode(F.filter(
+        spots, lambda s: covers(F.floor(s.p)) | covers(F.ceil(s.p)))).alias("_s"))
+    p = F.col("_s.p")
+    ends = hits.groupBy(*keys, F.col("_s.i").alias("_i")).agg(
+        F.max(F.when(covers(F.floor(p)), F.col("_v"))).alias("_lo"), F.max(F.when(covers(F.ceil(p)), F.col("_v"))).alias("_hi"),
+        F.max(p - F.floor(p)).alias("_w"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")
+    return ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("v")))).alias("_q")).select(
+        *keys, F.transform("_q", lambda x: x.v).alias("quantiles"))
 
 
 def most_frequent(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:

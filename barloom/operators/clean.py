@@ -104,11 +104,11 @@ def donor_columns(df: DataFrame, g: Grid, cols: Sequence[str], target: str, shar
     its rows; ties go to the first series by name."""
     series = g.keys[0]
     mine = df.where(F.col(series) == target)
-    mine_ts = mine.select(g.ts)
-    cover = df.where(F.col(series) != target).join(mine_ts, g.ts, "left_semi").groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
-    need = mine.agg((F.count(F.lit(1)) * share).alias("_need"))
-    ranked = cover.join(need, F.col("_n") >= F.col("_need")).withColumn(
-        "_rank", F.row_number().over(Window.orderBy(F.col("_n").desc(), series))).where("_rank = 1").select(series)
+    cover = df.join(mine.select(g.ts), g.ts, "left_semi").groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per series from here on.
+    own = F.max(F.when(F.col(series) == target, F.col("_n"))).over(Window.partitionBy(F.lit(1)))
+    enough = cover.withColumn("_own", own).where((F.col(series) != target) & (F.col("_n") >= F.col("_own") * share))
+    ranked = enough.orderBy(F.col("_n").desc(), series).limit(1).select(series)
     donor = df.join(ranked, series, "left_semi").select(g.ts, *[F.col(c).alias(f"_d_{c}") for c in cols])
     return mine.join(donor, g.ts, "left").withColumns({c: F.coalesce(F.col(c), F.col(f"_d_{c}")) for c in cols}).select(*df.columns)
 

@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from barloom.operators.blocks import Grid, bounded, ema, frame, full, position, running
+from barloom.operators.blocks import Grid, bounded, diff, ema, frame, full, pct_change, position, running
+from barloom.session import stage
 
 
 def back_fill(df: DataFrame, g: Grid, cols: Sequence[str]) -> DataFrame:
@@ -25,6 +26,24 @@ def fill_both(df: DataFrame, g: Grid, cols: Sequence[str]) -> DataFrame:
     return filled.withColumns({c: F.coalesce(f"_f_{c}", f"_b_{c}") for c in cols}).select(*df.columns)
 
 
+def rolling_exprs(
+    w: WindowSpec, cols: Sequence[str], windows: Sequence[int], name: Callable[[str, str, int], str], fill: bool,
+) -> dict[str, Column]:
+    out = {}
+    for c in cols:
+        # Only row one lacks a deviation, and row two has the same value for every window.
+        two = F.stddev_samp(c).over(w.rowsBetween(0, 1))
+        for n in windows:
+            f = frame(w, n)
+            std = F.stddev_samp(c).over(f)
+            out[name(c, "mean", n)] = F.avg(c).over(f)
+            out[name(c, "std", n)] = F.coalesce(std, two) if fill else std
+            out[name(c, "min", n)] = F.min(c).over(f)
+            out[name(c, "max", n)] = F.max(c).over(f)
+            out[name(c, "range", n)] = F.max(c).over(f) - F.min(c).over(f)
+    return out
+
+
 def rolling_stats(
     df: DataFrame, g: Grid, cols: Sequence[str], windows: Sequence[int],
     name: Callable[[str, str, int], str] = lambda c, s, w: f"{c}_{s}_{w}", fill: bool = True,
@@ -33,24 +52,7 @@ def rolling_stats(
 
     The deviation of a series' first row does not exist; with ``fill`` it takes the next row's value.
     """
-    def exprs(w: WindowSpec) -> dict[str, Column]:
-        out = {}
-        for c in cols:
-            for n in windows:
-                f = frame(w, n)
-                out[name(c, "mean", n)] = F.avg(c).over(f)
-                out[name(c, "std", n)] = F.stddev_samp(c).over(f)
-                out[name(c, "min", n)] = F.min(c).over(f)
-                out[name(c, "max", n)] = F.max(c).over(f)
-                out[name(c, "range", n)] = F.max(c).over(f) - F.min(c).over(f)
-        if fill:
-            # Only row one lacks a deviation, and row two has the same value for every window.
-            for c in cols:
-                two = F.stddev_samp(c).over(w.rowsBetween(0, 1))
-                for n in windows:
-                    out[name(c, "std", n)] = F.coalesce(out[name(c, "std", n)], two)
-        return out
-    return bounded(df, g, exprs, back=max(windows) - 1, ahead=1 if fill else 0)
+    return bounded(df, g, lambda w: rolling_exprs(w, cols, windows, name, fill), back=max(windows) - 1, ahead=1 if fill else 0)
 
 
 def ema_features(
@@ -68,7 +70,7 @@ def lag_features(
     """Each column at each lag, one shuffle for all; with ``fill`` the first rows are filled backward."""
     names = {name(c, k): (c, k) for c in cols for k in lags}
     out = bounded(df, g, lambda w: {n: F.lag(c, k).over(w) for n, (c, k) in names.items()}, back=max(lags))
-    return back_fill(out, g, list(names)) if fill else out
+    return back_fill(stage(out), g, list(names)) if fill else out
 
 
 def derivatives(
@@ -99,12 +101,12 @@ def derivatives(
                 out[f"{c}_jerk"] = (d[0] - d[1]) - (d[1] - d[2])
         return out
 
-    plain = bounded(filled, g, exprs, back=3).drop(*[f"_p_{c}" for c in pct_cols])
+    plain = stage(bounded(filled, g, exprs, back=3).drop(*[f"_p_{c}" for c in pct_cols]))
     added = [c for c in plain.columns if c not in df.columns]
     held = [c for c in added if any(c.startswith(f"{h}_") for h in hold_zero)]
     if held:
         plain = running(plain, g, {c: ("last", F.when(F.col(c) != 0, F.col(c))) for c in held}).fillna(0.0, held)
-    return fill_both(plain, g, [c for c in added if c not in held])
+    return fill_both(stage(plain) if held else plain, g, [c for c in added if c not in held])
 
 
 def future_rows(df: DataFrame, g: Grid, n: int) -> DataFrame:
@@ -120,18 +122,17 @@ def shift_with_forecast_row(df: DataFrame, g: Grid, cols: Sequence[str], lag: in
     """Features moved ``lag`` bars forward, with ``lag`` future bars per series to hold the newest ones."""
     longer = df.unionByName(future_rows(df, g, lag), allowMissingColumns=True)
     moved = bounded(longer, g, lambda w: {c: F.lag(c, lag).over(w) for c in cols}, back=lag)
-    return back_fill(moved, g, cols)
+    return back_fill(stage(moved), g, cols)
 
 
-def log_cum_return(df: DataFrame, g: Grid, ret: str, windows: Sequence[int]) -> DataFrame:
-    """Compound return over the last w rows, null until w returns are known."""
+def cum_exprs(w: WindowSpec, ret: str, windows: Sequence[int]) -> dict[str, Column]:
     log = F.ln(1 + F.col(ret))
+    return {f"cum_ret_{n}": full(log, w, n, F.exp(F.sum(log).over(frame(w, n))) - 1) for n in windows}
 
-    def exprs(w: WindowSpec) -> dict[str, Column]:
-        return {
-            f"cum_ret_{n}": full(log, w, n, F.exp(F.sum(log).over(frame(w, n))) - 1) for n in windows
-        }
-    return bounded(df, g, exprs, back=max(windows) - 1)
+
+def log_cum_return(df: DataFrame, g: Grid, ret: str, windows: Sequence[int]) -> DataFrame:
+    """Compound return over the last w rows, null until w returns are known."""
+    return bounded(df, g, lambda w: cum_exprs(w, ret, windows), back=max(windows) - 1)
 
 
 def macd(df: DataFrame, g: Grid, windows: Sequence[int], price: str = "price") -> DataFrame:
@@ -142,33 +143,36 @@ def macd(df: DataFrame, g: Grid, windows: Sequence[int], price: str = "price") -
         *[f"_ema{s}" for s in spans])
 
 
+def rsi_specs(windows: Sequence[int], change: str = "_chg") -> dict[str, tuple[Column, float]]:
+    """Averages of gains and losses to feed ``ema``."""
+    specs = {}
+    for w in windows:
+        specs[f"_up{w}"] = (F.greatest(F.col(change), F.lit(0.0)), 1 / w)
+        specs[f"_dn{w}"] = (F.greatest(-F.col(change), F.lit(0.0)), 1 / w)
+    return specs
+
+
+def rsi_value(w: int) -> Column:
+    return F.when(F.col(f"_dn{w}") == 0, 100.0).otherwise(100.0 - 100.0 / (1 + F.try_divide(f"_up{w}", f"_dn{w}")))
+
+
 def rsi(df: DataFrame, g: Grid, windows: Sequence[int], price: str = "price") -> DataFrame:
     """Relative strength index with Wilder averages (alpha = 1/w) of gains and losses, from row one on.
 
     No loss so far gives 100, as a price that never moved.
     """
-    moved = bounded(df, g, lambda w: {"_chg": F.coalesce(F.col(price) - F.lag(price).over(w), F.lit(0.0))}, back=1)
-    specs = {}
-    for w in windows:
-        specs[f"_up{w}"] = (F.greatest("_chg", F.lit(0.0)), 1 / w)
-        specs[f"_dn{w}"] = (F.greatest(-F.col("_chg"), F.lit(0.0)), 1 / w)
-    out = ema(moved, g, specs)
-    return out.withColumns({
-        f"rsi_{w}": F.when(F.col(f"_dn{w}") == 0, 100.0).otherwise(
-            100.0 - 100.0 / (1 + F.try_divide(f"_up{w}", f"_dn{w}")))
-        for w in windows
-    }).drop("_chg", *specs)
+    moved = stage(bounded(df, g, lambda w: {"_chg": F.coalesce(diff(F.col(price), w), F.lit(0.0))}, back=1))
+    specs = rsi_specs(windows)
+    return ema(moved, g, specs).withColumns({f"rsi_{w}": rsi_value(w) for w in windows}).drop("_chg", *specs)
+
+
+def roc_exprs(w: WindowSpec, windows: Sequence[int], price: str) -> dict[str, Column]:
+    return {f"roc_{n}": F.coalesce(pct_change(F.col(price), w, n) * 100, F.lit(0.0)) for n in windows}
 
 
 def roc(df: DataFrame, g: Grid, windows: Sequence[int], price: str = "price") -> DataFrame:
     """Percent change over w rows, 0 in the first w rows."""
-    def exprs(w: WindowSpec) -> dict[str, Column]:
-        return {
-            f"roc_{n}": F.coalesce(
-                F.try_divide(F.col(price) - F.lag(price, n).over(w), F.lag(price, n).over(w)) * 100, F.lit(0.0))
-            for n in windows
-        }
-    return bounded(df, g, exprs, back=max(windows))
+    return bounded(df, g, lambda w: roc_exprs(w, windows, price), back=max(windows))
 
 
 def ema_distance(df: DataFrame, g: Grid, windows: Sequence[int], price: str = "price") -> DataFrame:
@@ -179,16 +183,18 @@ def ema_distance(df: DataFrame, g: Grid, windows: Sequence[int], price: str = "p
     })
 
 
+def bollinger_exprs(w: WindowSpec, windows: Sequence[int], price: str) -> dict[str, Column]:
+    out = {}
+    for n in windows:
+        mean, dev = F.avg(price).over(frame(w, n)), F.stddev_pop(price).over(frame(w, n))
+        out[f"price_high_bb_{n}_diff"] = F.try_divide(F.col(price) - (mean + 2 * dev), F.col(price))
+        out[f"price_low_bb_{n}_diff"] = F.try_divide(F.col(price) - (mean - 2 * dev), F.col(price))
+    return out
+
+
 def bollinger_distance(df: DataFrame, g: Grid, windows: Sequence[int], price: str = "price") -> DataFrame:
     """Relative distance of the price to mean + and - 2 population deviations, from row one on."""
-    def exprs(w: WindowSpec) -> dict[str, Column]:
-        out = {}
-        for n in windows:
-            mean, dev = F.avg(price).over(frame(w, n)), F.stddev_pop(price).over(frame(w, n))
-            out[f"price_high_bb_{n}_diff"] = F.try_divide(F.col(price) - (mean + 2 * dev), F.col(price))
-            out[f"price_low_bb_{n}_diff"] = F.try_divide(F.col(price) - (mean - 2 * dev), F.col(price))
-        return out
-    return bounded(df, g, exprs, back=max(windows) - 1)
+    return bounded(df, g, lambda w: bollinger_exprs(w, windows, price), back=max(windows) - 1)
 
 
 # Shares of the price range at the Fibonacci levels, from low to high.
@@ -221,11 +227,22 @@ def rolling_fib(df: DataFrame, g: Grid, rows: int) -> DataFrame:
 
 def heikin_ashi(df: DataFrame, g: Grid) -> DataFrame:
     """Heikin-Ashi candles. The open is half the previous (open + price): an average with alpha 1/2."""
-    priced = df.withColumn("ha_price", (F.col("open") + F.col("high") + F.col("low") + F.col("price")) / 4)
-    fed = bounded(priced, g, lambda w: {
-        "_in": F.coalesce(F.lag("ha_price").over(w), (F.col("open") + F.col("price")) / 2)}, back=1)
-    out = ema(fed, g, {"ha_open": (F.col("_in"), 0.5)}).drop("_in")
-    out = out.withColumns({
+    priced = df.withColumn("ha_price", ha_price())
+    fed = stage(bounded(priced, g, lambda w: {"_in": ha_input(w)}, back=1))
+    return with_ha_parts(ema(fed, g, {"ha_open": (F.col("_in"), 0.5)}).drop("_in"))
+
+
+def ha_price() -> Column:
+    return (F.col("open") + F.col("high") + F.col("low") + F.col("price")) / 4
+
+
+def ha_input(w: WindowSpec) -> Column:
+    return F.coalesce(F.lag(ha_price()).over(w), (F.col("open") + F.col("price")) / 2)
+
+
+def with_ha_parts(df: DataFrame) -> DataFrame:
+    """High, low, body and wicks from ``ha_open`` and ``ha_price``."""
+    out = df.withColumns({
         "ha_high": F.greatest("ha_open", "ha_price", "high"),
         "ha_low": F.least("ha_open", "ha_price", "low"),
         "ha_top_price": F.greatest("ha_price", "ha_open"),
@@ -255,7 +272,7 @@ def trend_state(df: DataFrame, g: Grid, code: str = "ha_code") -> DataFrame:
     after it. So the machine is three carried positions, not a loop.
     """
     placed = position(df, g, "_p")
-    coded = bounded(placed, g, lambda w: {"_prev": F.lag(code).over(w)}, back=1)
+    coded = stage(bounded(placed, g, lambda w: {"_prev": F.lag(code).over(w)}, back=1))
     c, prev = F.col(code), F.col("_prev")
     twice = F.coalesce(c == prev, F.lit(False))
     forced = (
@@ -324,7 +341,7 @@ def publication_shift(df: DataFrame, g: Grid, shifts: dict[str, int], max_shift:
     """Each column moved by its own number of bars (at most ``max_shift``), then filled backward."""
     capped = {c: min(n, max_shift) for c, n in shifts.items() if n > 0}
     moved = bounded(df, g, lambda w: {c: F.lag(c, n).over(w) for c, n in capped.items()}, back=max(capped.values()))
-    return back_fill(moved, g, list(capped))
+    return back_fill(stage(moved), g, list(capped))
 
 
 def session_shift(df: DataFrame, keys: Sequence[str], probe: str, cols: Sequence[str]) -> DataFrame:
@@ -348,7 +365,7 @@ def session_shift(df: DataFrame, keys: Sequence[str], probe: str, cols: Sequence
 def naive_last_value(df: DataFrame, g: Grid, target: str, back: int) -> DataFrame:
     """Forecast: the target ``back`` bars ago."""
     out = bounded(df, g, lambda w: {"forecast": F.lag(target, back).over(w)}, back=back)
-    return back_fill(out, g, ["forecast"])
+    return back_fill(stage(out), g, ["forecast"])
 
 
 def naive_weighted_ma(
@@ -366,7 +383,7 @@ def naive_weighted_ma(
     def exprs(w: WindowSpec) -> dict[str, Column]:
         terms = [F.lag(target, period - p).over(w) * weights[p] for p in range(period)]
         return {"forecast": sum(terms[1:], terms[0]) / sum(weights)}
-    return back_fill(bounded(df, g, exprs, back=period), g, ["forecast"])
+    return back_fill(stage(bounded(df, g, exprs, back=period)), g, ["forecast"])
 
 
 def sliding_sequences(df: DataFrame, g: Grid, cols: Sequence[str], target: str, length: int) -> DataFrame:

@@ -244,7 +244,7 @@ def _(spark, d):
 
 
 _QS = [0.7 + 0.29 * i / 28 for i in range(29)]
-_CAND = f"""SELECT series, unnest({_QS!r}) AS q, unnest(quantile_cont(high / open - 1, {_QS!r})) AS value FROM inp WHERE real_return >= 0 GROUP BY series"""
+_CAND = f"""SELECT series, unnest({_QS!r}::DOUBLE[]) AS q, unnest(quantile_cont(high / open - 1, {_QS!r})) AS value FROM inp WHERE real_return >= 0 GROUP BY series"""
 _FIELDS = {**_BASE, "follow_flow": False, "max_leverage": 1.0, "stp": -0.9}
 SEARCH_SQL = measure_sql(bt_sql([], "SELECT series, CAST(round(q * 10000) AS INT) AS pid, " + ", ".join(
     f"value AS {n}" if n == "ltp" else f"CAST({_lit(_FIELDS[n])} AS {'BOOLEAN' if t == 'boolean' else 'DOUBLE'}) AS {n}" for n, t in bt.RULES.items() if n != "pid") + f" FROM ({_CAND})"))
