@@ -37,12 +37,12 @@ def outlier_thresholds(df: DataFrame, keys: Sequence[str], cols: Sequence[str],
     return df.groupBy(*keys).agg(*aggs)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], parts: int = 64) -> DataFrame:
-    """Linear-interpolated quantiles, exact, as array ``quantiles`` per key.
+def value_ranks(df: DataFrame, keys: Sequence[str], col: str, parts: int = 64) -> DataFrame:
+    """Distinct values ``_v`` of a column with the ranks ``_first`` .. ``_last`` (from 0) they cover in
+    the sorted column of their key, and the number of values ``_total``.
 
-    ``percentile`` would hold every distinct value of a hot key in one task. Here values are counted
-    first (spread over all tasks), cut into ``parts`` ranges by an approximate sketch of bounded size,
-    and ranked inside each range; the ranks needed are then picked by plain minima.
+    Values are counted first (spread over all tasks), cut into ``parts`` ranges by an approximate sketch
+    of bounded size, and ranked inside each range, so a hot key is not sorted in one task.
     """
     counts = stage(df.where(F.col(col).isNotNull()).groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(
@@ -55,8 +55,17 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[f
         F.sum("_m").over(Window.partitionBy(*keys)).alias("_total"))
     inside = Window.partitionBy(*by_part).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranged.withColumn("_cum", F.sum("_n").over(inside)).join(offsets, by_part)
-    # A distinct value covers the ranks _first.._last (from 0); keep it where a wanted rank falls into them.
-    ranked = ranked.withColumn("_last", F.col("_off") + F.col("_cum") - 1).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    last = F.col("_off") + F.col("_cum") - 1
+    return ranked.select(*keys, "_v", (last - F.col("_n") + 1).alias("_first"), last.alias("_last"), "_total")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], parts: int = 64) -> DataFrame:
+    """Linear-interpolated quantiles, exact, as array ``quantiles`` per key.
+
+    ``percentile`` would hold every distinct value of a hot key in one task; this picks the wanted ranks
+    from ``value_ranks``.
+    """
+    ranked = value_ranks(df, keys, col, parts)
     spots = F.transform(F.array(*[F.lit(float(q)) for q in qs]), lambda q, i: F.struct(i.alias("i"), ((F.col("_total") - 1) * q).alias("p")))
     covers = lambda rank: (rank >= F.col("_first")) & (rank <= F.col("_last"))
     hits = ranked.select(*keys, "_v", "_first", "_last", F.explode(F.filter(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions import stats
 from barloom.functions.scalars import exposure, normal_cdf
 from barloom.functions.time import epoch_seconds
+from barloom.operators.aggregate import value_ranks
 from barloom.operators.blocks import Grid, bounded, row_numbers, running
 from barloom.operators.project import zscore_filter
 from barloom.operators.windows import cumulative_return
@@ -50,6 +51,44 @@ def fit_normal(df: DataFrame, keys: Sequence[str], limit: float = 2.1, least: in
         F.count(F.lit(1)).alias("n"))
 
 
+FAMILIES = ("norm", "expon", "uniform", "lognorm", "gamma", "beta")
+
+
+def fit_best(df: DataFrame, keys: Sequence[str], limit: float = 2.1, families: Sequence[str] = FAMILIES) -> DataFrame:
+    """Kolmogorov-Smirnov distance of the residuals to each fitted family, the closest one marked ``best``.
+
+    Fits are closed form: moments, or the ends of the range. Log-normal and gamma start 1 % of the range
+    below the minimum. All families see the same rows, so the smallest distance has the largest p-value.
+    """
+    kept = stage(zscore_filter(df.where(F.col("return_residual").isNotNull()), keys, "return_residual", limit).select(*keys, "return_residual"))
+    x = F.col("return_residual")
+    ends = kept.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    start = F.col("_lo") - 0.01 * (F.col("_hi") - F.col("_lo"))
+    logs = kept.join(ends, list(keys)).groupBy(*keys).agg(F.avg(F.ln(x - start)).alias("_lm"), F.stddev_pop(F.ln(x - start)).alias("_ls"))
+    fit = stage(ends.join(logs, list(keys)))
+    v = F.col("_v")
+    span = F.col("_hi") - F.col("_lo")
+    var = F.col("_s") * F.col("_s")
+    mean0 = F.col("_m") - start
+    mean1, var1 = (F.col("_m") - F.col("_lo")) / span, var / (span * span)
+    common = mean1 * (1 - mean1) / var1 - 1
+    cdf = {
+        "norm": lambda: normal_cdf((v - F.col("_m")) / F.col("_s")),
+        "expon": lambda: 1 - F.exp(-(v - F.col("_lo")) / (F.col("_m") - F.col("_lo"))),
+        "uniform": lambda: (v - F.col("_lo")) / span,
+        "lognorm": lambda: normal_cdf((F.ln(v - start) - F.col("_lm")) / F.col("_ls")),
+        "gamma": lambda: stats.gamma_cdf((v - start) * mean0 / var, mean0 * mean0 / var),
+        "beta": lambda: stats.beta_cdf((v - F.col("_lo")) / span, mean1 * common, (1 - mean1) * common),
+    }
+    ranked = value_ranks(kept, keys, "return_residual").join(fit, list(keys)).withColumns({f"_f_{f}": cdf[f]() for f in families})
+    above, below = (F.col("_last") + 1) / F.col("_total"), F.col("_first") / F.col("_total")
+    wide = ranked.groupBy(*keys).agg(F.max("_total").alias("n"), *[
+        F.max(F.greatest(F.abs(above - F.col(f"_f_{f}")), F.abs(F.col(f"_f_{f}") - below))).alias(f) for f in families])
+    long = wide.unpivot([*keys, "n"], list(families), "family", "distance").withColumn("p_value", stats.kolmogorov_upper(F.col("distance"), F.col("n")))
+    w = Window.partitionBy(*keys).orderBy("distance", "family")
+    return long.withColumn("best", F.row_number().over(w) == 1)
+
+
 def certainty(df: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Chances of a fall and a rise given the residual distribution, the larger one and its side."""
     both = df.join(fit.select(*keys, "loc", "scale"), list(keys))

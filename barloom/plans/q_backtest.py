@@ -152,6 +152,15 @@ def _(spark, d):
     return bt.fit_normal(bt.residuals(trading_input(spark, d)), ["series"])
 
 
+@query("fit_residual_best", "series:s family:s distance:d best:b", f"""{CERT_SQL}, k AS MATERIALIZED (SELECT rs.series, return_residual AS x FROM rs JOIN zs USING (series) WHERE abs((return_residual - m) / s) < 2.1),
+e AS (SELECT series, min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM k GROUP BY 1), g AS (SELECT k.series, avg(ln(x - lo + 0.01 * (hi - lo))) AS lm, stddev_pop(ln(x - lo + 0.01 * (hi - lo))) AS ls FROM k JOIN e USING (series) GROUP BY 1),
+v AS (SELECT k.series, x, n, lo, hi, m, s, lm, ls, (x - m) / s AS z1, (ln(x - lo + 0.01 * (hi - lo)) - lm) / ls AS z2, rank() OVER (PARTITION BY k.series ORDER BY x) - 1 AS a, count(*) OVER (PARTITION BY k.series ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM k JOIN e USING (series) JOIN g USING (series)),
+f AS (SELECT series, x, n, a, b, unnest(['norm', 'expon', 'uniform', 'lognorm']) AS family, unnest([{cdf_sql('z1')}, 1 - exp(-(x - lo) / (m - lo)), (x - lo) / (hi - lo), {cdf_sql('z2')}]) AS c FROM v),
+dd AS (SELECT series, family, max(greatest(abs(b / CAST(n AS DOUBLE) - c), abs(c - a / CAST(n AS DOUBLE)))) AS distance FROM f GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY series ORDER BY distance, family) = 1 AS best FROM dd""")
+def _(spark, d):
+    return bt.fit_best(bt.residuals(trading_input(spark, d)), ["series"], families=("norm", "expon", "uniform", "lognorm"))
+
+
 @query("forecast_certainty", "series:s ts:t decrease_chance:d increase_chance:d certainty:d kind:s", f"{CERT_SQL} SELECT * FROM cert")
 def _(spark, d):
     rows = bt.residuals(trading_input(spark, d))
