@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.session import stage
@@ -128,6 +131,19 @@ def correlation_matrix(df: DataFrame, keys: Sequence[str], cols: Sequence[str])
     return wide.select(*keys, F.explode(F.array(*cells)).alias("_p")).select(*keys, "_p.*")
 
 
+def dense_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """The same for long lists of columns without nulls (a finished feature table), by one Gram matrix.
+
+    Hundreds of columns would make hundreds of thousands of aggregates; here each task keeps one
+    columns x columns matrix, and that matrix is what reaches the driver.
+    """
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="_x", handleInvalid="skip").transform(df.select(*cols))
+    m = Correlation.corr(vectors, "_x").first()[0].toArray()
+    rows = [(a, b, 100.0 if math.isnan(m[i, j]) else abs(float(m[i, j])) * 100)
+            for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, score double")
+
+
 def peer_scores(wide: DataFrame, peers: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     """Mean |corr| of each peer's one-bar-old columns with the current columns of all other peers, ranked.
 

@@ -117,13 +117,14 @@ def bounded(
 
 # Running kinds: the block total, how totals carry over, the value inside the block, and how both join.
 # {v} value, {k} position of a known value, {t} total, {l} local value, {c} carry.
+# "next" runs over the reversed order: a frame that ends at UNBOUNDED FOLLOWING would be evaluated anew
+# for every row, one that starts at UNBOUNDED PRECEDING grows by one row at a time.
 _BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 _UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 _RUNNING = {
     "last": ("max_by({v}, {k})", "last({t}, true)", _BEFORE, "last({v}, true)", _UPTO, "coalesce({l}, {c})"),
     "last_before": ("max_by({v}, {k})", "last({t}, true)", _BEFORE, "last({v}, true)", _BEFORE, "coalesce({l}, {c})"),
-    "next": ("min_by({v}, {k})", "first({t}, true)", "ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING",
-             "first({v}, true)", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING", "coalesce({l}, {c})"),
+    "next": ("min_by({v}, {k})", "last({t}, true)", f"DESC {_BEFORE}", "last({v}, true)", f"DESC {_UPTO}", "coalesce({l}, {c})"),
     "sum": ("sum({v})", "sum({t})", _BEFORE, "sum({v})", _UPTO, "coalesce({l} + {c}, {l}, {c})"),
     "count": ("count({v})", "sum({t})", _BEFORE, "count({v})", _UPTO, "{l} + coalesce({c}, 0)"),
     "min": ("min({v})", "min({t})", _BEFORE, "min({v})", _UPTO, "least({l}, {c})"),

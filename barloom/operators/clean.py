@@ -11,7 +11,7 @@ from barloom.operators import windows as win
 from barloom.operators.aggregate import exact_quantiles, most_frequent, outlier_thresholds
 from barloom.operators.bars import gap_fill
 from barloom.operators.blocks import Grid, ema
-from barloom.operators.joins import coalesce_join
+from barloom.operators.joins import coalesce_join, pivot_peers
 from barloom.operators.project import align_schema, fix_high_low, fix_open_gap, null_flat_runs, null_negative
 from barloom.operators.sets import dedup, tail_rows
 from barloom.session import stage
@@ -116,7 +116,6 @@ def donor_columns(df: DataFrame, g: Grid, cols: Sequence[str], target: str, shar
 def peer_columns(df: DataFrame, prices: DataFrame, peers: Sequence[str], ts: str = "ts") -> DataFrame:
     """``other_coins_<peer>_price`` columns for exactly the given peers: missing ones are filled from the
     price table, others dropped."""
-    from barloom.operators.joins import pivot_peers
     wanted = [f"other_coins_{p}_price" for p in peers]
     extra = [c for c in df.columns if c.startswith("other_coins_") and c not in wanted]
     missing = [p for p in peers if f"other_coins_{p}_price" not in df.columns]

@@ -10,7 +10,7 @@ from barloom.functions import scalars as sc
 from barloom.functions.holidays import is_holiday
 from barloom.operators import windows as win
 from barloom.operators.aggregate import band_thresholds
-from barloom.operators.blocks import Grid, bounded, ema, frame
+from barloom.operators.blocks import Grid, bounded, ema
 from barloom.session import stage
 
 RAW = ["open", "high", "low", "price", "volume", "return", "acceleration", "jerk"]
@@ -27,18 +27,17 @@ def refine_panel(
     fill leaks later values into the first rows of a series.
     """
     moved = stage(win.shift_with_forecast_row(df.select(*g.keys, g.ts, *RAW), g, RAW))
+    ranged = stage(win.rolling_extremes(moved, g, fib_rows, {"_lo": ("min", "low"), "_hi": ("max", "high")}))
 
     def exprs(w: WindowSpec) -> dict[str, Column]:
         return {
             **win.roc_exprs(w, indicators, "price"), **win.bollinger_exprs(w, indicators, "price"),
             **win.cum_exprs(w, "return", indicators),
-            "_lo": F.min("low").over(frame(w, fib_rows)), "_hi": F.max("high").over(frame(w, fib_rows)),
             "_chg": F.coalesce(F.col("price") - F.lag("price").over(w), F.lit(0.0)), "_ha": win.ha_input(w),
             **{f"price_lag_{k}": F.lag("price", k).over(w) for k in lags},
             **win.rolling_exprs(w, ["price"], windows, lambda c, s, n: f"{c}_{s}_{n}", True),
         }
-    back = max(fib_rows - 1, *indicators, *lags, *windows)
-    flat = stage(bounded(moved, g, exprs, back=back, ahead=1))
+    flat = stage(bounded(ranged, g, exprs, back=max(*indicators, *lags, *windows), ahead=1))
     spans = sorted({s for n in indicators for s in (n, 2 * n)} | set(windows))
     smooth = ema(flat, g, {
         **{f"_ema{s}": (F.col("price"), 2 / (s + 1)) for s in spans}, **win.rsi_specs(indicators), "ha_open": (F.col("_ha"), 0.5)})

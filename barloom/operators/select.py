@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions import stats
 from barloom.functions.scalars import normal_cdf
-from barloom.operators.aggregate import above_quantile, correlation_matrix, correlations, exact_quantiles
+from barloom.operators.aggregate import above_quantile, correlation_matrix, correlations, dense_correlation_matrix, exact_quantiles
 from barloom.session import stage
+from barloom.sources.ingest import key_uniform
 
 
 def colinear_filter(df: DataFrame, features: Sequence[str], limit: float = 0.95) -> list[str]:
@@ -19,7 +20,8 @@ def colinear_filter(df: DataFrame, features: Sequence[str], limit: float = 0.95)
 
     Only close pairs reach the driver, at most one per pair of columns.
     """
-    pairs = correlation_matrix(df, [], features).where((F.col("score") >= limit * 100) & (F.col("score") < 100))
+    matrix = correlation_matrix(df, [], features) if len(features) <= 40 else dense_correlation_matrix(df, features)
+    pairs = matrix.where((F.col("score") >= limit * 100) & (F.col("score") < 100))
     close = {frozenset((r.a, r.b)) for r in pairs.collect()}
     kept: list[str] = []
     for f in features:
@@ -252,8 +254,6 @@ def shuffled(df: DataFrame, keys: Sequence[str], features: Sequence[str], seed:
     Rows are numbered twice by hash order, once plain and once per column, and joined on the number.
     Numbers come from counts per hash range, so no task orders all rows.
     """
-    from barloom.sources.ingest import key_uniform
-
     def numbered(frame: DataFrame, salt: str, name: str) -> DataFrame:
         u = frame.withColumn("_u", key_uniform(*keys, salt=salt)).withColumn("_part", F.floor(F.col("_u") * 256))
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

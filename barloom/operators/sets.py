@@ -61,16 +61,17 @@ def overlap_merge(old: DataFrame, new: DataFrame, g: Grid, revisable: int = 24)
     ])
 
 
-def tail_rows(df: DataFrame, g: Grid, n: int) -> DataFrame:
-    """The last ``n`` rows of each series.
+def tail_rows(df: DataFrame, g: Grid, n: int, skip: int = 0) -> DataFrame:
+    """The last ``n`` rows of each series, without the newest ``skip`` of them.
 
     Up to 1000 rows Spark cuts each input partition to n rows per series before the shuffle; longer
     tails use counted row numbers.
     """
     if n <= 1000:
         w = Window.partitionBy(*g.keys).orderBy(F.col(g.ts).desc())
-        return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
-    return row_numbers(df, g, "_rn", "_n").where(F.col("_rn") > F.col("_n") - n).drop("_rn", "_n")
+        return df.withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= n) & (F.col("_rn") > skip)).drop("_rn")
+    back = F.col("_n") - F.col("_rn") + 1
+    return row_numbers(df, g, "_rn", "_n").where((back <= n) & (back > skip)).drop("_rn", "_n")
 
 
 def tail_share(df: DataFrame, g: Grid, share: float) -> DataFrame:

@@ -218,10 +218,37 @@ def fib_group(price: Column, low: Column, high: Column) -> dict[str, Column]:
     return {"fib_group": group, "fib_upper_level_diff": upper - price, "fib_lower_level_diff": price - lower}
 
 
+def rolling_extremes(df: DataFrame, g: Grid, rows: int, specs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Minimum or maximum of the last ``rows`` rows: ``{name: ("min" | "max", column)}``.
+
+    A row frame is evaluated anew for every row, which costs ``rows`` steps each. For long windows the
+    series is cut into sections of ``rows`` rows: the extreme is that of the section up to the row and
+    of the previous section from ``rows - 1`` rows back to its end. Both grow row by row.
+    """
+    if rows <= 64:
+        return bounded(df, g, lambda w: {
+            n: (F.min if kind == "min" else F.max)(c).over(frame(w, rows)) for n, (kind, c) in specs.items()}, back=rows - 1)
+    placed = position(df, g, "_p").withColumn("_sec", F.floor(F.col("_p") / rows))
+    keys = ", ".join(f"`{k}`" for k in (*g.keys, "_sec"))
+    grow = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    ends = placed.selectExpr("*", *[
+        f"{kind}(`{c}`) OVER (PARTITION BY {keys} ORDER BY _p {way} {grow}) AS `_{side}_{n}`"
+        for n, (kind, c) in specs.items() for side, way in (("head", ""), ("tail", "DESC"))])
+    full_back = bounded(ends.drop("_sec"), g, lambda w: {
+        **{f"_old_{n}": F.lag(f"_tail_{n}", rows - 1).over(w) for n in specs},
+        **{f"_start_{n}": F.min(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) if kind == "min"
+           else F.max(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) for n, (kind, c) in specs.items()},
+    }, back=rows - 1)
+    # Rows with less than ``rows`` predecessors have no tail; their frame starts with the series.
+    pick = lambda n, kind: (F.least if kind == "min" else F.greatest)(f"_head_{n}", f"_old_{n}")
+    out = full_back.withColumns({
+        n: F.when(F.col(f"_old_{n}").isNull(), F.col(f"_start_{n}")).otherwise(pick(n, kind)) for n, (kind, _) in specs.items()})
+    return out.select(*df.columns, *specs)
+
+
 def rolling_fib(df: DataFrame, g: Grid, rows: int) -> DataFrame:
     """Fibonacci group of the price inside the low/high range of the last ``rows`` bars."""
-    ranged = bounded(df, g, lambda w: {
-        "_lo": F.min("low").over(frame(w, rows)), "_hi": F.max("high").over(frame(w, rows))}, back=rows - 1)
+    ranged = rolling_extremes(df, g, rows, {"_lo": ("min", "low"), "_hi": ("max", "high")})
     return ranged.withColumns(fib_group(F.col("price"), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 

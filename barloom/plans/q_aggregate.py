@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import candle_shape, candle_type
 from barloom.functions.time import bucket_start, month_start, tie_order
-from barloom.operators import aggregate as ag, sets, windows as win
+from barloom.operators import aggregate as ag, sets
 from barloom.operators.bars import resample, with_derivatives
 from barloom.operators.blocks import Grid, bounded
+from barloom.operators.joins import pivot_peers
 from barloom.plans.base import (
     BARS, DENSE, GAPPY, HALF, HOUR, RET, USER, W, half_bars, hour_bars, hour_dense, hour_returns, user_bars,
 )
@@ -17,7 +18,7 @@ from barloom.plans.q_scalars import CANDLE_SQL, SHAPE_SQL
 from barloom.plans.q_windows import lagged
 from barloom.plans.registry import query
 from barloom.session import stage
-from barloom.sources.tables import table, ticks
+from barloom.sources.tables import table
 
 _NAMES = {"open": "coin_open", "high": "coin_high", "low": "coin_low", "price": "coin_price", "volume": "ta_volume"}
 RESAMPLE_SQL = f"""{HALF}, res AS (SELECT series, date_trunc('hour', ts) AS ts, arg_min(open, ts) AS coin_open, max(high) AS coin_high, min(low) AS coin_low,
@@ -139,7 +140,6 @@ WIDE_SQL = f"{RET}, wide AS (SELECT ts, {', '.join(f'max({chr(34)}{k}{chr(34)})
 
 def wide_returns(spark, d):
     """One row per hour with the return, acceleration and jerk of every series."""
-    from barloom.operators.joins import pivot_peers
     return pivot_peers(hour_returns(spark, d), PEERS, _KINDS)
 
 

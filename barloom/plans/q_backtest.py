@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.operators import aggregate as ag, backtest as bt, project as pj
-from barloom.operators.blocks import Grid, bounded
+from barloom.operators import aggregate as ag, backtest as bt
+from barloom.operators.blocks import Grid
+from barloom.operators.windows import cumulative_return
 from barloom.plans.base import HOUR, RET, W, hour_returns, stage_table
 from barloom.plans.q_scalars import cdf_sql
 from barloom.plans.q_sources import STAMP, uniform_sql
@@ -327,7 +328,6 @@ def _(spark, d):
 @query("returns_curve", "series:s pid:i ts:t part:s curve:d", f"""{BT_SQL}, c AS (SELECT series, pid, ts, CASE WHEN ts < TIMESTAMP '2024-01-15' THEN 'validation' ELSE 'optimized' END AS part, real_trading_return AS x FROM tab)
 SELECT series, pid, ts, part, 100 * (exp(sum(ln(1 + x)) OVER (PARTITION BY series, pid ORDER BY ts)) - 1) AS curve FROM c""")
 def _(spark, d):
-    from barloom.operators.windows import cumulative_return
     t = table(spark, d)
     val = t.where("ts < timestamp_ntz'2024-01-15'").withColumn("part", F.lit("validation"))
     opt = t.where("ts >= timestamp_ntz'2024-01-15'").withColumn("part", F.lit("optimized"))

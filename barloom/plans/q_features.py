@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from barloom.functions.scalars import exposure
 from barloom.operators import backtest as bt, forecast as fc, leaderboard as lb, select as se, transform as tr, windows as win
 from barloom.operators.blocks import bounded
 from barloom.operators.features import refine_panel
 from barloom.plans.base import DENSE, HOUR, RET, W, hour_dense, hour_returns, stage_table
-from barloom.plans.q_backtest import CERT_SQL, INPUT_SQL, SWEEP_SQL, swept, t_sql, trading_input
+from barloom.plans.q_backtest import CERT_SQL, INPUT_SQL, SETS, SWEEP_SQL, swept, t_sql, trading_input
 from barloom.plans.q_scalars import CANDLE_SQL, HOLIDAYS, SHAPE_SQL, cdf_sql
 from barloom.plans.q_windows import bf, ema_sql, ff, lagged, roll
 from barloom.plans.registry import query
@@ -39,7 +40,7 @@ def feat(spark, d):
         F.when(F.col("x_ticks") > 2, "busy").otherwise("calm").alias("manual_busy"))
 
 
-def _names(spark, names) -> "DataFrame":
+def _names(spark, names):
     return spark.createDataFrame([(n, i) for i, n in enumerate(names, 1)], "feature string, position int")
 
 
@@ -328,8 +329,6 @@ z AS (SELECT n.*, (-f - loc) / scale AS zz FROM n JOIN fit USING (series)), c AS
 SELECT series, ts, f AS return_forecast, certainty, kind, CASE WHEN certainty > 0.9 THEN 3 ELSE 1 END AS leverage, CASE WHEN certainty > 0.55 THEN greatest(0.5, least(ln(100 * certainty - 49) / ln(41) + 0.1, 1)) ELSE 0 END AS exposure,
  open * (1 + CASE WHEN kind = 'long' THEN 0.012 ELSE -0.012 END) AS tp_price, open * (1 + CASE WHEN kind = 'long' THEN -0.016 ELSE 0.016 END) AS sl_price FROM k""")
 def _(spark, d):
-    from barloom.functions.scalars import exposure
-    from barloom.plans.q_backtest import SETS
     x = trading_input(spark, d)
     fit = bt.fit_normal(bt.residuals(x), ["series"])
     last = x.groupBy("series").agg(F.max_by(F.struct("ts", "price", "real_return"), F.col("ts")).alias("l"))
@@ -351,7 +350,6 @@ md AS MATERIALIZED (SELECT * EXCLUDE (stage0), CASE WHEN stage0 = 'production' A
 
 @stage_table
 def models(spark, d):
-    from pyspark.sql import Window
     p = F.col("pid")
     m = swept(spark, d).select(
         F.concat_ws("-", "series", p.cast("string")).alias("model_id"), "series",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.time import bucket_start
 from barloom.operators import joins
 from barloom.operators.blocks import bounded
-from barloom.plans.base import BARS, DENSE, HOUR, W, hour_bars, hour_dense
+from barloom.plans.base import BARS, DENSE, HOUR, hour_bars, hour_dense
 from barloom.plans.q_windows import bf, lagged
 from barloom.plans.registry import query
 from barloom.session import stage

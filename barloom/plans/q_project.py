@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import finite
-from barloom.operators import project as pj, windows as win
+from barloom.operators import project as pj
 from barloom.operators.aggregate import band_thresholds
-from barloom.plans.base import BARS, DENSE, GAPPY, HOUR, RET, W, hour_bars, hour_dense, hour_returns, stage_table
+from barloom.plans.base import BARS, DENSE, HOUR, RET, hour_bars, hour_dense, hour_returns, stage_table
 from barloom.plans.q_windows import lagged
 from barloom.plans.registry import query
 from barloom.sources.tables import table

@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import is_market_time
 from barloom.functions.time import epoch_seconds
-from barloom.operators import aggregate as ag, clean, quality as dq, sets, windows as win
-from barloom.operators.bars import gap_fill
-from barloom.plans.base import BARS, DENSE, GAPPY, GRID_, HOUR, RET, W, hour_bars, hour_dense, hour_grid, hour_returns, sql_grid, stage_table
-from barloom.plans.q_joins import PEERS
+from barloom.operators import aggregate as ag, clean, quality as dq, windows as win
+from barloom.plans.base import BARS, DENSE, GAPPY, GRID_, HOUR, RET, hour_bars, hour_dense, hour_grid, hour_returns, sql_grid, stage_table
 from barloom.plans.q_windows import bf, ema_sql, ff, interpolate_sql, lagged
 from barloom.plans.registry import query
 from barloom.session import stage

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import math
 
 from pyspark.sql import functions as F
 
@@ -11,8 +10,9 @@ from barloom.functions import scalars as sc
 from barloom.functions.holidays import FIXED_DATES, NTH_WEEKDAYS, is_holiday
 from barloom.functions.time import epoch_micros, epoch_millis_to_ts, epoch_seconds, from_epoch
 from barloom.operators import windows as win
+from barloom.operators.aggregate import band_thresholds
 from barloom.operators.blocks import bounded
-from barloom.plans.base import BARS, DAYS, DENSE, HALF, HOUR, RET, W, day_bars, half_bars, hour_bars, hour_dense, hour_returns
+from barloom.plans.base import BARS, DAYS, HALF, HOUR, RET, W, day_bars, half_bars, hour_bars, hour_dense, hour_returns
 from barloom.plans.q_windows import HA_TYPE_SQL
 from barloom.plans.registry import query
 from barloom.sources.tables import table
@@ -96,7 +96,6 @@ def _band_case(n: str) -> str:
 @query("band_class", "series:s ts:t return_outlier:s acceleration_outlier:s jerk_outlier:s",
        f"{BAND_SQL} SELECT r.series, r.ts, {', '.join(_band_case(n) for n in ('return', 'acceleration', 'jerk'))} FROM rets r JOIN th USING (series)")
 def _(spark, d):
-    from barloom.operators.aggregate import band_thresholds
     names = ["return", "acceleration", "jerk"]
     rets = hour_returns(spark, d)
     both = rets.join(band_thresholds(rets, ["series"], names, 1.96), "series")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.functions.time import bucket_start
 from barloom.operators import sets
 from barloom.operators.bars import gap_fill, missing_bars
-from barloom.plans.base import BARS, DAYS, GAPPY, HOUR, USER, W, day_bars, hour_bars, sql_grid, user_bars, SIX
+from barloom.plans.base import BARS, DAYS, GAPPY, USER, W, day_bars, hour_bars, sql_grid, user_bars, SIX
 from barloom.plans.q_windows import SCORES_SQL, column_scores
 from barloom.plans.registry import query
 from barloom.sources.tables import table

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from barloom.functions.time import bucket_start, epoch_seconds
 from barloom.operators import aggregate as ag
-from barloom.operators.blocks import bounded
-from barloom.plans.base import BARS, DAYS, DENSE, GAPPY, HOUR, RET, USER, W, day_bars, hour_bars, hour_dense, hour_returns, stage_table, user_bars
+from barloom.operators.blocks import Grid
+from barloom.plans.base import BARS, DAYS, GAPPY, RET, USER, W, day_bars, hour_bars, hour_returns, user_bars
 from barloom.plans.registry import query
+from barloom.operators.quality import null_ratio
 from barloom.session import fresh_path, stage
 from barloom.sources import ingest, storage
 from barloom.sources.tables import table
@@ -60,7 +61,6 @@ def _(spark, d):
     coarse = (F.floor(F.col("price") / 40) * 40).cast("double").cast("string")
     raw = user_bars(spark, d).select("series", F.array(
         (epoch_seconds("ts") * 1000).cast("string"), _text("open"), _text("high"), _text("low"), coarse, _text("volume"), F.lit("0")).alias("row"))
-    from barloom.operators.blocks import Grid
     return ingest.klines(stage(raw), Grid(step=21600, dense=False), 60)
 
 
@@ -151,7 +151,7 @@ def _(spark, d):
     r, b = hour_returns(spark, d), hour_bars(spark, d)
     frames = [r.select("series", "ts", F.col("return").alias("target")), b.select("series", "ts", "price"),
               b.where("ticks > 1").select("series", "ts", "volume"), r.select("series", "ts", "jerk")]
-    return ingest.modeling_dataset(frames, ["series"], "ts", 150)
+    return ingest.modeling_dataset(frames, GAPPY, 150)
 
 
 @query("write_year_month", "series:s ts:t price:d4 year_month:s", f"{DAYS} SELECT series, ts, price, year(ts) || '_' || month(ts) AS year_month FROM days")
@@ -180,7 +180,6 @@ def _(spark, d):
 
 @query("quality_gated_write", "series:s ts:t price:d attempt:i", f"{BARS} SELECT series, ts, price, 2 AS attempt FROM bars")
 def _(spark, d):
-    from barloom.operators.quality import null_ratio
     path, out = fresh_path(spark, "gated"), None
     for attempt, frame in enumerate([hour_bars(spark, d).withColumn("price", F.when(F.col("ticks") > 1, F.col("price"))), hour_bars(spark, d)], 1):
         report = null_ratio(frame, ["series"], {"price": 0.1})

@@ -6,10 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from barloom.functions.time import epoch_seconds
 from barloom.operators import backtest as bt
-from barloom.operators.bars import bars
-from barloom.operators.blocks import Grid, bounded, frame
-from barloom.plans.base import BARS, DENSE, GAPPY, HOUR, W, hour_bars, hour_dense, stage_table
+from barloom.operators.blocks import bounded, frame
+from barloom.plans.base import BARS, DENSE, GAPPY, W, hour_bars, hour_dense
 from barloom.plans.q_backtest import BT_SQL, CERT_SQL, SETS, certain_rows, trading_input
 from barloom.plans.q_scalars import cdf_sql
 from barloom.plans.q_windows import ema_sql
@@ -101,7 +101,6 @@ def _(spark, d):
     st.replay(spark, chunks(ticks(spark, d)), lambda s, c: st.run_batches(
         st.last_seen(s), lambda batch, _: batch.write.mode("overwrite").parquet(path), c, "complete"))
     now = dt.datetime(2024, 1, 31, 6, 0, 0, tzinfo=dt.timezone.utc)
-    from barloom.functions.time import epoch_seconds
     age = (F.lit(int(now.timestamp())) - epoch_seconds("last_ts")) / 3600
     return spark.read.parquet(path).select("series", age.alias("hours_old"), (age > 12).alias("stale"))
 

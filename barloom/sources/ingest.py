@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.time import bucket_start, epoch_millis_to_ts, from_epoch
 from barloom.operators.blocks import Grid
 from barloom.operators.joins import align
 from barloom.operators.project import drop_flat_runs
+from barloom.operators.sets import tail_rows, tail_share
 
 # Positions in a kline row.
 KLINE = {"open": 1, "high": 2, "low": 3, "price": 4, "volume": 5}
@@ -21,9 +22,7 @@ def klines(raw: DataFrame, g: Grid, periods: int, drop_unfinished: bool = True)
     typed = raw.select(
         *g.keys, epoch_millis_to_ts(F.col("row")[0].cast("bigint")).alias(g.ts),
         *[F.col("row")[i].cast("double").alias(n) for n, i in KLINE.items()])
-    kept = drop_flat_runs(typed, g, "price")
-    newest = F.row_number().over(Window.partitionBy(*g.keys).orderBy(F.col(g.ts).desc()))
-    return kept.withColumn("_rn", newest).where(F.col("_rn").between(2 if drop_unfinished else 1, periods)).drop("_rn")
+    return tail_rows(drop_flat_runs(typed, g, "price"), g, periods, skip=1 if drop_unfinished else 0)
 
 
 def account_ratios(shares: DataFrame, top: DataFrame) -> DataFrame:
@@ -96,11 +95,9 @@ def key_uniform(*cols: str | Column, salt: str = "") -> Column:
 def combined_panel(y: DataFrame, x: DataFrame, g: Grid, keep: float, sample: float) -> DataFrame:
     """Targets and features of all series on common rows: the newest ``keep`` of each series, then a
     repeatable sample by key hash. Keys must be unique."""
-    from barloom.operators.sets import tail_share
     return tail_share(align([y, x], [*g.keys, g.ts]), g, keep).where(key_uniform(*g.keys, g.ts) < sample)
 
 
-def modeling_dataset(frames: Sequence[DataFrame], keys: Sequence[str], ts: str, periods: int) -> DataFrame:
+def modeling_dataset(frames: Sequence[DataFrame], g: Grid, periods: int) -> DataFrame:
     """Several tables cut to their common rows and to the last ``periods`` of each series."""
-    w = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
-    return align(frames, [*keys, ts]).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= periods).drop("_rn")
+    return tail_rows(align(frames, [*g.keys, g.ts]), g, periods)

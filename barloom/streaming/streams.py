@@ -9,9 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from barloom.operators.blocks import Grid
 from barloom.operators.sets import overlap_merge, tail_rows
@@ -20,9 +21,10 @@ from barloom.session import fresh_path, stage
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Folder of Parquet files as a stream."""
-    return spark.readStream.schema(schema).parquet(path)
+def source(spark: SparkSession, path: str, schema: StructType, max_files: int | None = None) -> DataFrame:
+    """Folder of Parquet files as a stream; ``max_files`` bounds a micro-batch after a long pause."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
 def run_append(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -62,10 +64,11 @@ def _day(df: DataFrame) -> DataFrame:
 
 def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of a day-partitioned table, empty before the first write."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
-        return spark.createDataFrame([], schema.add("day", "string") if "day" not in schema.names else schema)
-    return spark.read.schema(schema if "day" in schema.names else schema.add("day", "string")).parquet(path)
+    with_day = StructType([*schema.fields, StructField("day", StringType())])
+    try:
+        return spark.read.schema(with_day).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], with_day)
 
 
 def _write_days(df: DataFrame, path: str) -> None:
@@ -85,7 +88,7 @@ def revise(path: str, g: Grid, revisable: int = 24) -> Callable[[DataFrame, int]
         first = new.agg(F.min(F.date_format(g.ts, "yyyy-MM-dd"))).first()[0]
         if first is None:
             return
-        old = stored(spark, path, StructType(list(batch.schema.fields))).where(F.col("day") >= first).drop("day")
+        old = stored(spark, path, batch.schema).where(F.col("day") >= first).drop("day")
         _write_days(_day(stage(overlap_merge(stage(old), new, g, revisable))), path)
     return handle
 
@@ -99,7 +102,7 @@ def append_features(path: str, out: str, g: Grid, overlap: int, build: Callable[
         first = new.agg(F.min(F.date_format(g.ts, "yyyy-MM-dd"))).first()[0]
         if first is None:
             return
-        history = stored(spark, path, StructType(list(batch.schema.fields))).drop("day")
+        history = stored(spark, path, batch.schema).drop("day")
         past = tail_rows(history.join(new.select(*g.keys, g.ts), [*g.keys, g.ts], "left_anti"), g, overlap)
         both = stage(past.withColumn("_new", F.lit(False)).unionByName(new))
         _write_days(_day(build(both).where("_new").drop("_new")), out)
@@ -120,7 +123,7 @@ def store_snapshot(path: str, g: Grid, rows: int = 150) -> Callable[[DataFrame,
 
 def live_snapshots(spark: SparkSession, path: str, schema: StructType, keep: int) -> DataFrame:
     """The newest ``keep`` snapshots; older partitions are not read."""
-    df = spark.read.schema(schema.add("snapshot", "string")).parquet(path)
+    df = spark.read.schema(StructType([*schema.fields, StructField("snapshot", StringType())])).parquet(path)
     newest = [r.snapshot for r in df.select("snapshot").distinct().orderBy(F.col("snapshot").desc()).limit(keep).collect()]
     return df.where(F.col("snapshot").isin(newest))
 
