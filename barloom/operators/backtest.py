@@ -285,8 +285,12 @@ def sweep(df: DataFrame, g: Grid, rows: Sequence[dict], fit: DataFrame | None =
 
 
 def best_sets(performance: DataFrame, keys: Sequence[str], metric: str = "trading_metric") -> DataFrame:
-    """The parameter set with the greatest metric per key; then average return, then the lower id."""
-    w = Window.partitionBy(*keys).orderBy(F.col(metric).desc(), F.col("avg_real_trading_return").desc_nulls_last(), "pid")
+    """The parameter set with the greatest metric per key; then average return, then the lower id.
+
+    Values equal to 12 decimals are ties, so the order of a sum does not decide.
+    """
+    w = Window.partitionBy(*keys).orderBy(
+        F.round(metric, 12).desc_nulls_last(), F.round("avg_real_trading_return", 12).desc_nulls_last(), "pid")
     return performance.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -320,7 +324,7 @@ def threshold_search(df: DataFrame, g: Grid, base: dict, candidates: DataFrame,
     fit = fit_normal(residuals(df), list(g.keys))
     table = stage(backtest(df.join(rules.drop("q", "value"), list(g.keys)), keyed, fit, list(g.keys)))
     scored = measure(table, keyed).join(rules.select(*g.keys, "pid", "q", "value"), [*g.keys, "pid"])
-    w = Window.partitionBy(*g.keys).orderBy(F.col(metric).desc_nulls_last(), "q")
+    w = Window.partitionBy(*g.keys).orderBy(F.round(metric, 12).desc_nulls_last(), "q")
     return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*g.keys, "q", "value", metric)
 
 

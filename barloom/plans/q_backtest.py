@@ -248,7 +248,7 @@ def swept(spark, d):
     return bt.sweep(trading_input(spark, d), HOUR, SWEEP)
 
 
-@query("parameter_sweep", "series:s pid:i trading_metric:d avg_real_trading_return:d weighted_trading_accuracy:d", f"""{SWEEP_SQL} SELECT * FROM ({_METRICS}) QUALIFY row_number() OVER (PARTITION BY series ORDER BY trading_metric DESC, avg_real_trading_return DESC NULLS LAST, pid) = 1""")
+@query("parameter_sweep", "series:s pid:i trading_metric:d avg_real_trading_return:d weighted_trading_accuracy:d", f"""{SWEEP_SQL} SELECT * FROM ({_METRICS}) QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(trading_metric, 12) DESC, round(avg_real_trading_return, 12) DESC NULLS LAST, pid) = 1""")
 def _(spark, d):
     return bt.best_sets(swept(spark, d), ["series"])
 
@@ -261,7 +261,7 @@ SEARCH_SQL = measure_sql(bt_sql([], "SELECT series, CAST(round(q * 10000) AS INT
 
 
 @query("threshold_search", "series:s q:d value:d avg_real_trading_return:d", f"""{SEARCH_SQL}, cand AS ({_CAND}) SELECT p.series, q, value, avg_real_trading_return FROM perf p JOIN cand c ON c.series = p.series AND CAST(round(c.q * 10000) AS INT) = p.pid
-QUALIFY row_number() OVER (PARTITION BY p.series ORDER BY avg_real_trading_return DESC NULLS LAST, q) = 1""")
+QUALIFY row_number() OVER (PARTITION BY p.series ORDER BY round(avg_real_trading_return, 12) DESC NULLS LAST, q) = 1""")
 def _(spark, d):
     x = trading_input(spark, d)
     up = stage(x.where("real_return >= 0").select("series", (F.col("high") / F.col("open") - 1).alias("r")))

@@ -311,7 +311,7 @@ def _(spark, d):
     return fc.adjust(x.where("ts >= timestamp_ntz'2024-01-20'"), train, ["series"], "real_return", 0.002, True)
 
 
-@query("best_series_for_model", "pid:i series:s metric:d", f"{SWEEP_SQL} SELECT pid, series, weighted_trading_accuracy AS metric FROM perf QUALIFY row_number() OVER (PARTITION BY pid ORDER BY weighted_trading_accuracy DESC NULLS LAST, series) = 1")
+@query("best_series_for_model", "pid:i series:s metric:d", f"{SWEEP_SQL} SELECT pid, series, weighted_trading_accuracy AS metric FROM perf QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(weighted_trading_accuracy, 12) DESC NULLS LAST, round(avg_real_trading_return, 12) DESC NULLS LAST, series) = 1")
 def _(spark, d):
     return bt.best_sets(swept(spark, d).withColumnsRenamed({"pid": "_p"}).withColumn("pid", F.col("series")), ["_p"], "weighted_trading_accuracy").select(
         F.col("_p").alias("pid"), "series", F.col("weighted_trading_accuracy").alias("metric"))
@@ -344,7 +344,7 @@ def _(spark, d):
 
 # Models of the registry: the swept parameter sets of every series.
 MODELS_SQL = f"""{SWEEP_SQL}, mreg AS MATERIALIZED (SELECT series || '-' || pid AS model_id, series, CASE WHEN pid % 7 = 0 THEN 'production' WHEN pid % 3 = 0 THEN 'staging' ELSE 'development' END AS stage0, pid, pid % 2 AS leverage_class, pid // 8 AS threshold_class,
- weighted_ml_accuracy AS val_metric, weighted_trading_accuracy AS opt_metric, est_monthly_ret AS opt_monthly_ret, n_trade_perc - 0.5 AS val_tuning, long_rate < 0.6 AS checks_pass FROM perf),
+ round(weighted_ml_accuracy, 9) AS val_metric, round(weighted_trading_accuracy, 9) AS opt_metric, est_monthly_ret AS opt_monthly_ret, n_trade_perc - 0.5 AS val_tuning, long_rate < 0.6 AS checks_pass FROM perf),
 md AS MATERIALIZED (SELECT * EXCLUDE (stage0), CASE WHEN stage0 = 'production' AND row_number() OVER (PARTITION BY series, stage0 ORDER BY pid) > 1 THEN 'development' ELSE stage0 END AS stage FROM mreg)"""
 
 
@@ -354,8 +354,8 @@ def models(spark, d):
     m = swept(spark, d).select(
         F.concat_ws("-", "series", p.cast("string")).alias("model_id"), "series",
         F.when(p % 7 == 0, "production").when(p % 3 == 0, "staging").otherwise("development").alias("stage"), "pid",
-        (p % 2).alias("leverage_class"), F.floor(p / 8).alias("threshold_class"), F.col("weighted_ml_accuracy").alias("val_metric"),
-        F.col("weighted_trading_accuracy").alias("opt_metric"), F.col("est_monthly_ret").alias("opt_monthly_ret"),
+        (p % 2).alias("leverage_class"), F.floor(p / 8).alias("threshold_class"), F.round("weighted_ml_accuracy", 9).alias("val_metric"),
+        F.round("weighted_trading_accuracy", 9).alias("opt_metric"), F.col("est_monthly_ret").alias("opt_monthly_ret"),
         (F.col("n_trade_perc") - 0.5).alias("val_tuning"), (F.col("long_rate") < 0.6).alias("checks_pass"))
     spare = (F.col("stage") == "production") & (F.row_number().over(Window.partitionBy("series", "stage").orderBy("pid")) > 1)
     return m.withColumn("_s", spare).withColumn("stage", F.when(F.col("_s"), "development").otherwise(F.col("stage"))).drop("_s")
