@@ -70,15 +70,15 @@ def fit_best(df: DataFrame, keys: Sequence[str], limit: float = 2.1, families: S
     span = F.col("_hi") - F.col("_lo")
     var = F.col("_s") * F.col("_s")
     mean0 = F.col("_m") - start
-    mean1, var1 = (F.col("_m") - F.col("_lo")) / span, var / (span * span)
-    common = mean1 * (1 - mean1) / var1 - 1
+    mean1, var1 = F.try_divide(F.col("_m") - F.col("_lo"), span), F.try_divide(var, span * span)
+    common = F.try_divide(mean1 * (1 - mean1), var1) - 1
     cdf = {
-        "norm": lambda: normal_cdf((v - F.col("_m")) / F.col("_s")),
-        "expon": lambda: 1 - F.exp(-(v - F.col("_lo")) / (F.col("_m") - F.col("_lo"))),
-        "uniform": lambda: (v - F.col("_lo")) / span,
-        "lognorm": lambda: normal_cdf((F.ln(v - start) - F.col("_lm")) / F.col("_ls")),
-        "gamma": lambda: stats.gamma_cdf((v - start) * mean0 / var, mean0 * mean0 / var),
-        "beta": lambda: stats.beta_cdf((v - F.col("_lo")) / span, mean1 * common, (1 - mean1) * common),
+        "norm": lambda: normal_cdf(F.try_divide(v - F.col("_m"), F.col("_s"))),
+        "expon": lambda: 1 - F.exp(-F.try_divide(v - F.col("_lo"), F.col("_m") - F.col("_lo"))),
+        "uniform": lambda: F.try_divide(v - F.col("_lo"), span),
+        "lognorm": lambda: normal_cdf(F.try_divide(F.ln(v - start) - F.col("_lm"), F.col("_ls"))),
+        "gamma": lambda: stats.gamma_cdf(F.try_divide((v - start) * mean0, var), F.try_divide(mean0 * mean0, var)),
+        "beta": lambda: stats.beta_cdf(F.try_divide(v - F.col("_lo"), span), mean1 * common, (1 - mean1) * common),
     }
     ranked = value_ranks(kept, keys, "return_residual").join(fit, list(keys)).withColumns({f"_f_{f}": cdf[f]() for f in families})
     above, below = (F.col("_last") + 1) / F.col("_total"), F.col("_first") / F.col("_total")
@@ -244,7 +244,7 @@ def measure(df: DataFrame, g: Grid, smooth_returns: bool = True, month: int = 72
         share(cls("short_point"), cls("short_point") + cls("short_fail")).alias("ssr"),
         F.avg(when(traded, (F.col("kind") == "long").cast("double"))).alias("long_rate"),
     )
-    t = F.try_divide(F.col("avg_real_trading_return"), F.col("_std") / F.sqrt("_n"))
+    t = F.try_divide(F.col("avg_real_trading_return") * F.sqrt("_n"), F.col("_std"))
     out = out.withColumn("est_stand_error", F.try_divide("_rmse", "est_monthly_ret")).withColumn("_t", t)
     out = out.withColumn("est_sharpe_ratio", F.try_divide("est_monthly_ret", "est_stand_error"))
     out = out.withColumn("_p", stats.t_two_sided(F.col("_t"), (F.col("_n") - 1).cast("double")))
@@ -347,8 +347,8 @@ def residual_drift(df: DataFrame, g: Grid, level: float = 0.05) -> DataFrame:
         F.count_if(~late).alias("n1"), F.count_if(late).alias("n2"), F.avg(F.when(~late, r)).alias("m1"), F.avg(F.when(late, r)).alias("m2"),
         F.var_samp(F.when(~late, r)).alias("v1"), F.var_samp(F.when(late, r)).alias("v2"),
         F.regr_intercept(r, x).alias("alpha"), F.regr_slope(r, x).alias("beta"))
-    pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
-    out = a.withColumn("t", F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))))
+    pooled = F.try_divide((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2"), (F.col("n1") + F.col("n2") - 2).cast("double"))
+    out = a.withColumn("t", F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(pooled * (F.try_divide(F.lit(1.0), F.col("n1")) + F.try_divide(F.lit(1.0), F.col("n2"))))))
     out = out.withColumn("p_value", stats.t_two_sided(F.col("t"), (F.col("n1") + F.col("n2") - 2).cast("double")))
     drifts = F.col("p_value") < level
     return out.select(*g.keys, "t", "p_value", F.when(drifts, F.col("alpha")).alias("alpha"), F.when(drifts, F.col("beta")).alias("beta"))
@@ -386,7 +386,7 @@ def autocorrelation(df: DataFrame, g: Grid, lags: int = 10) -> DataFrame:
     cells, q = [], F.lit(0.0)
     for k in range(1, lags + 1):
         rho = F.try_divide(f"c{k}", "c0")
-        q = q + rho * rho / (n - k)
+        q = q + F.try_divide(rho * rho, (n - k).cast("double"))
         cells.append(F.struct(F.lit(k).alias("lag"), rho.alias("acf"), (n * (n + 2) * q).alias("q")))
     out = sums.select(*g.keys, F.explode(F.array(*cells)).alias("_l")).select(*g.keys, "_l.*")
     return out.withColumn("p_value", stats.chi2_upper(F.col("q"), F.col("lag").cast("double")))

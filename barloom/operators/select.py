@@ -230,9 +230,9 @@ def binary_target_tests(df: DataFrame, features: Sequence[str], target: str) ->
             F.var_samp(F.when(~up, x)).alias("v0"), F.var_samp(F.when(up, x)).alias("v1"),
             F.count_if(~up & hi).cast("double").alias("h0"), F.count_if(up & hi).cast("double").alias("h1")))
     rows = known.agg(F.array(*aggs).alias("_a")).select(F.explode("_a").alias("_r")).select("_r.*")
-    a, b = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
+    a, b = F.try_divide("v0", "n0"), F.try_divide("v1", "n1")
     t = F.try_divide(F.col("m0") - F.col("m1"), F.sqrt(a + b))
-    dof = F.try_divide((a + b) * (a + b), a * a / (F.col("n0") - 1) + b * b / (F.col("n1") - 1))
+    dof = F.try_divide((a + b) * (a + b), F.try_divide(a * a, F.col("n0") - 1) + F.try_divide(b * b, F.col("n1") - 1))
     l0, l1 = F.col("n0") - F.col("h0"), F.col("n1") - F.col("h1")
     n = F.col("n0") + F.col("n1")
     gap = F.abs(F.col("h0") * l1 - F.col("h1") * l0)

@@ -27,7 +27,7 @@ RESAMPLE_SQL = f"""{HALF}, res AS (SELECT series, date_trunc('hour', ts) AS ts,
 
 def resampled(spark, d):
     half = half_bars(spark, d).withColumns({
-        "on_chain_rate": F.col("ticks"), "long_short_top": F.col("ticks"), "sentiment_lc_score": F.col("price") / F.col("open"),
+        "on_chain_rate": F.col("ticks"), "long_short_top": F.col("ticks"), "sentiment_lc_score": F.try_divide("price", "open"),
     }).withColumnsRenamed(_NAMES)
     return resample(half, 3600)
 
@@ -61,7 +61,7 @@ def _(spark, d):
 @query("fills_vwap", "symbol:s type:s side:s bucket:t avg_price:d4 quantity:d stop_price:d4", """SELECT l_suppkey AS symbol, l_returnflag AS type, l_linestatus AS side, date_trunc('month', l_shipdate) AS bucket,
  sum(l_extendedprice) / sum(l_quantity) AS avg_price, sum(l_quantity) AS quantity, sum(l_extendedprice * (1 - l_discount)) / sum(l_quantity) AS stop_price FROM lineitem WHERE l_tax < 0.05 GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
-    unit = F.col("l_extendedprice") / F.col("l_quantity")
+    unit = F.try_divide("l_extendedprice", "l_quantity")
     fills = table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("symbol"), F.col("l_returnflag").alias("type"), F.col("l_linestatus").alias("side"), "l_shipdate",
         F.when(F.col("l_tax") < 0.05, "FILLED").otherwise("CANCELED").alias("status"), unit.alias("price"),
@@ -218,7 +218,7 @@ _QS = [0.7 + 0.29 * i / 28 for i in range(29)]
 
 @query("series_quantiles", "series:s q:d value:d", f"""{BARS}, x AS (SELECT series, high / open - 1 AS r FROM bars) SELECT series, unnest([{", ".join(map(repr, _QS))}]) AS q, unnest(quantile_cont(r, [{", ".join(map(repr, _QS))}])) AS value FROM x GROUP BY series""")
 def _(spark, d):
-    x = hour_bars(spark, d).select("series", (F.col("high") / F.col("open") - 1).alias("r"))
+    x = hour_bars(spark, d).select("series", (F.try_divide("high", "open") - 1).alias("r"))
     qs = F.array(*[F.lit(q) for q in _QS])
     return ag.exact_quantiles(stage(x), ["series"], "r", _QS).select(
         "series", F.explode(F.arrays_zip(qs.alias("q"), F.col("quantiles").alias("value"))).alias("z")).select("series", "z.q", "z.value")

@@ -36,7 +36,7 @@ inp AS (SELECT u.series, ts, open, high, low, price, real_return, CASE WHEN (ua
 @stage_table
 def trading_input(spark, d):
     c = F.coalesce("return", F.lit(0.0))
-    raw = hour_returns(spark, d).withColumns({"real_return": 0.02 * c / (1 + F.abs(c)), "_w": 0.02 * (F.col("high") - F.col("low")) / (F.col("high") + F.col("low"))})
+    raw = hour_returns(spark, d).withColumns({"real_return": 0.02 * c / (1 + F.abs(c)), "_w": F.coalesce(0.02 * F.try_divide(F.col("high") - F.col("low"), F.col("high") + F.col("low")), F.lit(0.0))})
     close = F.col("open") * (1 + F.col("real_return"))
     bars = raw.select("series", "ts", "open", (F.greatest("open", close) * (1 + F.col("_w"))).alias("high"),
                       (F.least("open", close) * (1 - F.col("_w"))).alias("low"), close.alias("price"), "real_return")
@@ -264,7 +264,7 @@ SEARCH_SQL = measure_sql(bt_sql([], "SELECT series, CAST(round(q * 10000) AS INT
 QUALIFY row_number() OVER (PARTITION BY p.series ORDER BY round(avg_real_trading_return, 12) DESC NULLS LAST, q) = 1""")
 def _(spark, d):
     x = trading_input(spark, d)
-    up = stage(x.where("real_return >= 0").select("series", (F.col("high") / F.col("open") - 1).alias("r")))
+    up = stage(x.where("real_return >= 0").select("series", (F.try_divide("high", "open") - 1).alias("r")))
     qs = F.array(*[F.lit(q) for q in _QS])
     cand = stage(ag.exact_quantiles(up, ["series"], "r", _QS).select(
         "series", F.explode(F.arrays_zip(qs.alias("q"), F.col("quantiles").alias("value"))).alias("z")).select("series", "z.q", "z.value"))

@@ -19,7 +19,7 @@ X = ["x_ret", "x_acc", "x_vol", "x_ticks", "x_range", "x_body", "x_copy", "b_up"
 CATS = ["manual_session", "manual_busy"]
 _WT = f"OVER ({W})"
 FEAT = f"""{RET}, feat AS (SELECT series, ts, y, acceleration, jerk, x_ret, x_acc, x_vol, x_ticks, x_range, x_body, 2 * x_body + 0.001 * x_range AS x_copy, CASE WHEN x_ret >= 0 THEN 1.0 ELSE 0.0 END AS b_up,
- CASE WHEN hour(ts) < 8 THEN 'asia' WHEN hour(ts) < 16 THEN 'europe' ELSE 'america' END AS manual_session, CASE WHEN x_ticks > 2 THEN 'busy' ELSE 'calm' END AS manual_busy
+ CASE WHEN hour(ts) < 8 THEN 'asia' WHEN hour(ts) < 16 THEN 'europe' ELSE 'america' END AS manual_session, CASE WHEN x_body > 0 THEN 'busy' ELSE 'calm' END AS manual_busy
  FROM (SELECT series, ts, "return" AS y, acceleration, jerk, lag("return") {_WT} AS x_ret, lag(acceleration) {_WT} AS x_acc, lag(volume) {_WT} AS x_vol, CAST(lag(ticks) {_WT} AS DOUBLE) AS x_ticks,
  lag((high - low) / open) {_WT} AS x_range, lag((price - open) / open) {_WT} AS x_body FROM rets) WHERE x_acc IS NOT NULL)"""
 
@@ -30,14 +30,14 @@ def feat(spark, d):
     r = hour_returns(spark, d)
     rows = bounded(r, HOUR, lambda w: {
         "x_ret": F.lag("return").over(w), "x_acc": F.lag("acceleration").over(w), "x_vol": F.lag("volume").over(w),
-        "x_ticks": F.lag("ticks").over(w).cast("double"), "x_range": F.lag((F.col("high") - F.col("low")) / F.col("open")).over(w),
-        "x_body": F.lag((F.col("price") - F.col("open")) / F.col("open")).over(w)}, back=1)
+        "x_ticks": F.lag("ticks").over(w).cast("double"), "x_range": F.lag(F.try_divide(F.col("high") - F.col("low"), F.col("open"))).over(w),
+        "x_body": F.lag(F.try_divide(F.col("price") - F.col("open"), F.col("open"))).over(w)}, back=1)
     h = F.hour("ts")
     return rows.where("x_acc is not null").select(
         "series", "ts", F.col("return").alias("y"), "acceleration", "jerk", *X[:6],
         (2 * F.col("x_body") + 0.001 * F.col("x_range")).alias("x_copy"), F.when(F.col("x_ret") >= 0, 1.0).otherwise(0.0).alias("b_up"),
         F.when(h < 8, "asia").when(h < 16, "europe").otherwise("america").alias("manual_session"),
-        F.when(F.col("x_ticks") > 2, "busy").otherwise("calm").alias("manual_busy"))
+        F.when(F.col("x_body") > 0, "busy").otherwise("calm").alias("manual_busy"))
 
 
 def _names(spark, names):

@@ -82,7 +82,7 @@ GRID_OF_RULES = [{"threshold": t, "fee": f} for t in (0.5, 0.6, 0.7) for f in (-
 SELECT series, threshold, fee, count(*) AS n, sum(price * fee) AS cost FROM bars, p WHERE price / high > threshold GROUP BY ALL""")
 def _(spark, d):
     rows = joins.with_parameters(hour_bars(spark, d), GRID_OF_RULES)
-    return rows.where(F.col("price") / F.col("high") > F.col("param.threshold")).groupBy(
+    return rows.where(F.try_divide("price", "high") > F.col("param.threshold")).groupBy(
         "series", F.col("param.threshold").alias("threshold"), F.col("param.fee").alias("fee")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("price") * F.col("param.fee")).alias("cost"))
 

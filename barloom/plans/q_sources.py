@@ -84,7 +84,7 @@ def _(spark, d):
 def _(spark, d):
     b = hour_bars(spark, d).where("series = 'click'")
     raw = b.select(epoch_seconds("ts").cast("string").alias("time"), F.lit("x").alias("market_dominance"), *[c.cast("string").alias(n) for n, c in zip(ingest.SOCIAL, [
-        F.col("volume"), F.col("price"), F.col("high") - F.col("low"), F.col("ticks"), F.col("open"), F.col("high"), F.col("low"), F.col("price") / F.col("high")])])
+        F.col("volume"), F.col("price"), F.col("high") - F.col("low"), F.col("ticks"), F.col("open"), F.col("high"), F.col("low"), F.try_divide("price", "high")])])
     return ingest.sentiment(raw)
 
 
