@@ -109,12 +109,12 @@ def side() -> Column:
 
 def position_flow(df: DataFrame, g: Grid) -> DataFrame:
     """Flow (side kept until an opposite certain one) and the position of the last certain row."""
-    first = bounded(df, g, lambda w: {"_first": F.lag(F.lit(1)).over(w).isNull()}, back=1)
-    placed = stage(first.withColumn("_at", F.floor(epoch_seconds(g.ts) / g.step)))
-    return running(placed, g, {
-        "flow": ("last", F.when(_certain() | F.col("_first"), F.col("kind"))),
+    placed = stage(df.withColumn("_at", F.floor(epoch_seconds(g.ts) / g.step)))
+    out = running(placed, g, {
+        "_turn": ("last", F.when(_certain(), F.col("kind"))), "_open": ("opening", F.col("kind")),
         "_sure": ("last", F.when(_certain(), F.col("_at"))),
     })
+    return out.withColumn("flow", F.coalesce("_turn", "_open")).drop("_turn", "_open")
 
 
 def take_profit_stop_loss(df: DataFrame) -> DataFrame:
@@ -137,7 +137,7 @@ def trading_signal(df: DataFrame, g: Grid) -> DataFrame:
     p = F.col("param")
     allowed = F.when(side() == "long", p["long_permission"]).otherwise(p["short_permission"])
     out = out.withColumn("trading_signal", F.when(p["follow_flow"], held).otherwise(_certain()) & allowed)
-    return out.withColumn("passive_trading", p["follow_flow"] & F.col("trading_signal") & ~_certain()).drop("_stop", "_sure", "_at", "_first")
+    return out.withColumn("passive_trading", p["follow_flow"] & F.col("trading_signal") & ~_certain()).drop("_stop", "_sure", "_at")
 
 
 def exposures(df: DataFrame) -> DataFrame:
@@ -210,6 +210,11 @@ def return_weights(df: DataFrame, g: Grid, ratio: float) -> DataFrame:
     return out.withColumn("ret_weight", x1 + F.col("_rn") / F.col("_n") * (x2 - x1)).drop("_rn", "_n")
 
 
+# Columns of a back-test table that its performance needs.
+MEASURED = ["trading_signal", "real_trading_return", "total_cum_returns", "certainty", "param", "ml_accuracy", "trading_accuracy",
+            "return_residual", "real_return", "trade_class", "kind"]
+
+
 def measure(df: DataFrame, g: Grid, smooth_returns: bool = True, month: int = 720) -> DataFrame:
     """Performance of each key in one row."""
     keys = list(g.keys)
@@ -281,7 +286,8 @@ def sweep(df: DataFrame, g: Grid, rows: Sequence[dict], fit: DataFrame | None =
     """Performance of every parameter set on every series, all sets in one plan."""
     keyed = Grid(keys=(*g.keys, "pid"), ts=g.ts, step=g.step, block=g.block, dense=g.dense)
     fit = fit if fit is not None else fit_normal(residuals(df), list(g.keys))
-    return metrics(measure(stage(backtest(with_rules(df, rows), keyed, fit, list(g.keys))), keyed))
+    table = backtest(with_rules(df, rows), keyed, fit, list(g.keys)).select(*keyed.keys, g.ts, *MEASURED)
+    return metrics(measure(stage(table), keyed))
 
 
 def best_sets(performance: DataFrame, keys: Sequence[str], metric: str = "trading_metric") -> DataFrame:
@@ -322,8 +328,8 @@ def threshold_search(df: DataFrame, g: Grid, base: dict, candidates: DataFrame,
     rules = sets.select(*g.keys, "pid", "q", "value", F.struct(*[fields[k].alias(k) for k in RULES]).alias("param"))
     keyed = Grid(keys=(*g.keys, "pid"), ts=g.ts, step=g.step, block=g.block, dense=g.dense)
     fit = fit_normal(residuals(df), list(g.keys))
-    table = stage(backtest(df.join(rules.drop("q", "value"), list(g.keys)), keyed, fit, list(g.keys)))
-    scored = measure(table, keyed).join(rules.select(*g.keys, "pid", "q", "value"), [*g.keys, "pid"])
+    table = backtest(df.join(rules.drop("q", "value"), list(g.keys)), keyed, fit, list(g.keys)).select(*keyed.keys, g.ts, *MEASURED)
+    scored = measure(stage(table), keyed).join(rules.select(*g.keys, "pid", "q", "value"), [*g.keys, "pid"])
     w = Window.partitionBy(*g.keys).orderBy(F.round(metric, 12).desc_nulls_last(), "q")
     return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*g.keys, "q", "value", metric)
 

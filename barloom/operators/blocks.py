@@ -125,6 +125,7 @@ _RUNNING = {
     "last": ("max_by({v}, {k})", "last({t}, true)", _BEFORE, "last({v}, true)", _UPTO, "coalesce({l}, {c})"),
     "last_before": ("max_by({v}, {k})", "last({t}, true)", _BEFORE, "last({v}, true)", _BEFORE, "coalesce({l}, {c})"),
     "next": ("min_by({v}, {k})", "last({t}, true)", f"DESC {_BEFORE}", "last({v}, true)", f"DESC {_UPTO}", "coalesce({l}, {c})"),
+    "opening": ("min_by({v}, _pos)", "first({t})", _BEFORE, "first({v})", _UPTO, "coalesce({c}, {l})"),
     "sum": ("sum({v})", "sum({t})", _BEFORE, "sum({v})", _UPTO, "coalesce({l} + {c}, {l}, {c})"),
     "count": ("count({v})", "sum({t})", _BEFORE, "count({v})", _UPTO, "{l} + coalesce({c}, 0)"),
     "min": ("min({v})", "min({t})", _BEFORE, "min({v})", _UPTO, "least({l}, {c})"),
@@ -140,7 +141,8 @@ def running(df: DataFrame, g: Grid, specs: dict[str, tuple[str, Column]]) -> Dat
     """Add unbounded prefix columns: ``{name: (kind, value)}``.
 
     ``last``        last non-null value up to the row      ``last_before``  the same, row excluded
-    ``next``        first non-null value from the row on   ``sum/count/min/max``  running aggregate
+    ``next``        first non-null value from the row on   ``opening``      value of the series' first row (not null)
+    ``sum/count/min/max``  running aggregate
 
     The input is read twice (block totals, block rows): pass a table, see ``session.stage``.
     """

@@ -21,6 +21,11 @@ from barloom.streaming import streams as st
 CUTS = ["2024-01-01", "2024-01-11", "2024-01-21", "2024-02-11"]
 
 
+def _replay(spark, parts, run):
+    """State partitions stay at most 8 here: the replayed inputs are small."""
+    st.replay(spark, parts, run, min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def chunks(df):
     """Three consecutive time ranges."""
     return [df.where(f"ts >= timestamp_ntz'{a}' and ts < timestamp_ntz'{b}'") for a, b in zip(CUTS, CUTS[1:])]
@@ -29,7 +34,7 @@ def chunks(df):
 @query("stream_tumbling_bars", "series:s ts:t open:d high:d low:d price:d volume:d", f"{BARS} SELECT series, ts, open, high, low, price, volume FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 24 HOUR FROM events)")
 def _(spark, d):
     out = fresh_path(spark, "bars")
-    st.replay(spark, chunks(ticks(spark, d)), lambda s, c: st.run_append(st.tumbling_bars(s, 3600, "24 hours"), out, c))
+    _replay(spark, chunks(ticks(spark, d)), lambda s, c: st.run_append(st.tumbling_bars(s, 3600, "24 hours"), out, c))
     return spark.read.parquet(out)
 
 
@@ -45,7 +50,7 @@ def _(spark, d):
         "series", "ts", (F.col("volume") * f).alias("volume"), (F.col("high") * f).alias("high"))
     fetches = [part(1.0, "2024-01-01", "2024-01-11"), part(1.01, "2024-01-09", "2024-01-21"), part(1.02, "2024-01-19", "2024-02-11")]
     path = fresh_path(spark, "revised")
-    st.replay(spark, fetches, lambda s, c: st.run_batches(s, st.revise(path, GAPPY), c))
+    _replay(spark, fetches, lambda s, c: st.run_batches(s, st.revise(path, GAPPY), c))
     return spark.read.parquet(path)
 
 
@@ -53,7 +58,7 @@ def _(spark, d):
 def _(spark, d):
     path, out = fresh_path(spark, "stored"), fresh_path(spark, "features")
     build = lambda df: bounded(df, GAPPY, lambda w: {"mean_6": F.avg("price").over(frame(w, 6))}, back=5)
-    st.replay(spark, chunks(hour_bars(spark, d).select("series", "ts", "price")), lambda s, c: st.run_batches(s, st.append_features(path, out, GAPPY, 10, build), c))
+    _replay(spark, chunks(hour_bars(spark, d).select("series", "ts", "price")), lambda s, c: st.run_batches(s, st.append_features(path, out, GAPPY, 10, build), c))
     return spark.read.parquet(out)
 
 
@@ -62,7 +67,7 @@ def _(spark, d):
     e = table(spark, d, "events").select("event_id", "ts", "value")
     doubled = [c.unionByName(c.where("event_id % 3 = 0")) for c in chunks(e)]
     out = fresh_path(spark, "unique")
-    st.replay(spark, doubled, lambda s, c: st.run_append(st.dedup(s, ["event_id"], "30 days"), out, c))
+    _replay(spark, doubled, lambda s, c: st.run_append(st.dedup(s, ["event_id"], "30 days"), out, c))
     return spark.read.parquet(out).withColumn("ts", F.expr("cast(date_trunc('SECOND', ts) as timestamp_ntz)"))
 
 
@@ -72,7 +77,7 @@ def _(spark, d):
     rows = certain_rows(spark, d).where("pid = 1").select("series", "ts", "certainty", "kind", "open", "high", "low")
     out = fresh_path(spark, "positions")
     make = lambda: st.PositionState(rule["certainty_threshold"], rule["ltp"], rule["stp"], rule["lsl"], rule["ssl"])
-    st.replay(spark, chunks(rows), lambda s, c: st.run_append(
+    _replay(spark, chunks(rows), lambda s, c: st.run_append(
         st.with_state(s, make(), "series string, ts timestamp_ntz, flow string, trading_signal boolean"), out, c))
     return spark.read.parquet(out)
 
@@ -81,7 +86,7 @@ def _(spark, d):
 def _(spark, d):
     out = fresh_path(spark, "ema")
     rows = hour_dense(spark, d).select("series", "ts", "open", "high", "low", "price")
-    st.replay(spark, chunks(rows), lambda s, c: st.run_append(
+    _replay(spark, chunks(rows), lambda s, c: st.run_append(
         st.with_state(s, st.EmaState(2 / 11), "series string, ts timestamp_ntz, ema double, ha_open double"), out, c))
     return spark.read.parquet(out)
 
@@ -91,14 +96,14 @@ SELECT series, ts, price, strftime(max(ts) OVER (PARTITION BY k), '%Y%m%d%H%M%S'
 def _(spark, d):
     path = fresh_path(spark, "snapshots")
     rows = hour_bars(spark, d).select("series", "ts", "price")
-    st.replay(spark, chunks(rows), lambda s, c: st.run_batches(s, st.store_snapshot(path, GAPPY), c))
+    _replay(spark, chunks(rows), lambda s, c: st.run_batches(s, st.store_snapshot(path, GAPPY), c))
     return st.live_snapshots(spark, path, rows.schema, 2)
 
 
 @query("stream_freshness", "series:s hours_old:d stale:b", """SELECT event_type AS series, epoch(TIMESTAMP '2024-01-31 06:00:00' - max(date_trunc('second', ts))) / 3600.0 AS hours_old, epoch(TIMESTAMP '2024-01-31 06:00:00' - max(date_trunc('second', ts))) / 3600.0 > 12 AS stale FROM events GROUP BY 1""")
 def _(spark, d):
     path = fresh_path(spark, "seen")
-    st.replay(spark, chunks(ticks(spark, d)), lambda s, c: st.run_batches(
+    _replay(spark, chunks(ticks(spark, d)), lambda s, c: st.run_batches(
         st.last_seen(s), lambda batch, _: batch.write.mode("overwrite").parquet(path), c, "complete"))
     now = dt.datetime(2024, 1, 31, 6, 0, 0, tzinfo=dt.timezone.utc)
     age = (F.lit(int(now.timestamp())) - epoch_seconds("last_ts")) / 3600
@@ -122,5 +127,5 @@ def _(spark, d):
         bt.take_profit_stop_loss(ruled).select("series", "ts", "return_forecast", "certainty", "kind", "tp_price", "sl_price").withColumn(
             "batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
 
-    st.replay(spark, chunks(x), lambda s, c: st.run_batches(s, score, c))
+    _replay(spark, chunks(x), lambda s, c: st.run_batches(s, score, c))
     return spark.read.parquet(out)

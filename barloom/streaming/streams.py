@@ -194,9 +194,19 @@ def with_state(rows: DataFrame, processor: StatefulProcessor, schema: str) -> Da
     return rows.groupBy("series").transformWithStateInPandas(processor, schema, "Append", "None")
 
 
-def replay(spark: SparkSession, chunks: Sequence[DataFrame], run: Callable[[DataFrame, str], None]) -> None:
-    """Feed chunks one after the other, with one scheduled run after each, as an incremental job sees them."""
+def replay(spark: SparkSession, chunks: Sequence[DataFrame], run: Callable[[DataFrame, str], None], partitions: int | None = None) -> None:
+    """Feed chunks one after the other, with one scheduled run after each, as an incremental job sees them.
+
+    ``partitions`` sets the number of state partitions, which a stateful query keeps for its lifetime.
+    """
     inbox, checkpoint = fresh_path(spark, "inbox"), fresh_path(spark, "checkpoint")
-    for chunk in chunks:
-        chunk.write.mode("append").parquet(inbox)
-        run(source(spark, inbox, chunk.schema), checkpoint)
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    try:
+        if partitions:
+            spark.conf.set(setting, str(partitions))
+        for chunk in chunks:
+            chunk.write.mode("append").parquet(inbox)
+            run(source(spark, inbox, chunk.schema), checkpoint)
+    finally:
+        spark.conf.set(setting, before)

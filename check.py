@@ -16,11 +16,11 @@ from barloom.plans import CATALOG
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def session(cores: int = 8) -> SparkSession:
+def session(cores: int = 8, tz: str = "UTC") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName("check")
         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+        .config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", tz).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -56,10 +56,11 @@ def compare(spark, con, key: str, folder: str) -> tuple[bool, str]:
 def main() -> int:
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="0.01")
+    ap.add_argument("--tz", default="UTC", help="session time zone; results must not depend on it")
     ap.add_argument("names", nargs="*")
     args = ap.parse_args()
     folder = f"/root/testdata/sf{args.sf}"
-    spark, con = session(), duck(folder)
+    spark, con = session(tz=args.tz), duck(folder)
     bad = []
     for key in args.names or list(CATALOG):
         try:
