@@ -19,6 +19,15 @@ def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
 
 
+def repeatable(df: DataFrame, *cols: str) -> DataFrame:
+    """Same rows in the same partitions in the same order on every run, so that seeded bagging repeats.
+
+    Spread by hash of the row key; no key value gathers rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *cols).sortWithinPartitions(*cols)
+
+
 def tree_model(algorithm: str, target: str, seed: int = 7, trees: int = 20, depth: int = 5):
     if algorithm == "random_forest":
         return RandomForestRegressor(featuresCol="_x", labelCol=target, predictionCol="forecast", numTrees=trees, maxDepth=depth, seed=seed)
@@ -27,9 +36,16 @@ def tree_model(algorithm: str, target: str, seed: int = 7, trees: int = 20, dept
     raise ValueError(f"unknown algorithm {algorithm}")
 
 
-def fit_predict(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, algorithm: str = "random_forest", **options):
-    """One model on the whole panel; returns the fitted model and ``rows`` with ``forecast``."""
-    model = tree_model(algorithm, target, **options).fit(assemble(train.where(F.col(target).isNotNull()), features))
+def fit_panel(train: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, algorithm: str = "random_forest", **options):
+    """One model on the whole panel; the same rows give the same model."""
+    known = repeatable(train.where(F.col(target).isNotNull()), *keys)
+    return tree_model(algorithm, target, **options).fit(assemble(known, features))
+
+
+def fit_predict(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, algorithm: str = "random_forest",
+                keys: Sequence[str] = ("series", "ts"), **options):
+    """Fitted panel model and ``rows`` with ``forecast``."""
+    model = fit_panel(train, keys, features, target, algorithm, **options)
     return model, model.transform(assemble(rows, features)).drop("_x")
 
 
@@ -45,7 +61,7 @@ def walk_forward(df: DataFrame, g: Grid, features: Sequence[str], target: str, s
         rows = future.where(F.col("batch") == b)
         if model is None or age >= refit_every:
             seen = history.unionByName(future.where(F.col("batch") < b).drop("batch"))
-            model, age = tree_model(algorithm, target, **options).fit(assemble(seen.where(F.col(target).isNotNull()), features)), 0
+            model, age = fit_panel(seen, [*g.keys, g.ts], features, target, algorithm, **options), 0
         part = model.transform(assemble(rows, features)).select(*g.keys, g.ts, "batch", target, "forecast")
         out, age = part if out is None else out.unionByName(part), age + steps
     return out

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.functions import stats
 from barloom.functions.scalars import normal_cdf
 from barloom.operators.aggregate import above_quantile, correlation_matrix, correlations, dense_correlation_matrix, exact_quantiles
+from barloom.operators.forecast import repeatable
 from barloom.session import stage
 from barloom.sources.ingest import key_uniform
 
@@ -69,7 +70,8 @@ def primary_filter(df: DataFrame, targets: Sequence[str], features: Sequence[str
 
 
 def _forest(df: DataFrame, features: Sequence[str], target: str, seed: int, trees: int, depth: int) -> list[float]:
-    data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df.select(target, *features))
+    rows = repeatable(df.select(target, *features), target, *features)
+    data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(rows)
     model = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(data)
     return [float(v) for v in model.featureImportances.toArray()]
 

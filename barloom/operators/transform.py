@@ -9,8 +9,10 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.functions.scalars import finite, soft_truncate
+from barloom.functions.scalars import finite
+from barloom.operators.aggregate import band_thresholds
 from barloom.operators.blocks import Grid, bounded, row_numbers
+from barloom.operators.project import soft_clip_to
 from barloom.session import stage
 
 
@@ -43,36 +45,28 @@ def one_hot(df: DataFrame, known: dict[str, list[str]]) -> DataFrame:
         f"{c}_{v}": F.when(F.col(c).cast("string") == v, 1.0).otherwise(0.0) for c, vs in known.items() for v in vs}).drop(*known)
 
 
-def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
-    """Fitted mean and population deviation of the training rows: two numbers per column."""
-    t = lambda c: F.when(F.col("_train"), F.col(c))
-    row = df.agg(*[e for i, c in enumerate(cols) for e in (F.avg(t(c)).alias(f"a{i}"), F.stddev_pop(t(c)).alias(f"b{i}"))]).first()
-    return {c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
+def moments(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """``<c>_mean`` and ``<c>_std`` (population) of the training rows, one row per key."""
+    return df.where("_train").groupBy(*keys).agg(*[
+        e for c in cols for e in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"))])
 
 
-def bands(df: DataFrame, cols: Sequence[str], z: float = 1.96) -> dict[str, tuple[float, float]]:
-    """Fitted mean -+ z sample deviations of the training rows: two numbers per column."""
-    t = lambda c: F.when(F.col("_train"), F.col(c))
-    row = df.agg(*[e for i, c in enumerate(cols) for e in (
-        (F.avg(t(c)) - z * F.stddev_samp(t(c))).alias(f"a{i}"), (F.avg(t(c)) + z * F.stddev_samp(t(c))).alias(f"b{i}"))]).first()
-    return {c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(cols)}
+def bands(df: DataFrame, keys: Sequence[str], cols: Sequence[str], z: float = 1.96) -> DataFrame:
+    """``<c>_low`` and ``<c>_high`` = mean -+ z sample deviations of the training rows, one row per key."""
+    return band_thresholds(df.where("_train"), keys, cols, z)
 
 
-def fitted_table(df: DataFrame, fitted: dict[str, tuple[float, float]], names: tuple[str, str]) -> DataFrame:
-    """Fitted numbers as a table, one row per column, to store them."""
-    rows = [(c, float(a), float(b)) for c, (a, b) in fitted.items()]
-    return df.sparkSession.createDataFrame(rows, f"column string, {names[0]} double, {names[1]} double")
+def scale(df: DataFrame, keys: Sequence[str], cols: Sequence[str], fitted: DataFrame) -> DataFrame:
+    """(x - mean) / std of the key; infinities become 0, constant columns are only centred."""
+    def value(c: str) -> Column:
+        std = F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std"))
+        return F.coalesce(finite(F.try_divide(F.col(c) - F.col(f"{c}_mean"), std)), F.lit(0.0))
+    return df.join(fitted, list(keys)).withColumns({c: value(c) for c in cols}).select(*df.columns)
 
 
-def scale(df: DataFrame, fitted: dict[str, tuple[float, float]]) -> DataFrame:
-    """(x - mean) / std; infinities become 0, constant columns are only centred."""
-    return df.withColumns({
-        c: F.coalesce(finite((F.col(c) - F.lit(mean)) / F.lit(std or 1.0)), F.lit(0.0)) for c, (mean, std) in fitted.items()})
-
-
-def truncate(df: DataFrame, fitted: dict[str, tuple[float, float]], keep: float = 0.25) -> DataFrame:
-    """Beyond the fitted band a share of the excess is kept."""
-    return df.withColumns({c: soft_truncate(F.col(c), F.lit(lo), F.lit(hi), keep) for c, (lo, hi) in fitted.items()})
+def truncate(df: DataFrame, keys: Sequence[str], cols: Sequence[str], fitted: DataFrame, keep: float = 0.25) -> DataFrame:
+    """Beyond the fitted band of the key a share of the excess is kept."""
+    return soft_clip_to(df, fitted, keys, cols, keep)
 
 
 def pca(df: DataFrame, cols: Sequence[str], explained: float = 0.95, most: int | None = None) -> DataFrame:
@@ -90,12 +84,13 @@ def pca(df: DataFrame, cols: Sequence[str], explained: float = 0.95, most: int |
 
 
 def transform_panel(df: DataFrame, g: Grid, numbers: Sequence[str], classes: Sequence[str], components: bool = False, share: float = 0.85) -> DataFrame:
-    """Encode, truncate, scale, truncate again and, on request, project; all fitted on the training rows."""
+    """Encode, truncate, scale, truncate again and, on request, project; scales and bands are fitted on the training
+    rows of each series, categories and components on those of the panel."""
     flagged = stage(train_flag(df.select(*g.keys, g.ts, *numbers, *classes), g, share))
     encoded = one_hot(flagged, categories(flagged.where("_train"), classes)) if classes else flagged
-    first = truncate(encoded, bands(encoded, numbers))
-    scaled = scale(first, moments(first, numbers))
-    second = stage(truncate(scaled, bands(scaled, numbers)))
+    first = stage(truncate(encoded, g.keys, numbers, bands(encoded, g.keys, numbers)))
+    scaled = stage(scale(first, g.keys, numbers, moments(first, g.keys, numbers)))
+    second = stage(truncate(scaled, g.keys, numbers, bands(scaled, g.keys, numbers)))
     dummies = [c for c in second.columns if c not in (*g.keys, g.ts, *numbers, "_train")]
     return (pca(second, [*numbers, *dummies]) if components else second).drop("_train")
 

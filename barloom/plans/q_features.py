@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from barloom.functions.scalars import exposure
 from barloom.operators import backtest as bt, forecast as fc, leaderboard as lb, select as se, transform as tr, windows as win
+from barloom.operators.aggregate import long_thresholds
 from barloom.operators.blocks import bounded
 from barloom.operators.features import refine_panel
 from barloom.plans.base import DENSE, HOUR, RET, W, hour_dense, hour_returns, stage_table
@@ -210,24 +211,44 @@ def _(spark, d):
     return tr.one_hot(odd, known)
 
 
-@query("standard_scale", "series:s ts:t x_vol:d x_range:d", f"""{SPLIT_SQL}, m AS (SELECT avg(x_vol) FILTER (train) AS a, stddev_pop(x_vol) FILTER (train) AS b, avg(x_range) FILTER (train) AS c, stddev_pop(x_range) FILTER (train) AS e FROM tf)
-SELECT series, ts, (x_vol - a) / b AS x_vol, (x_range - c) / e AS x_range FROM tf, m""")
+@query("standard_scale", "series:s ts:t x_vol:d x_range:d", f"""{SPLIT_SQL}, m AS (SELECT series, avg(x_vol) AS a, stddev_pop(x_vol) AS b, avg(x_range) AS c, stddev_pop(x_range) AS e FROM tf WHERE train GROUP BY 1)
+SELECT series, ts, (x_vol - a) / b AS x_vol, (x_range - c) / e AS x_range FROM tf JOIN m USING (series)""")
 def _(spark, d):
     x = stage(tr.train_flag(feat(spark, d), HOUR))
-    return tr.scale(x, tr.moments(x, ["x_vol", "x_range"]))
+    cols = ["x_vol", "x_range"]
+    return tr.scale(x, ["series"], cols, tr.moments(x, ["series"], cols))
+
+
+def _cut_sql(c: str) -> str:
+    return (f"CASE WHEN {c} > a_{c} + 1.96 * s_{c} THEN a_{c} + 1.96 * s_{c} + ({c} - a_{c} - 1.96 * s_{c}) * 0.25 "
+            f"WHEN {c} < a_{c} - 1.96 * s_{c} THEN a_{c} - 1.96 * s_{c} - (a_{c} - 1.96 * s_{c} - {c}) * 0.25 ELSE {c} END AS {c}")
+
+
+def _fit_sql(source: str, deviation: str, cols: list[str]) -> str:
+    """Join of a table with mean ``a_<c>`` and deviation ``s_<c>`` of its training rows per series."""
+    stats = ", ".join(f"avg({c}) AS a_{c}, {deviation}({c}) AS s_{c}" for c in cols)
+    return f"{source} JOIN (SELECT series, {stats} FROM {source} WHERE train GROUP BY 1) f_{source} USING (series)"
 
 
-@query("truncation_params", "step:i column:s low:d high:d", f"""{SPLIT_SQL}, q AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, avg({c}) FILTER (train) AS a, stddev_samp({c}) FILTER (train) AS s FROM tf" for c in ("x_vol", "x_range"))}),
-tt AS (SELECT series, ts, train, {", ".join(f"CASE WHEN {c} > hi_{c} THEN hi_{c} + ({c} - hi_{c}) * 0.25 WHEN {c} < lo_{c} THEN lo_{c} - (lo_{c} - {c}) * 0.25 ELSE {c} END AS {c}" for c in ("x_vol", "x_range"))} FROM tf, (SELECT {", ".join(f"max(a - 1.96 * s) FILTER (c = '{c}') AS lo_{c}, max(a + 1.96 * s) FILTER (c = '{c}') AS hi_{c}" for c in ("x_vol", "x_range"))} FROM q)),
-m AS (SELECT {", ".join(f"avg({c}) FILTER (train) AS m_{c}, stddev_pop({c}) FILTER (train) AS s_{c}" for c in ("x_vol", "x_range"))} FROM tt), sc AS (SELECT train, {", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in ("x_vol", "x_range"))} FROM tt, m)
-SELECT 1 AS step, c AS "column", a - 1.96 * s AS low, a + 1.96 * s AS high FROM q UNION ALL {" UNION ALL ".join(f"SELECT 2, '{c}', avg({c}) FILTER (train) - 1.96 * stddev_samp({c}) FILTER (train), avg({c}) FILTER (train) + 1.96 * stddev_samp({c}) FILTER (train) FROM sc" for c in ("x_vol", "x_range"))}""")
+def _steps_sql(cols: list[str], keep: str) -> str:
+    """Tables t1 (cut), t2 (scaled), t3 (cut again) of the transform."""
+    return f"""{SPLIT_SQL}, t1 AS (SELECT {keep}, {", ".join(map(_cut_sql, cols))} FROM {_fit_sql("tf", "stddev_samp", cols)}),
+t2 AS (SELECT {keep}, {", ".join(f"({c} - a_{c}) / s_{c} AS {c}" for c in cols)} FROM {_fit_sql("t1", "stddev_pop", cols)}),
+t3 AS (SELECT {keep}, {", ".join(map(_cut_sql, cols))} FROM {_fit_sql("t2", "stddev_samp", cols)})"""
+
+
+_BANDED = ["x_vol", "x_range"]
+
+
+@query("truncation_params", "step:i series:s column:s low:d high:d", _steps_sql(_BANDED, "series, ts, train") + " " + " UNION ALL ".join(
+    f"""SELECT {k} AS step, series, '{c}' AS "column", avg({c}) - 1.96 * stddev_samp({c}) AS low, avg({c}) + 1.96 * stddev_samp({c}) AS high FROM {t} WHERE train GROUP BY 2"""
+    for k, t in ((1, "tf"), (2, "t2")) for c in _BANDED))
 def _(spark, d):
-    cols = ["x_vol", "x_range"]
     x = stage(tr.train_flag(feat(spark, d), HOUR))
-    one = tr.bands(x, cols)
-    cut = tr.truncate(x, one)
-    two = tr.bands(tr.scale(cut, tr.moments(cut, cols)), cols)
-    table = lambda f, s: tr.fitted_table(x, f, ("low", "high")).withColumn("step", F.lit(s))
+    one = stage(tr.bands(x, ["series"], _BANDED))
+    cut = stage(tr.truncate(x, ["series"], _BANDED, one))
+    two = tr.bands(tr.scale(cut, ["series"], _BANDED, tr.moments(cut, ["series"], _BANDED)), ["series"], _BANDED)
+    table = lambda f, step: long_thresholds(f, ["series"], _BANDED).withColumn("step", F.lit(step))
     return table(one, 1).unionByName(table(two, 2))
 
 
@@ -235,18 +256,15 @@ def _(spark, d):
 def _(spark, d):
     cols = ["x_vol", "x_ticks", "x_range", "x_body", "x_copy"]
     x = stage(tr.train_flag(feat(spark, d), HOUR))
-    return tr.pca(tr.scale(x, tr.moments(x, cols)), cols)
+    return tr.pca(tr.scale(x, ["series"], cols, tr.moments(x, ["series"], cols)), cols)
 
 
 _TC = ["x_vol", "x_range", "x_body"]
 
 
 def _transform_sql() -> str:
-    cut = lambda c: f"CASE WHEN {c} > a_{c} + 1.96 * s_{c} THEN a_{c} + 1.96 * s_{c} + ({c} - a_{c} - 1.96 * s_{c}) * 0.25 WHEN {c} < a_{c} - 1.96 * s_{c} THEN a_{c} - 1.96 * s_{c} - (a_{c} - 1.96 * s_{c} - {c}) * 0.25 ELSE {c} END AS {c}"
-    st = lambda src, f: f"(SELECT {', '.join(f'avg({c}) FILTER (train) AS a_{c}, {f}({c}) FILTER (train) AS s_{c}' for c in _TC)} FROM {src})"
-    k = "series, ts, train, manual_busy"
-    return f"""{SPLIT_SQL}, t1 AS (SELECT {k}, {", ".join(map(cut, _TC))} FROM tf, {st('tf', 'stddev_samp')}), t2 AS (SELECT {k}, {", ".join(f"({c} - a_{c}) / s_{c} AS {c}" for c in _TC)} FROM t1, {st('t1', 'stddev_pop')}),
-t3 AS (SELECT {k}, {", ".join(map(cut, _TC))} FROM t2, {st('t2', 'stddev_samp')}) SELECT series, ts, {", ".join(_TC)}, CASE WHEN manual_busy = 'busy' THEN 1 ELSE 0 END AS manual_busy_busy, CASE WHEN manual_busy = 'calm' THEN 1 ELSE 0 END AS manual_busy_calm FROM t3"""
+    return _steps_sql(_TC, "series, ts, train, manual_busy") + f""" SELECT series, ts, {", ".join(_TC)}, CASE WHEN manual_busy = 'busy' THEN 1 ELSE 0 END AS manual_busy_busy,
+ CASE WHEN manual_busy = 'calm' THEN 1 ELSE 0 END AS manual_busy_calm FROM t3"""
 
 
 @query("transform_panel", "series:s ts:t " + " ".join(f"{c}:d" for c in _TC) + " manual_busy_busy:d manual_busy_calm:d", _transform_sql())

@@ -35,7 +35,8 @@ def test_gram_and_pairwise_agree(data):
 
 
 def test_rfe_and_relevance_find_the_signal(data):
-    assert se.rfe_select(data, ["a", "b", "c", "flag"], "y", 1, step=0.5) == ["a"]
+    # flag is a cut of a, so both carry the signal and b and c go first
+    assert set(se.rfe_select(data, ["a", "b", "c", "flag"], "y", 2, step=0.25)) == {"a", "flag"}
     found = [r.feature for r in se.relevance(data, ["a", "b", "c", "flag"], "y").collect()]
     assert set(found[:2]) == {"a", "flag"} and "c" not in found
 
@@ -50,6 +51,11 @@ def test_kendall_against_pairs(data):
     assert got.tau == pytest.approx(s / np.sqrt((n * (n - 1) / 2 - ties(0)) * (n * (n - 1) / 2 - ties(1))))
 
 
+def test_select_panel_puts_forced_features_first(data):
+    got = se.select_panel(data, ["a", "b", "c", "flag"], "y", ["c", "unknown"], 3, 2, 1, 1)
+    assert got[0] == "c" and "a" in got and len(got) <= 3
+
+
 def test_fdr_steps(spark):
     p = [0.01, 0.04, 0.03, 0.005, 0.9]
     df = spark.createDataFrame([(f"f{i}", v) for i, v in enumerate(p)], "feature string, p_value double")
@@ -73,8 +79,9 @@ def test_boruta_accepts_signal(data):
 
 def test_pca_share(data):
     flagged = tr.train_flag(data, Grid())
-    scaled = tr.scale(flagged, tr.moments(flagged, ["a", "b", "b2", "c"]))
-    out = tr.pca(scaled, ["a", "b", "b2", "c"])
+    cols = ["a", "b", "b2", "c"]
+    scaled = tr.scale(flagged, ["series"], cols, tr.moments(flagged, ["series"], cols))
+    out = tr.pca(scaled, cols)
     assert [c for c in out.columns if c.startswith("pca_")] == ["pca_0", "pca_1", "pca_2"]
 
 
