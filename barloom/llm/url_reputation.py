@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import ascii_lower, stage
 
+LARGEST_RHO = 1 / 3  # a prior counts as two observations at least, so that one bad page does not block its host
 LEVELS = ["suffix", "domain", "host"]
 
 
@@ -58,7 +59,7 @@ def _concentration(groups: DataFrame) -> float:
     free = m * (1 - m)
     spread, draws, room = groups.agg(F.sum(F.col("n") * (p - m) ** 2), F.sum(free), F.sum(free * (F.col("n") - 1))).first()
     rho = (spread - draws) / room if room else 0.0
-    rho = min(max(rho, 0.001), 0.9)
+    rho = min(max(rho, 0.001), LARGEST_RHO)
     return 1 / rho - 1
 
 
