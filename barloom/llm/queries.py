@@ -79,9 +79,9 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     """A page's outcome is the mean label of the labelled documents that begin with its title."""
     pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
-    docs = table(spark, folder, "documents").select("doc_id", text_of(F.col("text")).alias("text"))
+    docs = table(spark, folder, "documents").select("doc_id", F.rtrim(F.substring(text_of(F.col("text")), 1, 60)).alias("title"))
     bad = labels.select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1.0).otherwise(0.0).alias("bad"))
-    titles = docs.join(bad, "doc_id").groupBy(F.rtrim(F.substring("text", 1, 60)).alias("title")).agg(F.avg("bad").alias("bad"))
+    titles = stage(docs.join(bad, "doc_id").groupBy("title").agg(F.avg("bad").alias("bad")), "titles")
     host, _ = url_reputation.host_and_path(F.col("url"))
     named = pages.select(host.alias("host"), F.rtrim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<title>([^<]*)", 1)).alias("title"))
     outcomes = named.filter("title != ''").join(titles, "title").select("host", "bad")
