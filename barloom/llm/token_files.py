@@ -130,7 +130,7 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 ODD, PARTED = re.compile("[\x1c-\x1f]"), re.compile(r"[^ \t-\r]+")
-MEMO = 2_000_000  # strings kept per worker
+STRINGS, PIECES_KEPT = 1_600_000, 1_000_000  # entries a worker remembers; then it starts anew
 
 
 def byte_letters() -> dict[int, int]:
@@ -143,13 +143,13 @@ def byte_letters() -> dict[int, int]:
 class _Memo(dict):
     """Bounded memo whose missing values are computed."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.clear()
         self[key] = value
         return value
@@ -170,7 +170,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.strings = _Memo(self._piece), _Memo(self._string)
+        self.pieces, self.strings = _Memo(self._piece, PIECES_KEPT), _Memo(self._string, STRINGS)
 
     def _piece(self, piece: str) -> bytes:
         mapped = piece.encode().decode("latin-1").translate(self.letters)
