@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,7 +16,9 @@ from barloom.session import stage
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(df)
+    """Feature vector ``_x`` of every row; a null or NaN counts as 0, so no row is left out of a fit or of its forecasts."""
+    values = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
+    return df.withColumn("_x", array_to_vector(F.array(*values)))
 
 
 def repeatable(df: DataFrame, *cols: str) -> DataFrame:

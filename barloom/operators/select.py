@@ -4,26 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions import stats
 from barloom.functions.scalars import normal_cdf
-from barloom.operators.aggregate import above_quantile, correlation_matrix, correlations, dense_correlation_matrix, exact_quantiles
-from barloom.operators.forecast import repeatable
+from barloom.operators.aggregate import above_quantile, correlations, exact_quantiles
+from barloom.operators.forecast import assemble, repeatable
 from barloom.session import stage
 from barloom.sources.ingest import key_uniform
 
 
-def colinear_filter(df: DataFrame, features: Sequence[str], limit: float = 0.95) -> list[str]:
+def colinear_filter(df: DataFrame, features: Sequence[str], limit: float = 0.95, block: int = 24) -> list[str]:
     """Walk the features in order and drop those with limit <= |corr| < 1 to a kept one.
 
-    Only close pairs reach the driver, at most one per pair of columns.
+    Each pair is correlated over the rows where both are there, whatever the number of features: one aggregate per pair of
+    column blocks, which bounds the size of a plan.
     """
-    matrix = correlation_matrix(df, [], features) if len(features) <= 40 else dense_correlation_matrix(df, features)
-    pairs = matrix.where((F.col("score") >= limit * 100) & (F.col("score") < 100))
-    close = {frozenset((r.a, r.b)) for r in pairs.collect()}
+    blocks = [list(features[i:i + block]) for i in range(0, len(features), block)]
+    rows = stage(df.select(*features), "features") if len(blocks) > 1 else df
+    close: set[frozenset[str]] = set()
+    ends = rows.agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)], *[F.max(f).alias(f"hi{i}") for i, f in enumerate(features)]).first()
+    varies = {f for i, f in enumerate(features) if ends[f"lo{i}"] != ends[f"hi{i}"]}  # a constant has no correlation
+    for i, left in enumerate(blocks):
+        for right in blocks[i:]:
+            pairs = [(a, b) for a in left for b in right if {a, b} <= varies and (left is not right or left.index(a) < left.index(b))]
+            if pairs:
+                got = rows.agg(*[F.corr(a, b).alias(f"c{n}") for n, (a, b) in enumerate(pairs)]).first()
+                close |= {frozenset(p) for p, r in zip(pairs, got) if r is not None and limit <= abs(r) < 1}
     kept: list[str] = []
     for f in features:
         if not any(frozenset((f, k)) in close for k in kept):
@@ -71,7 +79,7 @@ def primary_filter(df: DataFrame, targets: Sequence[str], features: Sequence[str
 
 def _forest(df: DataFrame, features: Sequence[str], target: str, seed: int, trees: int, depth: int) -> list[float]:
     rows = repeatable(df.select(target, *features), target, *features)
-    data = VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="skip").transform(rows)
+    data = assemble(rows, features)
     model = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed).fit(data)
     return [float(v) for v in model.featureImportances.toArray()]
 

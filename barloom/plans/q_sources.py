@@ -183,7 +183,7 @@ def _(spark, d):
     path, out = fresh_path(spark, "gated"), None
     for attempt, frame in enumerate([hour_bars(spark, d).withColumn("price", F.when(F.col("ticks") > 1, F.col("price"))), hour_bars(spark, d)], 1):
         report = null_ratio(frame, ["series"], {"price": 0.1})
-        if storage.gated_write(frame.select("series", "ts", "price"), report, path, 1000):
+        if storage.gated_write(frame.select("series", "ts", "price"), report, path, 1):
             out = spark.read.parquet(path).withColumn("attempt", F.lit(attempt))
     return out
 

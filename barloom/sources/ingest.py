@@ -62,7 +62,7 @@ def newest(df: DataFrame, periods: int, ts: str = "ts") -> DataFrame:
 
 def economic(treasury: DataFrame, rates: DataFrame, periods: int) -> DataFrame:
     """Two daily series; '.' means 0."""
-    number = lambda name: F.when(F.col("value") == ".", 0.0).otherwise(F.try_to_number("value", F.lit("999999999999D999999"))).cast("double").alias(name)
+    number = lambda name: F.when(F.col("value") == ".", 0.0).otherwise(F.col("value").try_cast("double")).alias(name)
     side = lambda df, name: df.select(F.to_date("date").cast("timestamp_ntz").alias("ts"), number(name))
     return newest(align([side(treasury, "economic_treasury_yield"), side(rates, "economic_interest_rate")], ["ts"], "full_outer"), periods)
 

@@ -102,11 +102,20 @@ def append_features(path: str, out: str, g: Grid, overlap: int, build: Callable[
         first = new.agg(F.min(F.date_format(g.ts, "yyyy-MM-dd"))).first()[0]
         if first is None:
             return
-        history = stored(spark, path, batch.schema).drop("day")
-        past = tail_rows(history.join(new.select(*g.keys, g.ts), [*g.keys, g.ts], "left_anti"), g, overlap)
-        both = stage(past.withColumn("_new", F.lit(False)).unionByName(new))
-        _write_days(_day(build(both).where("_new").drop("_new")), out)
-        _write_days(_day(new.drop("_new")), path)
+        key = [*g.keys, g.ts]
+        rest = stored(spark, path, batch.schema).join(new.select(*key), key, "left_anti")
+        both = stage(tail_rows(rest.drop("day"), g, overlap).withColumn("_new", F.lit(False)).unionByName(new))
+        made = stage(build(both).where("_new").drop("_new"), "features")
+        days = new.select(F.date_format(g.ts, "yyyy-MM-dd").alias("day")).distinct()
+
+        def with_stored(rows: DataFrame, old: DataFrame) -> DataFrame:
+            """Rows of the batch with the stored ones of the same days, which the overwrite would take away."""
+            kept = old.where(F.col("day") >= first).join(days, "day", "left_semi").join(new.select(*key), key, "left_anti")
+            return stage(rows.unionByName(kept.drop("day")), "days")
+
+        # features first: a batch that is repeated after a failure between the writes finds the store as it was
+        _write_days(_day(with_stored(made, stored(spark, out, made.schema))), out)
+        _write_days(_day(with_stored(new.drop("_new"), stored(spark, path, batch.schema))), path)
     return handle
 
 

@@ -114,3 +114,24 @@ def test_boosted_trees_and_importance(data):
     model, _ = fc.fit_predict(data, data, ["a", "c"], "y", "boosted_trees", trees=3, depth=3)
     top = fc.feature_importance(model, ["a", "c"], data).orderBy("share").collect()
     assert top[0].feature == "a" and top[-1].share == pytest.approx(1.0)
+
+
+def test_colinear_filter_is_one_rule_for_every_length(spark):
+    from barloom.operators.select import colinear_filter
+
+    cols = {f"f{i}": [float((j * (i + 3)) % 17) for j in range(60)] for i in range(45)}
+    cols["f1"] = [2.0 * v for v in cols["f0"]]
+    cols["f1"][3] = None
+    cols["f1"][5] += 0.01
+    cols["f44"][10:] = [None] * 50
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols))
+    few = colinear_filter(df, list(cols)[:10])
+    assert "f1" not in few and colinear_filter(df, list(cols))[:len(few)] == few
+    assert colinear_filter(df, list(cols), block=7) == colinear_filter(df, list(cols), block=50)
+
+
+def test_rows_with_nulls_keep_their_forecast_vector(spark):
+    from barloom.operators.forecast import assemble
+
+    df = spark.createDataFrame([(1.0, None), (None, float("nan")), (2.0, 3.0)], "a double, b double")
+    assert [r["_x"].toArray().tolist() for r in assemble(df, ["a", "b"]).collect()] == [[1.0, 0.0], [0.0, 0.0], [2.0, 3.0]]

@@ -30,3 +30,14 @@ def test_repeated_batch_changes_nothing(spark):
         rows = {r.ts: r.x for r in spark.read.parquet(path).collect()}
         assert len(rows) == 60
     assert rows[hours(1, 20)[0]] == 20.0 and rows[hours(1, 35)[0]] == 35.5
+
+
+def test_appended_batches_cut_inside_a_day(spark):
+    df = spark.createDataFrame([("a", t, float(i)) for i, t in enumerate(hours(48))], "series string, ts timestamp_ntz, x double")
+    path, out = fresh_path(spark, "store"), fresh_path(spark, "features")
+    handle = st.append_features(path, out, Grid(dense=False), 5, lambda b: b.withColumn("y", F.col("x") * 2))
+    parts = [df.where("x < 12"), df.where("x >= 12 and x < 30"), df.where("x >= 30")]
+    for i, part in enumerate([*parts, parts[-1]]):  # the last batch is repeated
+        handle(part, i)
+    for p in (path, out):
+        assert sorted(r.x for r in spark.read.parquet(p).collect()) == [float(i) for i in range(48)]
