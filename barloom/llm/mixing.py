@@ -81,12 +81,15 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     keyed = docs.select("*", *row_key(*[F.col(c) for c in columns]))
     taken = mix(keyed, keep=["_b_k1", "_b_k2"], **options)
-    # equal rows share a key: number them on both sides
-    w = Window.partitionBy("_b_k1", "_b_k2")
-    taken = taken.select("_b_k1", "_b_k2", F.col("size").alias("_b_size"), F.col("taken").alias("_b_taken"))
-    taken = taken.withColumn("_b_copy", F.row_number().over(w.orderBy(F.desc("_b_taken"))))
-    keyed = keyed.withColumn("_b_copy", F.row_number().over(w.orderBy(F.lit(1))))
-    both = keyed.join(taken, ["_b_k1", "_b_k2", "_b_copy"]).filter(F.col("_b_taken") > 0)
+    # Equal rows share a key, so one narrow row per key meets the texts in their only shuffle. At most one row of a source is cut, so the
+    # sum over equal rows says what each takes: all of them whole epochs, the first ones one more, one of them the part that is left.
+    per_key = taken.groupBy("_b_k1", "_b_k2").agg(F.sum("taken").alias("_b_sum"), F.count("*").alias("_b_n"), F.max("size").alias("_b_size"))
+    both = keyed.join(per_key.filter("_b_sum > 0"), ["_b_k1", "_b_k2"])
+    nth = F.row_number().over(Window.partitionBy("_b_k1", "_b_k2").orderBy(F.lit(1)))
+    epochs = F.expr("_b_sum div (_b_n * _b_size)")
+    rest = F.col("_b_sum") - F.col("_b_size") * (epochs * F.col("_b_n") + F.col("_b_nth_row") - 1)
+    part = F.greatest(F.lit(0), F.least(F.col("_b_size"), rest))
+    both = both.withColumn("_b_nth_row", nth).withColumn("_b_taken", epochs * F.col("_b_size") + part).filter("_b_taken > 0")
     cut = F.col("_b_taken") % F.col("_b_size")
     copies = F.ceil(F.col("_b_taken") / F.col("_b_size")).cast("int")
     both = both.withColumn("_b_nth", F.explode(F.sequence(F.lit(1), copies)))
