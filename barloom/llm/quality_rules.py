@@ -72,6 +72,20 @@ def base_failed(prefix: str = "") -> Column:
     return (n < 50) | (100 * r > 50 * n)
 
 
+PREFIX = "_b_q_"
+
+
+def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with its statistics under ``PREFIX``, as a table in the shared folder: learning reads the narrow columns of it, judging reads all,
+    and texts are taken apart once and never shuffled."""
+    return stage(statistics(docs, text, PREFIX), "measured")
+
+
+def plain_statistics(table: DataFrame, *keys: str) -> DataFrame:
+    """The keys and the statistics of a ``measured`` table, under their own names."""
+    return table.select(*keys, *[F.col(PREFIX + x).alias(x) for x in BASE + FEATURES])
+
+
 Condition = tuple[str, str, float]  # statistic, "<=" or ">", threshold
 
 
@@ -105,9 +119,13 @@ def kept_rows(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataF
     The partition number is there because a filter is not pushed below a projection that has it: pushed down, the statistics
     would be written out again for each of their uses, inside lambdas for each word.
     """
-    prefix = "_b_q_"
-    judged = statistics(docs, text, prefix).withColumn("_b_part", F.spark_partition_id())
-    return judged.filter((F.col("_b_part") >= 0) & ~base_failed(prefix) & rules.good(prefix)).select(*docs.columns)
+    judged = statistics(docs, text, PREFIX).withColumn("_b_part", F.spark_partition_id())
+    return passing(judged.filter("_b_part >= 0"), rules).select(*docs.columns)
+
+
+def passing(table: DataFrame, rules: DecisionList) -> DataFrame:
+    """The rows of a ``measured`` table that pass the base test and the list, without the statistics."""
+    return table.filter(~base_failed(PREFIX) & rules.good(PREFIX)).drop(*[PREFIX + x for x in BASE + FEATURES])
 
 
 def learn(

@@ -13,16 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, mixing, quality_rules, simhash, token_files
-from barloom.llm.common import stage, text_of
+from barloom.llm.common import stage
 from barloom.llm.queries import table, tokenizer_path
 
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base test and the learned list keep. The list is learned from the labelled documents, then judges all in one pass."""
+    """Documents that the base test and the learned list keep. Statistics are taken once; the list is learned from those of the labelled documents."""
     labels = table(spark, sf_dir, "labels").filter("quality is not null").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("_b_bad"))
-    labelled = docs.select("doc_id", text_of(F.col("text")).alias("_b_text")).join(labels, "doc_id")
-    stats = quality_rules.statistics(labelled, "_b_text").drop("_b_text")
-    rules = quality_rules.learn(stats, "_b_bad", F.col("doc_id"))
-    return quality_rules.kept_rows(docs, rules)
+    measured = quality_rules.measured(docs)
+    labelled = quality_rules.plain_statistics(measured, "doc_id").join(labels, "doc_id")
+    rules = quality_rules.learn(labelled, "_b_bad", F.col("doc_id"))
+    return quality_rules.passing(measured, rules)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
