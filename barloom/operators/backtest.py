@@ -18,7 +18,7 @@ from barloom.operators.aggregate import value_ranks
 from barloom.operators.blocks import Grid, bounded, row_numbers, running
 from barloom.operators.project import zscore_filter
 from barloom.operators.windows import cumulative_return
-from barloom.session import stage
+from barloom.session import join_staged, stage
 from barloom.sources.ingest import key_uniform
 
 # Fields of a parameter set. Take profit and stop loss are rates for long and short sides, or null.
@@ -64,7 +64,7 @@ def fit_best(df: DataFrame, keys: Sequence[str], limit: float = 2.1, families: S
     x = F.col("return_residual")
     ends = kept.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"), F.count(F.lit(1)).alias("_n"))
     start = F.col("_lo") - 0.01 * (F.col("_hi") - F.col("_lo"))
-    logs = kept.join(ends, list(keys)).groupBy(*keys).agg(F.avg(F.ln(x - start)).alias("_lm"), F.stddev_pop(F.ln(x - start)).alias("_ls"))
+    logs = join_staged(kept, ends, keys).groupBy(*keys).agg(F.avg(F.ln(x - start)).alias("_lm"), F.stddev_pop(F.ln(x - start)).alias("_ls"))
     fit = stage(ends.join(logs, list(keys)))
     v = F.col("_v")
     span = F.col("_hi") - F.col("_lo")
@@ -91,7 +91,7 @@ def fit_best(df: DataFrame, keys: Sequence[str], limit: float = 2.1, families: S
 
 def certainty(df: DataFrame, fit: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Chances of a fall and a rise given the residual distribution, the larger one and its side."""
-    both = df.join(fit.select(*keys, "loc", "scale"), list(keys))
+    both = join_staged(df, fit.select(*keys, "loc", "scale"), keys)
     chance = normal_cdf(F.try_divide(-F.col("return_forecast") - F.col("loc"), F.col("scale")))
     out = both.withColumn("decrease_chance", chance).withColumn("increase_chance", 1 - F.col("decrease_chance"))
     return out.withColumn("certainty", F.greatest("increase_chance", "decrease_chance")).withColumn(
@@ -222,7 +222,7 @@ def measure(df: DataFrame, g: Grid, smooth_returns: bool = True, month: int = 72
     ret = F.col("real_trading_return")
     if smooth_returns:
         m = df.where(traded).groupBy(*keys).agg(F.avg(ret).alias("_m"), F.stddev_samp(ret).alias("_s"))
-        df = df.join(m, keys, "left").withColumn("_ret", F.coalesce(smooth(ret, F.col("_m"), F.col("_s")), ret))
+        df = join_staged(df, m, keys, "left").withColumn("_ret", F.coalesce(smooth(ret, F.col("_m"), F.col("_s")), ret))
     else:
         df = df.withColumn("_ret", ret)
     x = epoch_seconds(g.ts) / g.step
@@ -312,7 +312,7 @@ def simulated_forecast(df: DataFrame, keys: Sequence[str], ts: str = "ts", hit_r
     long = F.abs(F.col("_lm") + F.col("_ls") * normal)
     short = -F.abs(F.col("_sm") + F.col("_ss") * normal)
     right = u("a") < hit_rate
-    return df.join(moments, list(keys)).withColumn(
+    return join_staged(df, moments, keys).withColumn(
         "return_forecast", F.when(right == up, long).otherwise(short)).drop("_lm", "_ls", "_sm", "_ss")
 
 
@@ -328,7 +328,7 @@ def threshold_search(df: DataFrame, g: Grid, base: dict, candidates: DataFrame,
     rules = sets.select(*g.keys, "pid", "q", "value", F.struct(*[fields[k].alias(k) for k in RULES]).alias("param"))
     keyed = Grid(keys=(*g.keys, "pid"), ts=g.ts, step=g.step, block=g.block, dense=g.dense)
     fit = fit_normal(residuals(df), list(g.keys))
-    table = backtest(df.join(rules.drop("q", "value"), list(g.keys)), keyed, fit, list(g.keys)).select(*keyed.keys, g.ts, *MEASURED)
+    table = backtest(join_staged(df, rules.drop("q", "value"), g.keys), keyed, fit, list(g.keys)).select(*keyed.keys, g.ts, *MEASURED)
     scored = measure(stage(table), keyed).join(rules.select(*g.keys, "pid", "q", "value"), [*g.keys, "pid"])
     w = Window.partitionBy(*g.keys).orderBy(F.round(metric, 12).desc_nulls_last(), "q")
     return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*g.keys, "q", "value", metric)
@@ -385,7 +385,7 @@ def heteroskedasticity(df: DataFrame, keys: Sequence[str], features: Sequence[st
 def autocorrelation(df: DataFrame, g: Grid, lags: int = 10) -> DataFrame:
     """Autocorrelation and Ljung-Box statistic per lag."""
     m = df.groupBy(*g.keys).agg(F.avg("return_residual").alias("_m"))
-    centered = df.join(m, g.key_list).withColumn("_c", F.col("return_residual") - F.col("_m"))
+    centered = join_staged(df, m, g.keys).withColumn("_c", F.col("return_residual") - F.col("_m"))
     wide = bounded(centered, g, lambda w: {f"_p{k}": F.col("_c") * F.lag("_c", k).over(w) for k in range(1, lags + 1)}, back=lags)
     sums = wide.groupBy(*g.keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("c0"), *[F.sum(f"_p{k}").alias(f"c{k}") for k in range(1, lags + 1)])
     n = F.col("n")

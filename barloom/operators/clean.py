@@ -14,21 +14,21 @@ from barloom.operators.blocks import Grid, ema
 from barloom.operators.joins import coalesce_join, pivot_peers
 from barloom.operators.project import align_schema, fix_high_low, fix_open_gap, null_flat_runs, null_negative
 from barloom.operators.sets import dedup, tail_rows
-from barloom.session import stage
+from barloom.session import join_staged, stage
 
 
 def band_outliers(df: DataFrame, g: Grid, cols: Sequence[str], thresholds: DataFrame, span: int = 10, width: float = 7.0) -> DataFrame:
     """Values beyond the thresholds, then values further than ``width`` residual deviations from an
     exponential average, are replaced by interpolation."""
     inside = lambda c: F.when((F.col(c) >= F.col(f"{c}_low")) & (F.col(c) <= F.col(f"{c}_high")), F.col(c))
-    kept = df.join(thresholds.select(*g.keys, *[f"{c}_{s}" for c in cols for s in ("low", "high")]), g.key_list)
+    kept = join_staged(df, thresholds.select(*g.keys, *[f"{c}_{s}" for c in cols for s in ("low", "high")]), g.keys)
     first = stage(win.interpolate(stage(kept.withColumns({c: inside(c) for c in cols}).select(*df.columns)), g, cols))
     # Leading nulls take the first known value: the average then starts there.
     led = stage(win.running_next(first, g, {f"_x_{c}": c for c in cols}))
     smooth = stage(ema(led, g, {f"_e_{c}": (F.col(f"_x_{c}"), 2 / (span + 1)) for c in cols}))
     spread = smooth.groupBy(*g.keys).agg(*[F.stddev_samp(F.col(c) - F.col(f"_e_{c}")).alias(f"_s_{c}") for c in cols])
     near = lambda c: F.when(~F.coalesce(F.abs(F.col(c) - F.col(f"_e_{c}")) > width * F.col(f"_s_{c}"), F.lit(False)), F.col(c))
-    trimmed = smooth.join(spread, g.key_list).withColumns({c: near(c) for c in cols}).select(*df.columns)
+    trimmed = join_staged(smooth, spread, g.keys).withColumns({c: near(c) for c in cols}).select(*df.columns)
     return win.interpolate(stage(trimmed), g, cols)
 
 
@@ -36,7 +36,7 @@ def correct_outliers(df: DataFrame, g: Grid, prices: Sequence[str], cols: Sequen
     """Price outliers by band, opens that jump, then a hard clip of every column."""
     banded = stage(band_outliers(df, g, prices, thresholds))
     opened = fix_open_gap(banded, g) if {"open", "price"} <= set(df.columns) else banded
-    limits = opened.join(thresholds, g.key_list)
+    limits = join_staged(opened, thresholds, g.keys)
     return limits.withColumns({c: clip(F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high")) for c in cols}).select(*df.columns)
 
 
@@ -57,10 +57,10 @@ def fill_nulls(df: DataFrame, g: Grid, fill_cols: Sequence[str], mid_cols: dict[
         out = stage(win.interpolate(stage(out.withColumns({c: finite(F.col(c)) for c in numbers})), g, numbers))
         for c in numbers:
             medians = exact_quantiles(df, g.keys, c, [0.5]).select(*g.keys, F.col("quantiles")[0].alias("_median"))
-            out = out.join(medians, g.key_list, "left").withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_median")
+            out = join_staged(out, medians, g.keys, "left").withColumn(c, F.coalesce(F.col(c), F.col("_median"))).drop("_median")
     for c in strings:
         modes = most_frequent(df, g.keys, c).withColumnRenamed(c, "_mode")
-        out = out.join(modes, g.key_list, "left").withColumn(c, F.coalesce(F.col(c), F.col("_mode"))).drop("_mode")
+        out = join_staged(out, modes, g.keys, "left").withColumn(c, F.coalesce(F.col(c), F.col("_mode"))).drop("_mode")
     return out.select(*df.columns)
 
 

@@ -12,7 +12,7 @@ from barloom.operators.blocks import Grid, bounded
 from barloom.operators.project import clip_to_seen
 from barloom.operators.sets import batches
 from barloom.operators.windows import cumulative_share
-from barloom.session import stage
+from barloom.session import join_staged, stage
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -66,6 +66,8 @@ def walk_forward(df: DataFrame, g: Grid, features: Sequence[str], target: str, s
             model, age = fit_panel(seen, [*g.keys, g.ts], features, target, algorithm, **options), 0
         part = model.transform(assemble(rows, features)).select(*g.keys, g.ts, "batch", target, "forecast")
         out, age = part if out is None else out.unionByName(part), age + steps
+    if out is None:  # no row passes ``start``
+        return future.select(*g.keys, g.ts, "batch", target, F.lit(None).cast("double").alias("forecast"))
     return out
 
 
@@ -89,7 +91,7 @@ def adjust(df: DataFrame, train: DataFrame, keys: Sequence[str], seen: str, bias
     """
     m = train.groupBy(*keys).agg(F.try_divide(F.avg(F.abs(seen)), F.avg(F.abs("forecast"))).alias("_scale"))
     value = (F.col("return_forecast") * F.col("_scale") + bias) * (-1 if reverse else 1)
-    scaled = df.join(m, list(keys)).withColumn("return_forecast", value).select(*df.columns)
+    scaled = join_staged(df, m, keys).withColumn("return_forecast", value).select(*df.columns)
     return clip_to_seen(scaled, train, keys, "return_forecast", seen)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from barloom.functions.scalars import clip, soft_truncate
 from barloom.operators.blocks import Grid, bounded
+from barloom.session import join_staged
 
 # Column groups by name.
 CATEGORIES = {
@@ -73,7 +74,7 @@ def standardized_flags(df: DataFrame, keys: Sequence[str], cols: Sequence[str])
 
 def null_negative_prices(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Negative prices become null, except in columns that look standardized."""
-    flagged = df.join(standardized_flags(df, keys, cols), list(keys))
+    flagged = join_staged(df, standardized_flags(df, keys, cols), keys)
     return flagged.withColumns({
         c: F.when((F.col(c) >= 0) | F.coalesce(F.col(f"_std_{c}"), F.lit(False)), F.col(c)) for c in cols
     }).select(*df.columns)
@@ -101,7 +102,7 @@ def null_flat_runs(df: DataFrame, g: Grid, cols: Sequence[str], derived: dict[st
     """Flat rows become null (with the derivatives of the column) where a column has more than ``least`` of them."""
     flags = flat_flags(df, g, cols)
     counts = flags.groupBy(*g.keys).agg(*[F.count_if(f"_flat_{c}").alias(f"_n_{c}") for c in cols])
-    both = flags.join(counts, g.key_list)
+    both = join_staged(flags, counts, g.keys)
     out = {}
     for c in cols:
         drop = F.col(f"_flat_{c}") & (F.col(f"_n_{c}") > least)
@@ -117,13 +118,13 @@ def drop_flat_runs(df: DataFrame, g: Grid, col: str) -> DataFrame:
 
 def clip_to(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Hard clip to ``<c>_low`` and ``<c>_high`` of the thresholds row of the series."""
-    return df.join(thresholds, list(keys)).withColumns({
+    return join_staged(df, thresholds, keys).withColumns({
         c: clip(F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high")) for c in cols}).select(*df.columns)
 
 
 def soft_clip_to(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], cols: Sequence[str], keep: float = 0.25) -> DataFrame:
     """Beyond the thresholds a share of the excess is kept."""
-    return df.join(thresholds, list(keys)).withColumns({
+    return join_staged(df, thresholds, keys).withColumns({
         c: soft_truncate(F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high"), keep) for c in cols}).select(*df.columns)
 
 
@@ -142,7 +143,7 @@ def fix_open_gap(df: DataFrame, g: Grid, share: float = 0.04) -> DataFrame:
 def split_unused(df: DataFrame, keys: Sequence[str], ts: str, target: str) -> tuple[DataFrame, DataFrame]:
     """Rows up to the last target bar of the series that have a price, and rows newer than it."""
     last = df.where(F.col(target).isNotNull()).groupBy(*keys).agg(F.max(ts).alias("_last"))
-    both = df.join(last, list(keys), "left")
+    both = join_staged(df, last, keys, "left")
     used = both.where(F.col(target).isNotNull()).select(*df.columns)
     unused = both.where(F.col("_last").isNull() | (F.col(ts) > F.col("_last"))).select(*df.columns)
     return used, unused
@@ -151,13 +152,13 @@ def split_unused(df: DataFrame, keys: Sequence[str], ts: str, target: str) -> tu
 def clip_to_seen(df: DataFrame, train: DataFrame, keys: Sequence[str], forecast: str, seen: str) -> DataFrame:
     """Forecasts clipped to the range of returns seen in training."""
     span = train.groupBy(*keys).agg(F.min(seen).alias("_lo"), F.max(seen).alias("_hi"))
-    return df.join(span, list(keys)).withColumn(forecast, clip(F.col(forecast), F.col("_lo"), F.col("_hi"))).select(*df.columns)
+    return join_staged(df, span, keys).withColumn(forecast, clip(F.col(forecast), F.col("_lo"), F.col("_hi"))).select(*df.columns)
 
 
 def zscore_filter(df: DataFrame, keys: Sequence[str], col: str, limit: float = 2.1) -> DataFrame:
     """Rows within ``limit`` population deviations of the mean."""
     m = df.groupBy(*keys).agg(F.avg(col).alias("_m"), F.stddev_pop(col).alias("_s"))
-    return df.join(m, list(keys)).where(F.abs(F.try_divide(F.col(col) - F.col("_m"), F.col("_s"))) < limit).select(*df.columns)
+    return join_staged(df, m, keys).where(F.abs(F.try_divide(F.col(col) - F.col("_m"), F.col("_s"))) < limit).select(*df.columns)
 
 
 def valid_forecasts(df: DataFrame, keys: Sequence[str], forecast: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.functions.time import epoch_seconds
 from barloom.operators.blocks import Grid
 from barloom.operators.project import flat_flags
+from barloom.session import join_staged
 
 
 def per_column(df: DataFrame, keys: Sequence[str], values: dict[str, Column], failed: dict[str, Column]) -> DataFrame:
@@ -112,7 +113,7 @@ def flat_prices(df: DataFrame, g: Grid, cols: Sequence[str], limit: int = 5) ->
 def extreme_values(df: DataFrame, thresholds: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Number of values outside ``<c>_low`` .. ``<c>_high`` of the series."""
     outside = lambda c: F.count_if((F.col(c) < F.col(f"{c}_low")) | (F.col(c) > F.col(f"{c}_high")))
-    return per_column(df.join(thresholds, list(keys)), keys, {c: outside(c) for c in cols}, {c: F.col(c) > 0 for c in cols})
+    return per_column(join_staged(df, thresholds, keys), keys, {c: outside(c) for c in cols}, {c: F.col(c) > 0 for c in cols})
 
 
 def short_length(df: DataFrame, keys: Sequence[str], expected: int) -> DataFrame:

@@ -13,7 +13,7 @@ from barloom.functions.scalars import finite
 from barloom.operators.aggregate import band_thresholds
 from barloom.operators.blocks import Grid, bounded, row_numbers
 from barloom.operators.project import soft_clip_to
-from barloom.session import stage
+from barloom.session import join_staged, stage
 
 
 def time_split(df: DataFrame, g: Grid, test_share: float = 0.15, val_share: float = 0.25) -> DataFrame:
@@ -61,7 +61,7 @@ def scale(df: DataFrame, keys: Sequence[str], cols: Sequence[str], fitted: DataF
     def value(c: str) -> Column:
         std = F.when(F.col(f"{c}_std") == 0, 1.0).otherwise(F.col(f"{c}_std"))
         return F.coalesce(finite(F.try_divide(F.col(c) - F.col(f"{c}_mean"), std)), F.lit(0.0))
-    return df.join(fitted, list(keys)).withColumns({c: value(c) for c in cols}).select(*df.columns)
+    return join_staged(df, fitted, keys).withColumns({c: value(c) for c in cols}).select(*df.columns)
 
 
 def truncate(df: DataFrame, keys: Sequence[str], cols: Sequence[str], fitted: DataFrame, keep: float = 0.25) -> DataFrame:

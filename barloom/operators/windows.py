@@ -50,9 +50,15 @@ def rolling_stats(
 ) -> DataFrame:
     """Mean, sample deviation, min, max and range over the last w rows, from the first row on.
 
-    The deviation of a series' first row does not exist; with ``fill`` it takes the next row's value.
+    The deviation of a series' first row does not exist; with ``fill`` it takes the next one that does. Only a column with nulls can lack
+    more than that one; its deviations are filled backward by a pass of their own.
     """
-    return bounded(df, g, lambda w: rolling_exprs(w, cols, windows, name, fill), back=max(windows) - 1, ahead=1 if fill else 0)
+    out = bounded(df, g, lambda w: rolling_exprs(w, cols, windows, name, fill), back=max(windows) - 1, ahead=1 if fill else 0)
+    if not fill:
+        return out
+    holes = df.agg(*[F.count_if(F.col(c).isNull()) for c in cols]).first()
+    filled = [name(c, "std", n) for c, k in zip(cols, holes, strict=True) if k for n in windows]
+    return back_fill(stage(out), g, filled) if filled else out
 
 
 def ema_features(

@@ -10,7 +10,7 @@ from barloom.operators.blocks import bounded
 from barloom.plans.base import BARS, DENSE, HOUR, hour_bars, hour_dense
 from barloom.plans.q_windows import bf, lagged
 from barloom.plans.registry import query
-from barloom.session import stage
+from barloom.session import join_staged, stage
 from barloom.sources.tables import table
 
 # The series of the event table.
@@ -72,7 +72,7 @@ def _(spark, d):
     stable = F.col("series") == "view"
     prices = joins.last_prices(hour_bars(spark, d)).withColumn("last_price", F.when(stable, 1.0).otherwise(F.col("last_price")))
     held = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("series")).agg(F.sum("value").alias("amount"))
-    return held.join(prices, "series").withColumn("usd_amount", F.col("amount") * F.col("last_price"))
+    return join_staged(held, prices, ["series"]).withColumn("usd_amount", F.col("amount") * F.col("last_price"))
 
 
 GRID_OF_RULES = [{"threshold": t, "fee": f} for t in (0.5, 0.6, 0.7) for f in (-0.001, -0.0004)]

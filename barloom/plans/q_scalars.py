@@ -15,6 +15,7 @@ from barloom.operators.blocks import bounded
 from barloom.plans.base import BARS, DAYS, HALF, HOUR, RET, W, day_bars, half_bars, hour_bars, hour_dense, hour_returns
 from barloom.plans.q_windows import HA_TYPE_SQL
 from barloom.plans.registry import query
+from barloom.session import join_staged
 from barloom.sources.tables import table
 
 SHAPE_SQL = """ln(1 + volume) AS log_volume, abs(price - open) / open AS candle_body, abs(high - low) / open AS candle_range,
@@ -98,7 +99,7 @@ def _band_case(n: str) -> str:
 def _(spark, d):
     names = ["return", "acceleration", "jerk"]
     rets = hour_returns(spark, d)
-    both = rets.join(band_thresholds(rets, ["series"], names, 1.96), "series")
+    both = join_staged(rets, band_thresholds(rets, ["series"], names, 1.96), ["series"])
     return both.withColumns({
         f"{n}_outlier": sc.band_class(F.col(n), F.col(f"{n}_low"), F.col(f"{n}_high"), n) for n in names})
 

@@ -39,17 +39,19 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
-REV_SQL = """SELECT event_type AS series, date_trunc('hour', ts) AS ts, sum(value) * {f} AS volume, max(value) * {f} AS high FROM events WHERE ts >= TIMESTAMP '{a}' AND ts < TIMESTAMP '{b}' GROUP BY 1, 2"""
+# The fetches overlap by two days; the first and the last have no outer end
+REV_TIMES = ["ts < TIMESTAMP '2024-01-11'", "ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-21'", "ts >= TIMESTAMP '2024-01-19'"]
+REV_SQL = """SELECT event_type AS series, date_trunc('hour', ts) AS ts, sum(value) * {f} AS volume, max(value) * {f} AS high FROM events WHERE {when} GROUP BY 1, 2"""
 
 
-@query("stream_late_revision", "series:s ts:t volume:d high:d", f"""WITH a AS ({REV_SQL.format(f='1.0', a='2024-01-01', b='2024-01-11')}), b AS ({REV_SQL.format(f='1.01', a='2024-01-09', b='2024-01-21')}), c AS ({REV_SQL.format(f='1.02', a='2024-01-19', b='2024-02-11')}),
+@query("stream_late_revision", "series:s ts:t volume:d high:d", f"""WITH a AS ({REV_SQL.format(f='1.0', when=REV_TIMES[0])}), b AS ({REV_SQL.format(f='1.01', when=REV_TIMES[1])}), c AS ({REV_SQL.format(f='1.02', when=REV_TIMES[2])}),
 a2 AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC) > 24 AS final FROM a), ab AS (SELECT series, ts, CASE WHEN final THEN a2.volume ELSE coalesce(b.volume, a2.volume) END AS volume, CASE WHEN final THEN a2.high ELSE coalesce(b.high, a2.high) END AS high FROM a2 FULL OUTER JOIN b USING (series, ts)),
 b2 AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC) > 24 AS final FROM ab) SELECT series, ts, CASE WHEN final THEN b2.volume ELSE coalesce(c.volume, b2.volume) END AS volume, CASE WHEN final THEN b2.high ELSE coalesce(c.high, b2.high) END AS high FROM b2 FULL OUTER JOIN c USING (series, ts)""")
 def _(spark, d):
     b = hour_bars(spark, d)
-    part = lambda f, lo, hi: b.where(f"ts >= timestamp_ntz'{lo}' and ts < timestamp_ntz'{hi}'").select(
+    part = lambda f, when: b.where(when.replace("TIMESTAMP", "timestamp_ntz")).select(
         "series", "ts", (F.col("volume") * f).alias("volume"), (F.col("high") * f).alias("high"))
-    fetches = [part(1.0, "2024-01-01", "2024-01-11"), part(1.01, "2024-01-09", "2024-01-21"), part(1.02, "2024-01-19", "2024-02-11")]
+    fetches = [part(f, when) for f, when in zip((1.0, 1.01, 1.02), REV_TIMES, strict=True)]
     path = fresh_path(spark, "revised")
     _replay(spark, fetches, lambda s, c: st.run_batches(s, st.revise(path, GAPPY), c))
     return spark.read.parquet(path)

@@ -13,7 +13,7 @@ from barloom.plans.base import (
     user_dense,
 )
 from barloom.plans.registry import query
-from barloom.session import stage
+from barloom.session import join_staged, stage
 
 # Windows of an hourly panel, in bars.
 WINDOWS = [6, 12, 24]
@@ -230,7 +230,7 @@ SELECT series, ts, CASE WHEN l IS NULL THEN coalesce(x, m) ELSE coalesce(n, l) E
 def _(spark, d):
     thin = hour_grid(spark, d).select("series", "ts", F.when(F.col("high") > 100, F.col("price")).alias("x"))
     mid = thin.groupBy("series").agg(F.avg("x").alias("m"))
-    return win.leading_fill(thin.join(mid, "series"), HOUR, {"x": F.col("m")}).withColumnRenamed("x", "price")
+    return win.leading_fill(join_staged(thin, mid, ["series"]), HOUR, {"x": F.col("m")}).withColumnRenamed("x", "price")
 
 
 @query("cumulative_return", "series:s ts:t cum_ret:d", f"""{RET}, g AS (SELECT series, ts, 0.001 * coalesce("return", 0) AS r FROM rets)

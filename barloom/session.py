@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,12 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def join_staged(df: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join rows with one row per key, staged first: its size is known when the join is planned.
+
+    Where it is below the broadcast threshold of the session, ``df`` is not shuffled by the key at all (keys are few and may be hot);
+    beyond the threshold it is a plain join.
+    """
+    return df.join(stage(few, "keyed"), list(keys), how)
