@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.regression import RandomForestRegressor
@@ -283,9 +284,15 @@ def _binomial_upper(hits: int, n: int) -> float:
     return sum(comb(n, k) for k in range(hits, n + 1)) / 2.0**n
 
 
-def boruta_select(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, rounds: int = 5, alpha: float = 0.05, seed: int = 7,
+def boruta_select(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, rounds: int | None = None, alpha: float = 0.05, seed: int = 7,
                   trees: int = 10, depth: int = 4) -> dict[str, tuple[int, str]]:
-    """Features that beat the best shadow more often than chance: ``{feature: (hits, decision)}``."""
+    """Features that beat the best shadow more often than chance: ``{feature: (hits, decision)}``.
+
+    A decision needs a binomial tail of ``alpha`` shared by all features. ``rounds`` defaults to one more than the fewest rounds in
+    which a feature that always wins can reach it; fewer rounds leave every feature tentative.
+    """
+    corrected = alpha / len(features)
+    rounds = rounds or math.ceil(-math.log2(corrected)) + 1
     hits = dict.fromkeys(features, 0)
     for r in range(rounds):
         data = stage(shuffled(df.select(*keys, target, *features), keys, features, seed + r))
@@ -294,12 +301,11 @@ def boruta_select(df: DataFrame, keys: Sequence[str], features: Sequence[str], t
         best = max(importance[f"shadow_{f}"] for f in features)
         for f in features:
             hits[f] += importance[f] > best
-    corrected = alpha / len(features)
 
     def decide(h: int) -> str:
-        if _binomial_upper(h, rounds) <= max(corrected, 0.5**rounds):
+        if _binomial_upper(h, rounds) <= corrected:
             return "accepted"
-        return "rejected" if 1 - _binomial_upper(h + 1, rounds) <= max(corrected, 0.5**rounds) else "tentative"
+        return "rejected" if 1 - _binomial_upper(h + 1, rounds) <= corrected else "tentative"
     return {f: (h, decide(h)) for f, h in hits.items()}
 
 

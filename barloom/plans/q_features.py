@@ -181,7 +181,7 @@ def _(spark, d):
 
 @query("boruta_select", "feature:s hits:i decision:s")
 def _(spark, d):
-    found = se.boruta_select(feat(spark, d), ["series", "ts"], ["x_ret", "x_acc", "x_vol", "x_body"], "y", rounds=2, trees=4, depth=3)
+    found = se.boruta_select(feat(spark, d), ["series", "ts"], ["x_ret", "x_acc", "x_vol", "x_body"], "y")
     return spark.createDataFrame([(f, h, s) for f, (h, s) in found.items()], "feature string, hits int, decision string")
 
 

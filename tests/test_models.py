@@ -73,8 +73,13 @@ def test_shuffle_is_a_permutation_per_column(data):
 
 
 def test_boruta_accepts_signal(data):
-    found = se.boruta_select(data, ["series", "ts"], ["a", "b", "c"], "y", rounds=3, trees=5, depth=3)
-    assert found["a"][0] == 3 and found["a"][1] == "accepted" and found["c"][1] != "accepted"
+    found = se.boruta_select(data, ["series", "ts"], ["a", "b", "c"], "y", trees=5, depth=3)
+    assert found["a"][1] == "accepted" and found["c"][1] != "accepted"
+
+
+def test_boruta_needs_enough_rounds(data):
+    found = se.boruta_select(data, ["series", "ts"], ["a", "c"], "y", rounds=2, trees=5, depth=3)
+    assert {d for _, d in found.values()} == {"tentative"}  # two wins have a chance of 1/4
 
 
 def test_pca_share(data):
@@ -135,3 +140,33 @@ def test_rows_with_nulls_keep_their_forecast_vector(spark):
 
     df = spark.createDataFrame([(1.0, None), (None, float("nan")), (2.0, 3.0)], "a double, b double")
     assert [r["_x"].toArray().tolist() for r in assemble(df, ["a", "b"]).collect()] == [[1.0, 0.0], [0.0, 0.0], [2.0, 3.0]]
+
+
+def test_walk_forward_without_future_rows(data):
+    out = fc.walk_forward(data, Grid(), ["a"], "y", F.col("ts") > F.lit("2030-01-01").cast("timestamp_ntz"), 24, 48)
+    assert out.columns == ["series", "ts", "batch", "y", "forecast"] and out.count() == 0
+
+
+def test_statistics_are_joined_without_a_shuffle_of_the_rows(spark, data):
+    """Rows beyond the broadcast threshold are not exchanged by series, not even in the plan before it is adapted."""
+    from barloom.operators import backtest as bt
+    from barloom.operators import project as pr
+    from barloom.session import stage
+
+    rows = stage(data.withColumn("_train", F.lit(True)).withColumns({"return_forecast": F.col("a"), "loc": F.lit(0.0), "scale": F.lit(1.0)}))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "8000")
+    try:
+        limits = rows.groupBy("series").agg(F.min("a").alias("a_low"), F.max("a").alias("a_high"))
+        fit = rows.groupBy("series").agg(F.avg("a").alias("loc"), F.stddev_samp("a").alias("scale"))
+        plans = {
+            "scale": tr.scale(rows, ["series"], ["a"], tr.moments(rows, ["series"], ["a"])),
+            "zscore": pr.zscore_filter(rows, ["series"], "a"),
+            "certainty": bt.certainty(rows.drop("loc", "scale"), fit, ["series"]),
+            "clip": pr.clip_to(rows, limits, ["series"], ["a"]),
+        }
+        for name, df in plans.items():
+            text = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text, (name, text)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -79,3 +79,14 @@ def test_normal_cdf_tails(spark):
 def test_soft_truncate(spark):
     df = spark.createDataFrame([(-4.0,), (1.0,), (8.0,)], "x double").select(soft_truncate(F.col("x"), F.lit(0.0), F.lit(4.0)).alias("y"))
     assert [r.y for r in df.collect()] == [-1.0, 1.0, 5.0]
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_deviation_is_filled_past_nulls(spark, block):
+    rows = [("a", t, v) for t, v in zip(hours(6), [1.0, None, None, 4.0, 6.0, 6.0])]
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, x double")
+    got = {r.ts: (r.x_std_2, r.x_std_4) for r in win.rolling_stats(df, Grid(block=block), ["x"], [2, 4]).collect()}
+    two = [got[t][0] for t in hours(6)]
+    four = [got[t][1] for t in hours(6)]
+    assert two == pytest.approx([2**0.5] * 5 + [0.0])
+    assert four[:4] == pytest.approx([4.5**0.5] * 4)
