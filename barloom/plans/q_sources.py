@@ -79,10 +79,13 @@ def _(spark, d):
     return ingest.account_ratios(raw(e), raw(e.where("user_id < 60")))
 
 
-@query("ingest_sentiment", "ts:t " + " ".join(f"sentiment_lc_{c}:d" for c in ingest.SOCIAL), f"""{BARS} SELECT ts, volume AS sentiment_lc_circulating_supply, price AS sentiment_lc_galaxy_score,
- high - low AS sentiment_lc_volatility, ticks AS sentiment_lc_alt_rank, open AS sentiment_lc_contributors_active, high AS sentiment_lc_posts_active, low AS sentiment_lc_interactions, price / high AS sentiment_lc_social_dominance FROM bars WHERE series = 'click'""")
+_WIDEST = ["volume", "price", "high", "low", "ticks", "open"]  # the largest of all series at a time
+
+
+@query("ingest_sentiment", "ts:t " + " ".join(f"sentiment_lc_{c}:d" for c in ingest.SOCIAL), f"""{BARS}, m AS (SELECT ts, {", ".join(f"max({c}) AS {c}" for c in _WIDEST)} FROM bars GROUP BY ts) SELECT ts, volume AS sentiment_lc_circulating_supply, price AS sentiment_lc_galaxy_score,
+ high - low AS sentiment_lc_volatility, ticks AS sentiment_lc_alt_rank, open AS sentiment_lc_contributors_active, high AS sentiment_lc_posts_active, low AS sentiment_lc_interactions, price / high AS sentiment_lc_social_dominance FROM m""")
 def _(spark, d):
-    b = hour_bars(spark, d).where("series = 'click'")
+    b = hour_bars(spark, d).groupBy("ts").agg(*[F.max(c).alias(c) for c in _WIDEST])
     raw = b.select(epoch_seconds("ts").cast("string").alias("time"), F.lit("x").alias("market_dominance"), *[c.cast("string").alias(n) for n, c in zip(ingest.SOCIAL, [
         F.col("volume"), F.col("price"), F.col("high") - F.col("low"), F.col("ticks"), F.col("open"), F.col("high"), F.col("low"), F.try_divide("price", "high")])])
     return ingest.sentiment(raw)
@@ -191,13 +194,12 @@ def _(spark, d):
 def _backed_up(spark, d, last: dt.datetime | None):
     path = fresh_path(spark, "backup")
     b = hour_bars(spark, d).select("series", "ts", "price")
-    cut = b.where("ts < timestamp_ntz'2024-01-20'")
-    first = storage.backup(cut, path, last, True)
-    skipped = storage.backup(b.where("ts < timestamp_ntz'2024-01-21'"), path, first, True)
+    first = storage.backup(b, path, last, True)
+    skipped = storage.backup(b, path, first, True)
     return path, first, skipped
 
 
-@query("backup_snapshot", "series:s ts:t price:d snapshot:s", f"{BARS} SELECT series, ts, price, '20240119230000' AS snapshot FROM bars WHERE ts < TIMESTAMP '2024-01-20'")
+@query("backup_snapshot", "series:s ts:t price:d snapshot:s", f"{BARS} SELECT series, ts, price, strftime((SELECT max(ts) FROM bars), '%Y%m%d%H%M%S') AS snapshot FROM bars")
 def _(spark, d):
     path, first, skipped = _backed_up(spark, d, None)
     if first != skipped:
@@ -205,10 +207,10 @@ def _(spark, d):
     return spark.read.schema("series string, ts timestamp_ntz, price double, snapshot string").parquet(path)
 
 
-@query("restore_snapshot", "series:s ts:t price:d", f"{BARS} SELECT series, ts, price FROM bars WHERE ts < TIMESTAMP '2024-01-20'")
+@query("restore_snapshot", "series:s ts:t price:d", f"{BARS} SELECT series, ts, price FROM bars")
 def _(spark, d):
     path, last, _ = _backed_up(spark, d, None)
-    damaged = hour_bars(spark, d).where("ts < timestamp_ntz'2024-01-22'").select("series", "ts", F.lit(None).cast("double").alias("price"))
+    damaged = hour_bars(spark, d).select("series", "ts", F.lit(None).cast("double").alias("price"))
     return storage.restore(damaged, path, last)
 
 
