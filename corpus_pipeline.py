@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, mixing, quality_rules, simhash, token_files
+from barloom.llm import decontaminate, mixing, near_copies, quality_rules, token_files
 from barloom.llm.common import stage
 from barloom.llm.queries import table, tokenizer_path
 
@@ -27,8 +27,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return simhash.one_of_each(docs)
+    """The document with the smallest id of each group of near copies: five-word Jaccard similarity of 0.8 or more, confirmed exactly."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, line_dedup, mixing, pii, quality_rules, secrets, simhash, token_files, url_reputation
+from barloom.llm import decontaminate, licenses, line_dedup, mixing, near_copies, pii, quality_rules, secrets, simhash, token_files, url_reputation
 from barloom.llm.queries import RULES, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -158,6 +158,63 @@ def test_bit_sliced_forest():
         assert got == want
 
 
+def plain_similar(rows, least=0.8):
+    """Roots by brute force: every pair of texts that share a five-word shingle."""
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", t.translate(AZ)) if w]
+    sets = []
+    for _, t, _ in rows:
+        w = split(t)
+        sets.append(frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    where = defaultdict(set)
+    for i, s in enumerate(sets):
+        for x in s or {()}:
+            where[x].add(i)
+    p, pairs = list(range(len(rows))), set()
+
+    def root(x):
+        while p[x] != x:
+            x = p[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in set().union(*(where[x] for x in s or {()})):
+            if j > i and (not s and not sets[j] or len(s & sets[j]) / len(s | sets[j]) >= least):
+                x, y = root(i), root(j)
+                p[max(x, y)] = min(x, y)
+                if s != sets[j]:
+                    pairs.add((i, j))
+    return [root(i) for i in range(len(rows))], pairs
+
+
+@pytest.mark.parametrize("chunk", [4096, 8])
+def test_near_copies_of_the_pipeline(spark, docs, rows, empty, chunk):
+    """Edited copies of similarity 0.8 or more go, less similar ones stay; brute force over all pairs."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    base = [(i, t, s) for i, t, s in rows if i is not None and 60 < len(t.split()) < 600][:40]
+    more = []
+    for i, t, s in base:
+        for k, edits in enumerate((1, 2, 4, 7)):
+            w = t.split(" ")
+            for at in rng.integers(0, len(w), edits):
+                w[at] = f"edit{k}x{at}"
+            more.append((30_000 + 10 * i + k, " ".join(w), s))
+    every = rows + more
+    roots, pairs = plain_similar(every)
+    far = sum(bin(plain_print(every[i][1]) ^ plain_print(every[j][1])).count("1") > 4 for i, j in pairs)
+    assert len(pairs) > 60 and far > len(pairs) / 2  # most would not be found within 4 bits
+    least = defaultdict(list)
+    for (i, _, _), r in zip(every, roots, strict=True):
+        least[r].append(i)
+    extra = spark.createDataFrame(more, "doc_id long, text string, source string")
+    table = docs.unionByName(extra, allowMissingColumns=True)
+    kept = near_copies.one_of_each(table, chunk=chunk) if chunk != 4096 else corpus_pipeline.drop_near_duplicates(spark, table, DATA)
+    assert kept.columns == docs.columns
+    same([r["doc_id"] for r in kept.collect()], [min((x for x in v if x is not None), default=None) for v in least.values()])
+    assert near_copies.one_of_each(empty).count() == 0
+
+
 # decontamination
 
 
