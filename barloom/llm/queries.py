@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, licenses, line_dedup, mixing, pii, quality_rules, secrets, simhash, token_files, url_reputation
-from barloom.llm.common import stage, text_of
+from barloom.llm.common import stage
+
+log = logging.getLogger(__name__)
 
 # The rules that the url query applies.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -77,14 +81,12 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
-    """A page's outcome is the mean label of the labelled documents that begin with its title."""
+    """A page's outcome is the mean label of the labelled documents whose whole text is that of its article. Pages without a document are counted."""
     pages, labels = table(spark, folder, "pages"), table(spark, folder, "labels")
-    docs = table(spark, folder, "documents").select("doc_id", F.rtrim(F.substring(text_of(F.col("text")), 1, 60)).alias("title"))
     bad = labels.select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1.0).otherwise(0.0).alias("bad"))
-    titles = stage(docs.join(bad, "doc_id").groupBy("title").agg(F.avg("bad").alias("bad")), "titles")
-    host, _ = url_reputation.host_and_path(F.col("url"))
-    named = pages.select(host.alias("host"), F.rtrim(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<title>([^<]*)", 1)).alias("title"))
-    outcomes = named.filter("title != ''").join(titles, "title").select("host", "bad")
+    linked = stage(url_reputation.linked_pages(pages, table(spark, folder, "documents"), bad), "linked")
+    log.info("op10_url_reputation: %d of %d pages have no document", linked.filter("not linked").count(), linked.count())
+    outcomes = linked.filter("bad is not null").select("host", "bad")
     return url_reputation.judge(pages, RULES, outcomes)
 
 

@@ -6,7 +6,7 @@ the host, each prior centred on the posterior mean above it with a concentration
 lower bound of its host's posterior is above ``threshold``: little evidence does not block.
 
 Defined results: null urls and urls without ``://`` have empty host and path, fit no rule and share the reputation of the empty
-host; repeated rows are judged alike; no labels at all allow every page without a rule; an empty table gives an empty result.
+host; repeated rows are judged alike; pages without an article, or with an empty one, meet no document; no labels at all allow every page without a rule; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ascii_lower, stage
+from barloom.llm.common import SPACE, ascii_lower, row_key, stage, text_of
 
 LARGEST_RHO = 1 / 3  # a prior counts as two observations at least, so that one bad page does not block its host
 LEVELS = ["suffix", "domain", "host"]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&(?:apos|#39|#[xX]27);", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]  # the ampersand last
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -47,6 +48,34 @@ def _tail(host: Column, i: Column) -> Column:
     return F.call_function("substring_index", host, F.lit("."), -i)
 
 
+def bare(text: Column) -> Column:
+    """A text without white space: pages break lines elsewhere."""
+    return F.regexp_replace(text, f"[{SPACE}]+", "")
+
+
+def article_text(html: Column) -> Column:
+    """The whole text of a page's article without its heading, unescaped and without white space; empty without an article."""
+    out = F.regexp_extract(text_of(html), r"(?is)<article\b[^>]*>(.*)</article>", 1)
+    out = F.regexp_replace(out, r"(?is)^\s*<h1\b[^>]*>.*?</h1>", "")
+    out = F.regexp_replace(out, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
+    out = F.regexp_replace(out, r"<[^>]*+>", "")
+    for entity, char in ENTITIES:
+        out = F.regexp_replace(out, entity, char)
+    return bare(out)
+
+
+def linked_pages(pages: DataFrame, docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """host, linked, bad for each page: whether its article is a document, and the mean of ``bad`` (doc_id, bad) over the documents of that text.
+
+    Pages and documents meet by 128 bits of their whole texts; texts themselves are not shuffled.
+    """
+    texts = docs.select("doc_id", bare(text_of(F.col("text"))).alias("_b_text")).filter("_b_text != ''").select("doc_id", *row_key(F.col("_b_text")))
+    texts = texts.join(bad, "doc_id", "left").groupBy("_b_k1", "_b_k2").agg(F.avg("bad").alias("bad")).withColumn("_b_met", F.lit(True))
+    host, _ = host_and_path(F.col("url"))
+    named = pages.select(host.alias("host"), article_text(F.col("html")).alias("_b_text")).select("host", *row_key(F.col("_b_text")))
+    return named.join(texts, ["_b_k1", "_b_k2"], "left").select("host", F.coalesce("_b_met", F.lit(False)).alias("linked"), "bad")
+
+
 def outcomes_by_host(pages: DataFrame) -> DataFrame:
     """(host, bad in 0..1) rows to one row per host: n, bad and the levels above."""
     by_host = pages.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.col("bad").cast("double")).alias("bad"))

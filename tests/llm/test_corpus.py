@@ -477,3 +477,19 @@ def test_url_reputation(spark):
     verdict = {r["page_id"]: r["verdict"] for r in judged.collect()}
     assert verdict == {1: "block", 2: verdict[2], 3: "allow", 4: "allow", 5: "allow"}
     assert url_reputation.judge(pages.limit(0), RULES, none).count() == 0
+
+
+def test_pages_meet_their_documents(spark):
+    """Short first lines, & and <, and documents that open alike: each page meets the document of its whole article."""
+    import html
+
+    texts = {1: "Hi.\nshort first line", 2: "a & b < c \"d\" &amp; <p>\nx", 3: "same opening " * 6 + "one", 4: "same opening " * 6 + "two", 5: "", 6: "no page"}
+    bad = {1: 1.0, 2: 1.0, 3: 0.0, 4: 1.0}
+    page = lambda t: f"<title>{html.escape(t.split(chr(10))[0][:60])}</title><article>\n<h1>{html.escape(t[:60])}</h1><p><b>{html.escape(t).replace(chr(10), '<br><p>')}</p></article><footer>f</footer>"
+    pages = [(i, f"http://h{i}.x/", page(t)) for i, t in texts.items() if i < 6] + [(7, "http://h7.x/", None), (8, "http://h8.x/", page("not a document"))]
+    got = url_reputation.linked_pages(
+        spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(bad.items()), "doc_id long, bad double"),
+    )
+    same([tuple(r) for r in got.collect()], [(f"h{i}.x", i in bad, bad.get(i)) for i in (1, 2, 3, 4, 5, 7, 8)])
+    base = url_reputation.linked_pages(*(spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("pages", "documents")), spark.createDataFrame([], "doc_id long, bad double"))
+    assert base.filter("not linked").count() == 0
