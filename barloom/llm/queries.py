@@ -115,8 +115,9 @@ ORACLES = {
         c AS (  -- sources that stop at their cap come first: those with the smallest cap for their weight
             SELECT *, 2.0 * source_size / w AS r, coalesce(sum(2.0 * source_size) OVER o, 0) AS held, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS free
             FROM s WINDOW o AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        l AS (SELECT min(x) AS level FROM (SELECT ((SELECT sum(size) * 1.5 FROM d) - held) / free AS x, r FROM c) WHERE x <= r),
-        t AS (SELECT source, source_size, least(2.0 * source_size, coalesce(level, 0) * w) AS target FROM s, l),
+        -- the first source, in that order, which the level does not reach; none: every source stops at its cap
+        l AS (SELECT arg_min(x, (r, source IS NULL, source)) AS level FROM (SELECT ((SELECT sum(size) * 1.5 FROM d) - held) / free AS x, r, source FROM c) WHERE x <= r),
+        t AS (SELECT source, source_size, least(2.0 * source_size, coalesce(level * w, 2.0 * source_size)) AS target FROM s, l),
         x AS (
             SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS budget,
                 sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT - size AS before
