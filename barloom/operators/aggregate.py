@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -144,6 +146,43 @@ def dense_correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "a string, b string, score double")
 
 
+def pair_correlations(df: DataFrame, cols: Sequence[str], block: int = 256) -> DataFrame:
+    """Pearson ``r`` of every column pair ``(i, j)``, i < j (positions in ``cols``), over the rows where both are there.
+
+    One pass whatever the number of columns: a task keeps six columns x columns matrices of pairwise-complete sums (NaN and infinite
+    values count as missing) and gives them up as one row per column, whose partial sums Spark adds up. Values are centred at the
+    mean of their column first. ``r`` is rounded to 14 decimals, so that exact copies have 1; it is null where a column does not vary. ``block``: columns per batch given up.
+    """
+    n = len(cols)
+    known = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf")), F.col(c).cast("double"))
+    rows = df.select(*[known(c).alias(f"_x{i}") for i, c in enumerate(cols)])
+    if not n:
+        return df.sparkSession.createDataFrame([], "i int, j int, r double")
+    means = np.array([0.0 if v is None else v for v in rows.agg(*[F.avg(f"_x{i}") for i in range(n)]).first()])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, n, n))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float)
+            there = ~np.isnan(x)
+            x, m = np.where(there, x - means, 0.0), there.astype(float)
+            x2 = x * x
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, x2.T @ m, m.T @ x2, x.T @ x])
+        for lo in range(0, n, block):
+            part = [total[:, i, i + 1:].reshape(-1) for i in range(lo, min(n, lo + block))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(lo, lo + len(part)), pa.int32()), pa.array(part, pa.list_(pa.float64()))], ["i", "s"])
+
+    parts = rows.mapInArrow(sums, "i int, s array<double>").where("size(s) > 0")
+    width = n - 1 - F.col("i")
+    cells = parts.select("i", F.posexplode("s").alias("at", "v"))
+    cells = cells.groupBy("i", (F.col("i") + 1 + F.col("at") % width).cast("int").alias("j")).agg(
+        *[F.sum(F.when(F.floor(F.col("at") / width) == k, F.col("v"))).alias(f"s{k}") for k in range(6)])
+    count, a, b, aa, bb, ab = (F.col(f"s{k}") for k in range(6))
+    va, vb = aa - F.try_divide(a * a, count), bb - F.try_divide(b * b, count)
+    r = F.when((va > 0) & (vb > 0), (ab - a * b / count) / F.sqrt(va * vb))
+    return cells.select("i", "j", F.round(r, 14).alias("r"))
+
+
 def peer_scores(wide: DataFrame, peers: Sequence[str], kinds: Sequence[str]) -> DataFrame:
     """Mean |corr| of each peer's one-bar-old columns with the current columns of all other peers, ranked.
 

@@ -10,29 +10,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions import stats
 from barloom.functions.scalars import normal_cdf
-from barloom.operators.aggregate import above_quantile, correlations, exact_quantiles
+from barloom.operators.aggregate import above_quantile, correlations, exact_quantiles, pair_correlations
 from barloom.operators.forecast import assemble, repeatable
 from barloom.session import stage
 from barloom.sources.ingest import key_uniform
 
 
-def colinear_filter(df: DataFrame, features: Sequence[str], limit: float = 0.95, block: int = 24) -> list[str]:
+def colinear_filter(df: DataFrame, features: Sequence[str], limit: float = 0.95, block: int = 256) -> list[str]:
     """Walk the features in order and drop those with limit <= |corr| < 1 to a kept one.
 
-    Each pair is correlated over the rows where both are there, whatever the number of features: one aggregate per pair of
-    column blocks, which bounds the size of a plan.
+    Each pair is correlated over the rows where both are there, in one pass whatever the number of features. Only the close pairs of
+    features come to the driver. A constant has no correlation.
     """
-    blocks = [list(features[i:i + block]) for i in range(0, len(features), block)]
-    rows = stage(df.select(*features), "features") if len(blocks) > 1 else df
-    close: set[frozenset[str]] = set()
+    rows = df.select(*features)
     ends = rows.agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)], *[F.max(f).alias(f"hi{i}") for i, f in enumerate(features)]).first()
-    varies = {f for i, f in enumerate(features) if ends[f"lo{i}"] != ends[f"hi{i}"]}  # a constant has no correlation
-    for i, left in enumerate(blocks):
-        for right in blocks[i:]:
-            pairs = [(a, b) for a in left for b in right if {a, b} <= varies and (left is not right or left.index(a) < left.index(b))]
-            if pairs:
-                got = rows.agg(*[F.corr(a, b).alias(f"c{n}") for n, (a, b) in enumerate(pairs)]).first()
-                close |= {frozenset(p) for p, r in zip(pairs, got) if r is not None and limit <= abs(r) < 1}
+    varying = [f for i, f in enumerate(features) if ends[f"lo{i}"] != ends[f"hi{i}"]]
+    found = pair_correlations(rows, varying, block).where((F.abs("r") >= limit) & (F.abs("r") < 1)).collect()
+    close = {frozenset((varying[p.i], varying[p.j])) for p in found}
     kept: list[str] = []
     for f in features:
         if not any(frozenset((f, k)) in close for k in kept):

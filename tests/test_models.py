@@ -170,3 +170,25 @@ def test_statistics_are_joined_without_a_shuffle_of_the_rows(spark, data):
             assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text, (name, text)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pair_correlations_equal_numpy_on_common_rows(spark):
+    from barloom.operators.aggregate import pair_correlations
+
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(1e6, 1.0, (200, 30))
+    x[:, 7] = 3.0
+    x[:, 9] = x[:, 8]
+    holes = rnd.random(x.shape) < 0.2
+    holes[:, 5] = True
+    rows = [tuple(None if h else float(v) for v, h in zip(a, b)) for a, b in zip(x, holes)]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(30))).repartition(5)
+    got = {(r.i, r.j): r.r for r in pair_correlations(df, df.columns, block=4).collect()}
+    assert set(got) == set(itertools.combinations(range(30), 2))
+    for (i, j), r in got.items():
+        both = ~holes[:, i] & ~holes[:, j]
+        if both.sum() < 2 or np.ptp(x[both, i]) == 0 or np.ptp(x[both, j]) == 0:
+            assert r is None or 5 not in (i, j) and 7 not in (i, j)
+        else:
+            assert r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
+    assert pair_correlations(df.limit(0), df.columns).where("r is not null").count() == 0
