@@ -7,7 +7,9 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, line_dedup, mixing, pii, quality_rules, secrets, simhash, token_files, url_reputation
+from barloom.llm import (
+    conversations, decontaminate, licenses, line_dedup, mixing, periodic, pii, quality_rules, secrets, simhash, substrings, token_files, url_reputation,
+)
 from barloom.llm.common import stage
 
 log = logging.getLogger(__name__)
@@ -90,6 +92,19 @@ def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return url_reputation.judge(pages, RULES, outcomes)
 
 
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.digest(substrings.remove_repeats(table(spark, folder, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digest(periodic.find_runs(periodic.planted(table(spark, folder, "documents"))))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -98,7 +113,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pii, op2_simhash, op3_decontaminate, op4_quality_rules, op5_secrets, op6_token_files, op7_mixing, op8_licenses, op9_line_dedup,
-    op10_url_reputation, pipeline,
+    op10_url_reputation, op11_substring_dedup, op12_conversation_repair, op13_periodic_runs, pipeline,
 )}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -134,4 +149,16 @@ ORACLES = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
     """,
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50),
+        p AS (SELECT doc_id, i, md5(array_to_string(w[i + 1:i + 50], ' ')) AS k FROM s),
+        m AS (SELECT k, min(doc_id) AS least FROM p GROUP BY k),
+        g AS (SELECT DISTINCT doc_id, i + j AS pos FROM p JOIN m USING (k), (SELECT unnest(range(50)) AS j) WHERE least < doc_id),
+        x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d),
+        k AS (
+            SELECT x.doc_id, count(g.pos)::BIGINT AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY x.pos) FILTER (g.pos IS NULL), '')) AS sha
+            FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.pos = x.pos GROUP BY x.doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(sha, sha256('')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+    """,
 }
