@@ -4,13 +4,14 @@ A word is removed where a window of ``window`` consecutive words covers it that
 document is cut into non-overlapping blocks of half a window, counted from its first word; their hashes are the index. Every rolling
 window of a block's length probes it. A shared window of ``window`` words holds a whole block of each document, so both documents have
 an anchor in it: a block that other words than its own also hit. Around the anchors hits are extended word by word: the
-``window``-word windows with an anchor inside are compared by 128-bit keys, the least id of each is found, and the windows that a
+``window``-word windows with an anchor inside are compared by 96-bit keys, the least id of each is found, and the windows that a
 smaller id owns are merged to maximal repeats.
 
 How it runs: texts are packed into shards of some ``shard`` words (words joined by a space, documents by a line feed, zstandard),
-written once. A shard gives up each different probe once, 4 bytes, in blobs by the top bits of the hash; a bucket of hashes meets in one
-task as arrays, and so do the keys of windows. A hash or window that a third of all documents hold is one entry per
-shard. Only hashes and keys that are anchors or repeats come back to their shards. Nothing is compared pair by pair.
+written once. A shard gives up each different probe once, some 3 bytes, in blobs by the top bits of the hash; a bucket of hashes meets in one
+task as arrays, and so do the keys of windows (96 bits, the ids of a shard counted from its least). A hash or window that a third of all documents
+hold is one entry per shard. Only hashes that are anchors and keys that another shard owns come back to their shards; what repeats inside a shard is
+seen there. Nothing is compared pair by pair.
 
 Defined results: null or empty text has no words; ids are integers, a null id counts as larger than any other (a null does not
 remove from a null); rows with one id do not remove from each other; repeated rows give repeated results; texts shorter than a window
@@ -114,6 +115,24 @@ def pack(docs: DataFrame, doc_id: str, text: str, shard: int) -> DataFrame:
     return stage(packed.withColumn("shard", F.monotonically_increasing_id()), "shards")
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as byte planes, compressed: the upper bytes of what is sorted or small cost nothing."""
+    from zstandard import ZstdCompressor
+
+    return ZstdCompressor(level=1).compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes())
+
+
+def _unpacked(blob: bytes, dtype: type) -> np.ndarray:
+    from zstandard import ZstdDecompressor
+
+    raw = np.frombuffer(ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1)
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def _buckets(first: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of sorted hashes by their top ``bits``."""
     edges = np.searchsorted(first >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits < 20 else None
@@ -146,11 +165,11 @@ def probes(shards: DataFrame, block: int, bits: int) -> DataFrame:
                 times = np.diff(np.r_[first, len(h)])
                 mark = np.bitwise_or.reduceat(h & np.uint64(1), first) * np.uint64(BLOCK_FLAG) + (times > 1).astype(np.uint64) * np.uint64(TWICE_FLAG)
                 h = h[first]
-                entry = ((h << np.uint64(bits)) >> np.uint64(34) << np.uint64(2) | mark).astype(np.uint32)
+                entry, mark = ((h << np.uint64(bits)) >> np.uint64(34)).astype(np.uint32), mark.astype(np.uint32)
                 cut = list(_buckets(h, bits))
                 yield pa.RecordBatch.from_arrays([
                     pa.array([b for b, _, _ in cut], pa.int32()), pa.array([no] * len(cut), pa.int64()),
-                    pa.array([entry[lo:hi].tobytes() for _, lo, hi in cut], pa.binary())], ["bucket", "shard", "entries"])
+                    pa.array([_packed(_steps(entry[lo:hi]) << np.uint32(2) | mark[lo:hi]) for _, lo, hi in cut], pa.binary())], ["bucket", "shard", "entries"])
 
     return shards.select("shard", "body").mapInArrow(run, "bucket int, shard long, entries binary")
 
@@ -173,18 +192,17 @@ def anchors(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
-            parts = [np.frombuffer(r["entries"], np.uint32) for r in rows]
-            every = np.concatenate(parts)
-            word = every >> np.uint32(2)
+            read = [_unpacked(r["entries"], np.uint32) for r in rows]
+            parts = [np.cumsum(p >> np.uint32(2), dtype=np.uint32) for p in read]
+            word, mark = np.concatenate(parts), np.concatenate(read) & np.uint32(3)
             order = np.argsort(word, kind="stable")
-            word, mark = word[order], every[order] & np.uint32(3)
+            word, mark = word[order], mark[order]
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             marks = np.bitwise_or.reduceat(mark, first)
             times = np.diff(np.r_[first, len(word)])
             live = word[first][(marks & BLOCK_FLAG > 0) & ((times > 1) | (marks & TWICE_FLAG > 0))]
             out = []
             for r, p in zip(rows, parts):
-                p = p >> np.uint32(2)
                 hit = p[np.isin(p, live, kind="sort")]
                 if len(hit):
                     out.append((r["shard"], hit.tobytes()))
@@ -196,11 +214,20 @@ def anchors(found: DataFrame) -> DataFrame:
     return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, shard long, entries binary")
 
 
-KEY = np.dtype([("a", np.uint64), ("b", np.uint64)])
+def _keys(s: Shard, window: int, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of the windows from ``p`` on."""
+    return s.windows(window)[p], (s.windows(window, 1)[p] >> np.uint64(32)).astype(np.uint32)
+
+
+def _least_ids(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key, where each key begins in it, and its least id."""
+    order = np.lexsort((b, a))
+    first = np.flatnonzero(np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    return order, first, np.minimum.reduceat(ids[order], first)
 
 
 def keyed_windows(shards: DataFrame, window: int, block: int, bits: int) -> DataFrame:
-    """Shards with their anchors to (bucket, shard, keys, least, more): every window with an anchor inside, once per shard with its least id."""
+    """Shards with their anchors to (bucket, shard, a, b, base, ids): every window with an anchor inside, once per shard with its least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,53 +239,47 @@ def keyed_windows(shards: DataFrame, window: int, block: int, bits: int) -> Data
                 at = np.isin(probe, live, kind="sort") & s.complete(block)
                 # a window from p on holds an anchor when one starts in p .. p + window - block
                 seen = np.r_[0, np.cumsum(at)]
-                whole = s.complete(window)
-                p = np.flatnonzero(whole)
+                p = np.flatnonzero(s.complete(window))
                 p = p[seen[p + window - block + 1] > seen[p]]
                 if not len(p):
                     continue
-                keys = np.empty(len(p), KEY)
-                keys["a"], keys["b"] = s.windows(window)[p], s.windows(window, 1)[p]
-                ids = np.array(row["ids"], np.int64)[s.doc_of()[p]]
-                order = np.lexsort((ids, keys["b"], keys["a"]))
-                keys, ids = keys[order], ids[order]
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                last = np.r_[first[1:], len(ids)] - 1
-                keys, least, more = keys[first], ids[first], ids[last] > ids[first]
-                cut = list(_buckets(keys["a"], bits))
+                a, b = _keys(s, window, p)
+                order, first, least = _least_ids(a, b, np.array(row["ids"], np.int64)[s.doc_of()[p]])
+                a, b, base = a[order[first]], b[order[first]], int(least.min())
+                offset = least - base
+                ids = offset.astype(np.uint32) if base >= 0 and offset.max() < 1 << 32 else least
+                cut = list(_buckets(a, bits))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([b for b, _, _ in cut], pa.int32()), pa.array([row["shard"]] * len(cut), pa.int64()),
-                    *[pa.array([x[lo:hi].tobytes() for _, lo, hi in cut], pa.binary()) for x in (keys, least, more)]], ["bucket", "shard", "keys", "least", "more"])
+                    pa.array([x for x, _, _ in cut], pa.int32()), pa.array([row["shard"]] * len(cut), pa.int64()),
+                    pa.array([_packed(_steps(a[lo:hi])) for _, lo, hi in cut], pa.binary()), pa.array([_packed(b[lo:hi]) for _, lo, hi in cut], pa.binary()),
+                    pa.array([base if ids.dtype == np.uint32 else None] * len(cut), pa.int64()), pa.array([_packed(ids[lo:hi]) for _, lo, hi in cut], pa.binary())],
+                    ["bucket", "shard", "a", "b", "base", "ids"])
 
-    return shards.mapInArrow(run, "bucket int, shard long, keys binary, least binary, more binary")
+    return shards.mapInArrow(run, "bucket int, shard long, a binary, b binary, base long, ids binary")
 
 
 def owned(keyed: DataFrame) -> DataFrame:
-    """(shard, keys, least): the windows of a shard that start in a document of a smaller id than one of the shard's own, with that least id."""
+    """(shard, a, b): the windows of a shard that start in a document of another shard with a smaller id than all of the shard's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
-            parts = [(np.frombuffer(r["keys"], KEY), np.frombuffer(r["least"], np.int64), np.frombuffer(r["more"], bool)) for r in rows]
-            keys, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.lexsort((keys["b"], keys["a"]))
-            ordered = keys[order]
-            first = np.r_[True, ordered[1:] != ordered[:-1]]
-            least = np.minimum.reduceat(ids[order], np.flatnonzero(first))
-            of = np.empty(len(keys), np.int64)
-            of[order] = least[np.cumsum(first) - 1]
+            a = [np.cumsum(_unpacked(r["a"], np.uint64), dtype=np.uint64) for r in rows]
+            b = [_unpacked(r["b"], np.uint32) for r in rows]
+            ids = [_unpacked(r["ids"], np.int64) if r["base"] is None else _unpacked(r["ids"], np.uint32).astype(np.int64) + r["base"] for r in rows]
+            order, first, least = _least_ids(np.concatenate(a), np.concatenate(b), np.concatenate(ids))
+            of = np.empty(len(order), np.int64)
+            of[order] = np.repeat(least, np.diff(np.r_[first, len(order)]))
             out, lo = [], 0
-            for r, (k, own, more) in zip(rows, parts):
-                best = of[lo:lo + len(k)]
-                lo += len(k)
-                hit = np.flatnonzero((best < own) | more)
+            for r, x, y, own in zip(rows, a, b, ids):
+                hit = np.flatnonzero(of[lo:lo + len(x)] < own)
+                lo += len(x)
                 if len(hit):
-                    out.append((r["shard"], k[hit].tobytes(), best[hit].tobytes()))
+                    out.append((r["shard"], _packed(_steps(x[hit])), _packed(y[hit])))
             if out:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([s for s, _, _ in out], pa.int64()), pa.array([k for _, k, _ in out], pa.binary()), pa.array([b for _, _, b in out], pa.binary())],
-                    ["shard", "keys", "least"])
+                    pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["shard", "a", "b"])
 
-    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard long, keys binary, least binary")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "shard long, a binary, b binary")
 
 
 def cleaned(shards: DataFrame, window: int) -> DataFrame:
@@ -269,25 +290,26 @@ def cleaned(shards: DataFrame, window: int) -> DataFrame:
             for row in batch.select(["ids", "body", "hits"]).to_pylist():
                 s = Shard(row["body"])
                 gone = np.zeros(s.n + 1, np.int64)
-                doc = s.doc_of()
-                if row["hits"]:
-                    keys = np.concatenate([np.frombuffer(e["keys"], KEY) for e in row["hits"]])
-                    least = np.concatenate([np.frombuffer(e["least"], np.int64) for e in row["hits"]])
-                    order = np.lexsort((keys["b"], keys["a"]))
-                    keys, least = keys[order], least[order]
-                    a, b, p = s.windows(window), s.windows(window, 1), np.flatnonzero(s.complete(window))
-                    p = p[np.isin(a[p], keys["a"], kind="sort")]
-                    at = np.searchsorted(keys["a"], a[p])
-                    while len(p):  # equal first halves are told apart by the second
-                        same = (keys["a"][at] == a[p]) & (keys["b"][at] == b[p])
-                        hit = p[same][least[at[same]] < np.array(row["ids"], np.int64)[doc[p[same]]]]
-                        np.add.at(gone, hit, 1)
-                        np.add.at(gone, hit + window, -1)
-                        p, at = p[~same], at[~same] + 1
-                        more = at < len(keys)
-                        p, at = p[more], at[more]
-                        more = keys["a"][at] == a[p]
-                        p, at = p[more], at[more]
+                p = np.flatnonzero(s.complete(window))
+                if len(p):
+                    a, b = _keys(s, window, p)
+                    ids = np.array(row["ids"], np.int64)[s.doc_of()[p]]
+                    order, first, least = _least_ids(a, b, ids)
+                    group = np.empty(len(p), np.int64)
+                    group[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(p)]))
+                    hit = ids > least[group]
+                    if row["hits"]:
+                        x = np.concatenate([np.cumsum(_unpacked(e["a"], np.uint64), dtype=np.uint64) for e in row["hits"]])
+                        y = np.concatenate([_unpacked(e["b"], np.uint32) for e in row["hits"]])
+                        # owned keys stand among the shard's own: mark their groups
+                        mine = np.r_[np.zeros(len(first), bool), np.ones(len(x), bool)]
+                        both, start, _ = _least_ids(np.r_[a[order[first]], x], np.r_[b[order[first]], y], np.zeros(len(mine), np.int64))
+                        some = np.repeat(np.logical_or.reduceat(mine[both], start), np.diff(np.r_[start, len(both)]))
+                        theirs = np.empty(len(both), bool)
+                        theirs[both] = some
+                        hit |= theirs[:len(first)][group]
+                    np.add.at(gone, p[hit], 1)
+                    np.add.at(gone, p[hit] + window, -1)
                 drop = np.cumsum(gone)[:s.n] > 0
                 out: list[tuple] = []
                 for i, (own, words) in enumerate(zip(row["ids"], s.docs)):
@@ -320,8 +342,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bits = max(least_bits, math.ceil(math.log2(max(1, words / per_bucket))))
     hits = anchors(probes(shards, block, bits)).groupBy("shard").agg(F.collect_list(F.struct("bucket", "entries")).alias("hits"))
     keyed = keyed_windows(shards.join(hits, "shard"), window, block, bits)
-    gone = owned(keyed).groupBy("shard").agg(F.collect_list(F.struct("keys", "least")).alias("hits"))
-    return cleaned(shards.join(stage(gone, "owned"), "shard", "left"), window)
+    gone = owned(keyed).groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("hits"))
+    return cleaned(shards.join(gone, "shard", "left"), window)
 
 
 def digest(out: DataFrame) -> DataFrame:
