@@ -8,13 +8,14 @@ it, so the row-by-row loop of the method becomes carried positions (``blocks.run
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.functions import stats
 from barloom.functions.scalars import exposure, normal_cdf
 from barloom.functions.time import epoch_seconds
-from barloom.operators.aggregate import value_ranks
+from barloom.operators.aggregate import exact_quantiles, value_ranks
 from barloom.operators.blocks import Grid, bounded, row_numbers, running
 from barloom.operators.project import zscore_filter
 from barloom.operators.windows import cumulative_return
@@ -316,22 +317,114 @@ def simulated_forecast(df: DataFrame, keys: Sequence[str], ts: str = "ts", hit_r
         "return_forecast", F.when(right == up, long).otherwise(short)).drop("_lm", "_ls", "_sm", "_ss")
 
 
-def threshold_search(df: DataFrame, g: Grid, base: dict, candidates: DataFrame, field: str, other: dict[str, float], metric: str = "avg_real_trading_return") -> DataFrame:
-    """Score candidate rates of one stop field and keep the best per series.
+# Per stop field: the side it ends, the extreme of the bar that reaches it, the rows and quantiles its candidates come from (fixed values),
+# and the rate of the other side, far out of reach.
+@dataclass(frozen=True)
+class StopField:
+    side: str
+    extreme: str
+    of_long: bool
+    quantiles: tuple[float, ...]
+    other: float
 
-    ``candidates`` holds ``(keys, q, value)``: a fixed number of quantiles per series.
+
+def _spaced(lo: float, hi: float, n: int) -> tuple[float, ...]:
+    return tuple(lo + (hi - lo) * i / (n - 1) for i in range(n))
+
+
+STOP_FIELDS = {
+    "ltp": StopField("long", "high", True, _spaced(0.7, 0.99, 29), -0.9), "lsl": StopField("long", "low", False, _spaced(0.01, 0.15, 14), 1.0),
+    "stp": StopField("short", "low", False, _spaced(0.01, 0.3, 29), 1.0), "ssl": StopField("short", "high", True, _spaced(0.85, 0.99, 14), -0.9),
+}
+
+
+def stop_candidates(df: DataFrame, keys: Sequence[str], fields: dict[str, StopField] = STOP_FIELDS) -> DataFrame:
+    """Per key and field the candidate rates ``cands`` (structs of q, v): quantiles of how far bars that rose (or fell) went up (or down) from their open."""
+    rose = F.col("real_return") >= 0
+    went = [("high", True), ("low", False)]
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(e).alias("extreme"), F.when(rose == up, F.try_divide(e, "open") - 1).alias("r")) for e, up in went])).alias("_w")).select(*keys, "_w.*")
+    every = {e: sorted({q for f in fields.values() if f.extreme == e for q in f.quantiles}) for e, _ in went}
+    qs = sorted({q for v in every.values() for q in v})
+    found = exact_quantiles(long.where("r is not null"), [*keys, "extreme"], "r", qs)
+    pick = lambda f: F.array(*[F.struct(F.lit(q).alias("q"), F.col("quantiles")[qs.index(q)].alias("v")) for q in f.quantiles])
+    rows = F.array(*[F.struct(F.lit(n).alias("field"), F.lit(f.extreme).alias("e"), pick(f).alias("cands")) for n, f in fields.items()])
+    return found.select(*keys, "extreme", F.explode(rows).alias("_c")).where("_c.e = extreme").select(*keys, "_c.field", "_c.cands")
+
+
+def threshold_search(
+    df: DataFrame, g: Grid, base: dict, candidates: DataFrame | None = None, smooth_returns: bool = True, fields: dict[str, StopField] = STOP_FIELDS,
+) -> DataFrame:
+    """For each take-profit and stop-loss field the candidate rate with the best average return: ``(keys, field, q, value, avg_real_trading_return, triggers)``.
+
+    Only bars that are certain are traded, so all but the exit of a trade is the same for every candidate. Trades are ranked once by how many of the
+    sorted candidates the bar went past; sums per rank, run from the end, are the trades that a candidate ends, and run from the front those it
+    leaves alone. Neither rows nor tables are copied per candidate. Returns beyond the smoothing band of a candidate are counted in a second pass, which
+    explodes those trades only. ``base`` gives the other rules; ``triggers`` is the share of all bars that a candidate ends.
     """
-    sets = candidates.withColumn("pid", F.round(F.col("q") * 10000).cast("int"))
-    fields = {k: F.lit(base[k]).cast(t) for k, t in RULES.items() if k != "pid"}
-    fields.update({k: F.lit(v).cast("double") for k, v in other.items()})
-    fields.update({"pid": F.col("pid"), field: F.col("value")})
-    rules = sets.select(*g.keys, "pid", "q", "value", F.struct(*[fields[k].alias(k) for k in RULES]).alias("param"))
-    keyed = Grid(keys=(*g.keys, "pid"), ts=g.ts, step=g.step, block=g.block, dense=g.dense)
-    fit = fit_normal(residuals(df), list(g.keys))
-    table = backtest(join_staged(df, rules.drop("q", "value"), g.keys), keyed, fit, list(g.keys)).select(*keyed.keys, g.ts, *MEASURED)
-    scored = measure(stage(table), keyed).join(rules.select(*g.keys, "pid", "q", "value"), [*g.keys, "pid"])
-    w = Window.partitionBy(*g.keys).orderBy(F.round(metric, 12).desc_nulls_last(), "q")
-    return scored.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select(*g.keys, "q", "value", metric)
+    keys = list(g.keys)
+    if base["follow_flow"]:
+        raise ValueError("following the flow, a stop changes later trades: sweep parameter sets instead")
+    candidates = stage(candidates if candidates is not None else stop_candidates(df, keys, fields), "candidates")
+    rules = {**base, "pid": 0, "ltp": None, "stp": None, "lsl": None, "ssl": None}
+    fit = fit_normal(residuals(df), keys)
+    rows = certainty(with_rules(residuals(df), [rules]).drop("pid"), fit, keys).withColumn("flow", F.col("kind"))
+    permitted = F.when(side() == "long", F.col("param.long_permission")).otherwise(F.col("param.short_permission"))
+    rows = rows.withColumn("trading_signal", _certain() & permitted).withColumns({"tp_triggered": F.lit(False), "sl_triggered": F.lit(False)})
+    rows = stage(fees(exposures(stage(rows, "signals")), g).select(
+        *keys, side().alias("side"), "trading_signal", "open", "high", "low", "price", (F.col("exposure") * F.col("leverage")).alias("size"), "fees", F.col("param.fee").alias("fee")), "trades")
+
+    # every trade once per field; its rank is the number of candidates that end it, in the order in which bars reach them
+    named = F.create_map(*[x for n, f in fields.items() for x in (F.lit(n), F.struct(F.lit(f.side).alias("side"), F.lit(f.extreme == "high").alias("high"), F.lit(f.other).alias("other")))])
+    ordered = candidates.withColumn("_f", named[F.col("field")])
+    far = F.when(F.col("_f.high"), F.col("v")).otherwise(-F.col("v"))
+    ladder = ordered.select(*keys, "field", "_f", F.explode("cands").alias("_c")).select(*keys, "field", "_f", "_c.q", "_c.v").where("v is not null")
+    ladder = ladder.withColumn("j", F.row_number().over(Window.partitionBy(*keys, "field").orderBy(far, "q")))  # at most 29 rows a key and field
+    ladder = stage(ladder, "ladder")
+    steps = ladder.groupBy(*keys, "field", "_f").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("steps"))
+    trades = join_staged(rows.where("trading_signal"), steps.groupBy(*keys).agg(F.collect_list(F.struct("field", "_f", "steps")).alias("_fields")), keys)
+    trades = trades.withColumn("_x", F.explode("_fields")).select("*", "_x.*").drop("_x", "_fields")
+    passes = lambda v: F.when(F.col("_f.high"), F.col("high") > F.col("open") * (1 + v)).otherwise(F.col("low") < F.col("open") * (1 + v))
+    own = F.col("side") == F.col("_f.side")
+    sign = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
+    # the other side's exit is out of reach in all but broken prices, and then the same for every candidate
+    crossed = ~own & F.when(F.col("_f.high") == (F.col("_f.side") == "long"), F.when(F.col("side") == "long", F.col("high") > F.col("open") * (1 + F.col("_f.other"))).otherwise(
+        F.col("low") < F.col("open") * (1 + F.col("_f.other")))).otherwise(F.when(F.col("side") == "long", F.col("low") < F.col("open") * (1 + F.col("_f.other"))).otherwise(F.col("high") > F.col("open") * (1 + F.col("_f.other"))))
+    move = F.try_divide(F.col("price") - F.col("open"), F.col("open"))
+    plain = sign * F.when(crossed, F.col("_f.other")).otherwise(move) * F.col("size") + F.col("fees") + F.when(crossed, F.col("fee") * F.col("size")).otherwise(0.0)
+    trades = trades.select(
+        *keys, "field", F.when(own, F.size(F.filter("steps", lambda s: F.coalesce(passes(s["v"]), F.lit(False))))).otherwise(0).alias("rank"), plain.alias("plain"),
+        (sign * F.col("size")).alias("slope"), (F.col("fees") + F.col("fee") * F.col("size")).alias("rest"), crossed.alias("crossed"))
+    trades = stage(trades, "ranked")
+
+    one = [*keys, "field"]
+    a, b = F.col("slope"), F.col("rest")
+    sums = trades.groupBy(*one, "rank").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("crossed").alias("x"), F.sum("plain").alias("p"), F.sum(F.col("plain") * F.col("plain")).alias("pp"), F.sum(a).alias("a"), F.sum(b).alias("b"),
+        F.sum(a * a).alias("aa"), F.sum(a * b).alias("ab"), F.sum(b * b).alias("bb"))
+    # sums over at most 30 ranks a key and field: candidate j ends the trades of rank j or more
+    levels = ladder.select(*one, "j", "q", "v").join(stage(sums, "sums"), one, "left")
+    ends = F.col("rank") >= F.col("j")
+    at = lambda c: F.coalesce(F.sum(F.when(ends, F.col(c))), F.lit(0.0))
+    left = lambda c: F.coalesce(F.sum(F.when(~ends, F.col(c))), F.lit(0.0))
+    read = levels.groupBy(*one, "j", "q", "v").agg(
+        F.sum("n").alias("n"), (at("n") + F.sum("x")).alias("hits"), (left("p") + F.col("v") * at("a") + at("b")).alias("total"),
+        (left("pp") + F.col("v") * F.col("v") * at("aa") + 2 * F.col("v") * at("ab") + at("bb")).alias("squares"))
+    mean = F.try_divide("total", "n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("squares") - F.col("n") * mean * mean, F.col("n") - 1)))
+    read = read.withColumns({"mean": mean, "spread": spread})
+    if smooth_returns:
+        read = stage(read, "read")
+        bands = read.groupBy(*one).agg(F.collect_list(F.struct("j", "v", (F.col("mean") - 1.96 * F.col("spread")).alias("lo"), (F.col("mean") + 1.96 * F.col("spread")).alias("hi"))).alias("bands"))
+        value = lambda s: F.when(F.col("rank") >= s["j"], s["v"] * a + b).otherwise(F.col("plain"))
+        beyond = lambda s: F.struct(s["j"].alias("j"), F.when(value(s) > s["hi"], s["hi"] - value(s)).when(value(s) < s["lo"], s["lo"] - value(s)).otherwise(0.0).alias("d"))
+        out = join_staged(trades, bands, one).select(*one, F.explode(F.filter(F.transform("bands", beyond), lambda s: s["d"] != 0)).alias("_d")).select(*one, "_d.*")
+        shrunk = out.groupBy(*one, "j").agg((0.6 * F.sum("d")).alias("shrunk"))  # 40 percent of what is beyond the band stays
+        read = read.join(shrunk, [*one, "j"], "left").withColumn("mean", F.try_divide(F.col("total") + F.coalesce("shrunk", F.lit(0.0)), F.col("n")))
+    bars = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("bars"))
+    best = Window.partitionBy(*one).orderBy(F.round("mean", 12).desc_nulls_last(), "q")
+    out = read.join(bars, keys).withColumn("_rn", F.row_number().over(best)).where("_rn = 1")
+    return out.select(*one, "q", F.col("v").alias("value"), F.col("mean").alias("avg_real_trading_return"), F.try_divide("hits", "bars").alias("triggers"))
 
 
 def extend(stored: DataFrame, new: DataFrame, g: Grid, fit: DataFrame, fit_keys: Sequence[str]) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.operators.blocks import Grid, bounded
 from barloom.operators.project import clip_to_seen
 from barloom.operators.sets import batches
+from barloom.operators.trees import fit_trees, tree_forecast
 from barloom.operators.windows import cumulative_share
 from barloom.session import join_staged, stage
 
@@ -52,23 +53,26 @@ def fit_predict(train: DataFrame, rows: DataFrame, features: Sequence[str], targ
 
 
 def walk_forward(df: DataFrame, g: Grid, features: Sequence[str], target: str, start: Column, steps: int, refit_every: int,
-                 algorithm: str = "random_forest", **options) -> DataFrame:
-    """Forecast batches of ``steps`` bars; the history grows with the actual values and the model is refitted
-    when ``refit_every`` bars passed. One panel model serves all series, so folds are few."""
+                 algorithm: str = "random_forest", by: Sequence[str] = (), **options) -> DataFrame:
+    """Forecast batches of ``steps`` bars; the history grows with the actual values and the model is refitted when ``refit_every`` bars passed.
+
+    Every bar has the number of the newest model that is older than it, and of the first model that has seen it. All models are fitted together, each on
+    the bars up to its time (a bar is handed to every later model: refits are few), and every bar is scored once, by the model of its number.
+    ``by``: a model per value of these keys and refit, else one for the whole panel.
+    """
     future = stage(batches(df.where(start), g, steps))
-    last = future.agg(F.max("batch")).first()[0]
-    history = df.where(~start)
-    out, model, age = None, None, 0
-    for b in range(0, (last if last is not None else -1) + 1):
-        rows = future.where(F.col("batch") == b)
-        if model is None or age >= refit_every:
-            seen = history.unionByName(future.where(F.col("batch") < b).drop("batch"))
-            model, age = fit_panel(seen, [*g.keys, g.ts], features, target, algorithm, **options), 0
-        part = model.transform(assemble(rows, features)).select(*g.keys, g.ts, "batch", target, "forecast")
-        out, age = part if out is None else out.unionByName(part), age + steps
-    if out is None:  # no row passes ``start``
+    per = max(1, -(-refit_every // steps))  # batches that one model serves
+    model = F.floor(F.col("batch") / per).cast("int")
+    last = future.agg(F.max(model)).first()[0]
+    if last is None:  # no row passes ``start``
         return future.select(*g.keys, g.ts, "batch", target, F.lit(None).cast("double").alias("forecast"))
-    return out
+    numbered = Grid(keys=(*g.keys, "_model"), ts=g.ts, step=g.step, block=g.block, dense=g.dense, ties=g.ties)
+    needed = [*g.keys, g.ts, target, *features]
+    seen = df.where(~start).select(*needed, F.lit(0).alias("_first")).unionByName(future.select(*needed, (model + 1).alias("_first")))
+    train = seen.where(F.col("_first") <= last).withColumn("_model", F.explode(F.sequence(F.col("_first"), F.lit(last)))).drop("_first")
+    fitted = fit_trees(train, numbered, features, target, (*by, "_model"), algorithm, **options)
+    rows = future.select(*dict.fromkeys([*needed, "batch"]), model.alias("_model"))
+    return tree_forecast(fitted, rows, numbered).select(*g.keys, g.ts, "batch", target, "forecast")
 
 
 def target_inversion(df: DataFrame, g: Grid, method: str) -> DataFrame:
@@ -95,6 +99,12 @@ def adjust(df: DataFrame, train: DataFrame, keys: Sequence[str], seen: str, bias
     return clip_to_seen(scaled, train, keys, "return_forecast", seen)
 
 
+def best_series(performance: DataFrame, model: str, series: str, metric: str) -> DataFrame:
+    """The series on which each model has the greatest metric, then the greatest average return; values equal to 12 decimals are ties, told apart by name."""
+    w = Window.partitionBy(model).orderBy(F.round(metric, 12).desc_nulls_last(), F.round("avg_real_trading_return", 12).desc_nulls_last(), series)
+    return performance.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
 def feature_importance(model, features: Sequence[str], df: DataFrame) -> DataFrame:
     """Tree importances, largest first, with their running share."""
     rows = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import random
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -180,6 +184,127 @@ def two_sample_ks(cells: DataFrame) -> DataFrame:
     return out.select("feature", "distance", stats.kolmogorov_upper(F.col("distance"), F.col("_na") * F.col("_nb") / (F.col("_na") + F.col("_nb"))).alias("p_value"))
 
 
+def signed_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Sum over pairs of sign(x - x') * sign(y - y') * w * w', by merging sorted halves level by level."""
+    if len(x) < 2:
+        return 0.0
+    order = np.lexsort((y, x))
+    x, w = x[order], w[order].astype(float)
+    rank = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
+    span, total, half = int(rank.max()) + 1, 0.0, 1
+    while half < len(x):
+        pair = np.arange(len(x)) // (2 * half)
+        left = np.arange(len(x)) % (2 * half) < half
+        # left halves sorted by (pair, rank): where each row of a right half falls among those of its own pair
+        key = pair * span + rank
+        lk, lw = key[left], w[left]
+        s = np.argsort(lk, kind="stable")
+        lk, cum = lk[s], np.r_[0.0, np.cumsum(lw[s])]
+        rk, start, end = key[~left], pair[~left] * span, (pair[~left] + 1) * span
+        below = cum[np.searchsorted(lk, rk, "left")] - cum[np.searchsorted(lk, start, "left")]
+        above = cum[np.searchsorted(lk, end, "left")] - cum[np.searchsorted(lk, rk, "right")]
+        total += float(((below - above) * w[~left]).sum())
+        half *= 2
+    # rows of one x stood in order of y, as if the later ones had a greater x
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    of_x = np.add.reduceat(w, first)
+    new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (rank[1:] != rank[:-1])])
+    of_xy = np.add.reduceat(w, new)
+    return total - float((of_x**2).sum() - (of_xy**2).sum()) / 2
+
+
+def _pairs_inside(rows: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """(feature, s): signed pairs inside each group of ``by``; a group is a range of values, one after the other in a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, sums = None, [], {}
+
+        def close() -> None:
+            u, v, w = (np.concatenate(c) for c in zip(*parts))
+            if u.min() < u.max() and v.min() < v.max():  # a range of one value holds ties only
+                sums[now[0]] = sums.get(now[0], 0.0) + signed_pairs(u, v, w)
+
+        for batch in batches:
+            names = list(zip(*[batch.column(c).to_pylist() for c in by]))
+            u, v, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_u", "_v", "_w"))
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                if names[lo] != now:
+                    if now is not None:
+                        close()
+                    now, parts = names[lo], []
+                parts.append((u[lo:hi], v[lo:hi], w[lo:hi]))
+        if now is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.float64())], ["feature", "s"])
+
+    cols = [*by, F.col(x).cast("double").alias("_u"), F.col(y).cast("double").alias("_v"), F.col("_n").cast("double").alias("_w")]
+    return rows.select(*cols).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "feature string, s double")
+
+
+def _below(c: str) -> Callable[[Column], Column]:
+    return lambda q: q < F.col(c)
+
+
+def kendall_exact(df: DataFrame, features: Sequence[str], target: str, parts: int = 64) -> DataFrame:
+    """Kendall test per feature without bins: ``(feature, n, tau, p_value)``, over the rows where both are there.
+
+    Equal pairs of values are counted first. Feature and target are cut into ``parts`` ranges of values each. Pairs whose ranges differ on both sides
+    are read from the parts x parts table of counts; pairs inside a range of the feature are counted in that range, by merging; pairs inside a range
+    of the target whose feature ranges differ are counted there, with range numbers in place of values. No task sees a whole feature unless a value
+    holds its rows, and ranges of one value have ties only.
+    """
+    long = df.select(F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["_y"], list(features), "feature", "_x")
+    pairs = stage(long.where("_x is not null and _y is not null and not isnan(_x) and not isnan(_y)").groupBy("feature", "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    placed = pairs
+    sides = {}
+    for c in ("_x", "_y"):
+        counts = pairs.groupBy("feature", c).agg(F.sum("_n").alias("_m"))
+        cuts = counts.groupBy("feature").agg(F.percentile_approx(c, [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts"))
+        placed = placed.join(stage(cuts, "cuts"), "feature").withColumn(f"{c}b", F.size(F.filter("_cuts", _below(c)))).drop("_cuts")
+        t = F.col("_m").cast("double")
+        sides[c] = counts.groupBy("feature").agg(
+            F.sum(t * (t - 1) / 2).alias(f"{c}2"), F.sum(t * (t - 1) * (t - 2)).alias(f"{c}0"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{c}1"), F.sum(t).alias(f"{c}n"))
+    placed = stage(placed, "placed")
+    cells = stage(placed.groupBy("feature", "_xb", "_yb").agg(F.sum("_n").alias("_n")), "cells")
+    a, b = cells.alias("a"), cells.alias("b")
+    across = a.join(b, (F.col("a.feature") == F.col("b.feature")) & (F.col("b._xb") < F.col("a._xb"))).groupBy(F.col("a.feature").alias("feature")).agg(
+        F.sum(F.signum(F.col("a._yb") - F.col("b._yb")) * F.col("a._n") * F.col("b._n")).alias("s"))  # parts ** 4 / 2 pairs of cells at most
+    same_x = _pairs_inside(placed, ["feature", "_xb"], "_x", "_y")
+    same_y = _pairs_inside(placed.groupBy("feature", "_yb", "_xb", "_y").agg(F.sum("_n").alias("_n")), ["feature", "_yb"], "_xb", "_y")
+    s = across.unionByName(same_x).unionByName(same_y).groupBy("feature").agg(F.sum("s").alias("_s"))
+    j = sides["_x"].join(sides["_y"], "feature").join(s, "feature", "left").withColumn("_s", F.coalesce("_s", F.lit(0.0)))
+    n = F.col("_xn")
+    every = n * (n - 1)
+    var = (every * (2 * n + 5) - F.col("_x1") - F.col("_y1")) / 18 + F.try_divide(2 * F.col("_x2") * F.col("_y2"), every) + F.try_divide(F.col("_x0") * F.col("_y0"), 9 * every * (n - 2))
+    tau = F.try_divide(F.col("_s"), F.sqrt((every / 2 - F.col("_x2")) * (every / 2 - F.col("_y2"))))
+    return j.select("feature", n.cast("long").alias("n"), tau.alias("tau"), (2 * normal_cdf(-F.abs(F.try_divide(F.col("_s"), F.sqrt(var))))).alias("p_value"))
+
+
+def two_sample_ks_exact(df: DataFrame, features: Sequence[str], target: str, parts: int = 64) -> DataFrame:
+    """Kolmogorov-Smirnov distance of the target between the two values of each binary feature, without bins: ``(feature, distance, p_value)``.
+
+    Equal values are counted first; running counts are taken inside ``parts`` ranges of the target, on top of the counts of the ranges before.
+    """
+    ends = df.agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)]).first()
+    marked = df.select(F.col(target).cast("double").alias("_y"), *[(F.col(f) > F.lit(ends[f"lo{i}"])).cast("int").alias(f) for i, f in enumerate(features)])
+    long = marked.unpivot(["_y"], list(features), "feature", "_b").where("_y is not null and not isnan(_y) and _b is not null")
+    counts = stage(long.groupBy("feature", "_y").agg(F.count_if(F.col("_b") == 0).alias("_a"), F.count_if(F.col("_b") == 1).alias("_c")), "counts")
+    cuts = stage(counts.groupBy("feature").agg(F.percentile_approx("_y", [i / parts for i in range(1, parts)], 20 * parts).alias("_cuts")), "cuts")
+    ranged = counts.join(cuts, "feature").withColumn("_part", F.size(F.filter("_cuts", lambda q: q < F.col("_y")))).drop("_cuts")
+    whole = Window.partitionBy("feature")
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("feature", "_part").agg(F.sum("_a").alias("_a"), F.sum("_c").alias("_c"))
+    offsets = sums.select("feature", "_part", *[x for c in ("_a", "_c") for x in (F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0"), F.sum(c).over(whole).alias(f"{c}n"))])
+    inside = Window.partitionBy("feature", "_part").orderBy("_y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = lambda c: F.try_divide(F.sum(c).over(inside) + F.col(f"{c}0"), F.col(f"{c}n"))
+    gaps = ranged.join(stage(offsets, "offsets"), ["feature", "_part"]).select("feature", F.abs(share("_a") - share("_c")).alias("_d"), "_an", "_cn")
+    out = gaps.groupBy("feature").agg(F.max("_d").alias("distance"), F.max("_an").alias("_an"), F.max("_cn").alias("_cn"))
+    size = F.try_divide(F.col("_an") * F.col("_cn"), F.col("_an") + F.col("_cn"))
+    return out.select("feature", "distance", stats.kolmogorov_upper(F.col("distance"), size).alias("p_value"))
+
+
 def fdr(df: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
     """Benjamini-Hochberg: corrected p-value and rejection, over one short list of tests."""
     w = Window.partitionBy(F.lit(1))
@@ -274,33 +399,75 @@ def shuffled(df: DataFrame, keys: Sequence[str], features: Sequence[str], seed:
 
 
 def _binomial_upper(hits: int, n: int) -> float:
-    from math import comb
-    return sum(comb(n, k) for k in range(hits, n + 1)) / 2.0**n
+    """Chance of ``hits`` or more heads in ``n`` throws."""
+    return sum(math.comb(n, k) for k in range(hits, n + 1)) / 2.0**n
+
+
+def false_discoveries(p: Sequence[float], alpha: float) -> list[bool]:
+    """Benjamini-Hochberg over a short list: which tests are rejected."""
+    order = sorted(range(len(p)), key=lambda i: p[i])
+    last = max((k for k, i in enumerate(order, 1) if p[i] <= alpha * k / len(p)), default=0)
+    chosen = set(order[:last])
+    return [i in chosen for i in range(len(p))]
+
+
+def decide(hits: dict[str, int], undecided: Sequence[str], n: int, alpha: float) -> tuple[list[str], list[str]]:
+    """Accepted and rejected among ``undecided`` after ``n`` rounds. Two corrections: false discoveries over all features of the first list, then ``alpha`` shared by the rounds."""
+    names = list(hits)
+    out = []
+    for tail in (lambda h: _binomial_upper(h, n), lambda h: 1 - _binomial_upper(h + 1, n)):
+        p = [tail(hits[f]) for f in names]
+        found = false_discoveries(p, alpha)
+        out.append([f for f, q, d in zip(names, p, found) if d and q <= alpha / n and f in undecided])
+    return out[0], out[1]
+
+
+def permuted(df: DataFrame, n: int, seed: int, row: str = "_row", vector: str = "_x", name: str = "_shadow") -> DataFrame:
+    """Row i with the vector of row (a * i + b) mod n, a bijection keyed by ``seed``: one join, whatever the number of features."""
+    rnd = random.Random(seed)
+    a = next(k for k in iter(lambda: rnd.randrange(1, max(2, n)), None) if math.gcd(k, n) == 1) if n > 1 else 1
+    b = rnd.randrange(max(1, n))
+    other = df.select(F.col(row).alias("_from"), F.col(vector).alias(name))
+    to = F.expr(f"cast((cast({a} as decimal(38,0)) * {row} + {b}) % {max(1, n)} as bigint)")
+    return df.withColumn("_from", to).join(other, "_from").drop("_from")
 
 
 def boruta_select(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, rounds: int | None = None, alpha: float = 0.05, seed: int = 7,
                   trees: int = 10, depth: int = 4) -> dict[str, tuple[int, str]]:
     """Features that beat the best shadow more often than chance: ``{feature: (hits, decision)}``.
 
-    A decision needs a binomial tail of ``alpha`` shared by all features. ``rounds`` defaults to one more than the fewest rounds in
-    which a feature that always wins can reach it; fewer rounds leave every feature tentative.
+    Feature vectors are written once with row numbers in hash order. A round gives every row the vector of another row as its shadows and fits one forest
+    on both; a feature has a hit when it matters more than every shadow. After each round features are accepted and rejected by binomial tests with two corrections
+    (see ``decide``); rejected ones and their shadows leave the pool, and the search ends when none is undecided or after ``rounds`` (default 30). Hits are those
+    until the decision.
     """
-    corrected = alpha / len(features)
-    rounds = rounds or math.ceil(-math.log2(corrected)) + 1
-    hits = dict.fromkeys(features, 0)
-    for r in range(rounds):
-        data = stage(shuffled(df.select(*keys, target, *features), keys, features, seed + r))
-        names = [*features, *[f"shadow_{f}" for f in features]]
-        importance = dict(zip(names, _forest(data, names, target, seed + r, trees, depth)))
-        best = max(importance[f"shadow_{f}"] for f in features)
-        for f in features:
-            hits[f] += importance[f] > best
-
-    def decide(h: int) -> str:
-        if _binomial_upper(h, rounds) <= corrected:
-            return "accepted"
-        return "rejected" if 1 - _binomial_upper(h + 1, rounds) <= corrected else "tentative"
-    return {f: (h, decide(h)) for f, h in hits.items()}
+    rounds = rounds or 30
+    known = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features]
+    rows = df.where(F.col(target).isNotNull()).select(*keys, F.col(target).cast("double").alias("_y"), F.array(*known).alias("_x"))
+    u = rows.withColumn("_u", key_uniform(*keys, salt=f"{seed}")).withColumn("_part", F.floor(F.col("_u") * 256))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = u.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_u", *keys))
+    staged = stage(u.withColumn("_rn", inside).join(offsets, "_part").select((F.col("_rn") + F.col("_off") - 1).alias("_row"), "_y", "_x"), "vectors")
+    n = staged.count()
+    hits, decision, pool = dict.fromkeys(features, 0), {}, list(features)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for r in range(1, rounds + 1):
+        if n < 2 or len(decision) == len(features):
+            break
+        at = [features.index(f) for f in pool]
+        both = permuted(staged, n, seed * 1000 + r).select("_row", "_y", F.array(*[F.col("_x")[i] for i in at], *[F.col("_shadow")[i] for i in at]).alias("_v"))
+        data = both.repartition(parts, "_row").sortWithinPartitions("_row").select("_y", array_to_vector("_v").alias("_x"))
+        model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed + r).fit(data)
+        weight = [float(v) for v in model.featureImportances.toArray()]
+        best = max(weight[len(pool):])
+        for f, v in zip(pool, weight):
+            hits[f] += f not in decision and v > best
+        undecided = [f for f in pool if f not in decision]
+        accepted, rejected = decide({f: hits[f] for f in pool if f not in decision}, undecided, r, alpha)
+        decision |= dict.fromkeys(accepted, "accepted") | dict.fromkeys(rejected, "rejected")
+        pool = [f for f in pool if decision.get(f) != "rejected"]
+    return {f: (hits[f], decision.get(f, "tentative")) for f in features}
 
 
 def select_panel(df: DataFrame, features: Sequence[str], target: str, forced: Sequence[str], limit: int, n_rfe: int, k: int, k_sign: int,

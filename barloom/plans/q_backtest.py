@@ -55,12 +55,12 @@ def _lit(v) -> str:
     return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else repr(v)
 
 
-def bt_sql(sets: list[dict], params: str | None = None) -> str:
+def bt_sql(sets: list[dict], params: str | None = None, prefix: str = CERT_SQL) -> str:
     """The back-test with its state carried row by row in a recursive table ``st``; result table ``tab``."""
     names = list(bt.RULES)
     values = ", ".join("(" + ", ".join(_lit(s[n]) for n in names) + ")" for s in sets)
     par = params or f"SELECT s.series, v.* FROM (SELECT DISTINCT series FROM inp) s, (VALUES {values}) v({', '.join(names)})"
-    return CERT_SQL.replace("WITH bars", "WITH RECURSIVE bars", 1) + f""", par AS ({par}),
+    return prefix.replace("WITH bars", "WITH RECURSIVE bars", 1) + f""", par AS ({par}),
 nr AS MATERIALIZED (SELECT c.*, p.* EXCLUDE (series), row_number() OVER (PARTITION BY c.series, pid ORDER BY ts) AS rn, certainty > certainty_threshold AS sure FROM cert c JOIN par p ON p.series = c.series),
 st AS (SELECT series, pid, rn, kind AS flow, sure AS sig, coalesce(CASE WHEN kind = 'long' THEN high > open * (1 + ltp) ELSE low < open * (1 + stp) END, false) AS tp, coalesce(CASE WHEN kind = 'long' THEN low < open * (1 + lsl) ELSE high > open * (1 + ssl) END, false) AS sl FROM nr WHERE rn = 1
  UNION ALL SELECT n.series, n.pid, n.rn, n.fl, n.sure OR (n.follow_flow AND n.psig AND NOT n.ptp AND NOT n.psl),
@@ -153,13 +153,25 @@ def _(spark, d):
     return bt.fit_normal(bt.residuals(trading_input(spark, d)), ["series"])
 
 
+def _simpson(f: str, upto: str, n: int = 2000) -> str:
+    """Integral of ``f`` (of ``@``) from 0 to ``upto``."""
+    return f"(({upto}) / {3 * n} * list_sum(list_transform(range(0, {n + 1}), lambda i: CASE WHEN i IN (0, {n}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {f.replace('@', f'(i * ({upto}) / {n})')})))"
+
+
+# Regularized incomplete gamma and beta functions, after the substitutions by a square and by the square of a sine: no end of the integrals is steep.
+_GAMMA = f"2 * exp(-lgamma(gk)) * {_simpson('pow(@, 2 * gk - 1) * exp(-@ * @)', 'sqrt(gx)')}"
+_BETA = f"2 * exp(lgamma(ba + bb) - lgamma(ba) - lgamma(bb)) * {_simpson('pow(sin(@), 2 * ba - 1) * pow(cos(@), 2 * bb - 1)', 'asin(sqrt(bt))')}"
+
+
 @query("fit_residual_best", "series:s family:s distance:d best:b", f"""{CERT_SQL}, k AS MATERIALIZED (SELECT rs.series, return_residual AS x FROM rs JOIN zs USING (series) WHERE abs((return_residual - m) / s) < 2.1),
 e AS (SELECT series, min(x) AS lo, max(x) AS hi, avg(x) AS m, stddev_pop(x) AS s, count(*) AS n FROM k GROUP BY 1), g AS (SELECT k.series, avg(ln(x - lo + 0.01 * (hi - lo))) AS lm, stddev_pop(ln(x - lo + 0.01 * (hi - lo))) AS ls FROM k JOIN e USING (series) GROUP BY 1),
-v AS (SELECT k.series, x, n, lo, hi, m, s, lm, ls, (x - m) / s AS z1, (ln(x - lo + 0.01 * (hi - lo)) - lm) / ls AS z2, rank() OVER (PARTITION BY k.series ORDER BY x) - 1 AS a, count(*) OVER (PARTITION BY k.series ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM k JOIN e USING (series) JOIN g USING (series)),
-f AS (SELECT series, x, n, a, b, unnest(['norm', 'expon', 'uniform', 'lognorm']) AS family, unnest([{cdf_sql('z1')}, 1 - exp(-(x - lo) / (m - lo)), (x - lo) / (hi - lo), {cdf_sql('z2')}]) AS c FROM v),
+v AS (SELECT k.series, x, n, lo, hi, m, s, lm, ls, (x - m) / s AS z1, (ln(x - lo + 0.01 * (hi - lo)) - lm) / ls AS z2, pow(m - lo + 0.01 * (hi - lo), 2) / (s * s) AS gk, (x - lo + 0.01 * (hi - lo)) * (m - lo + 0.01 * (hi - lo)) / (s * s) AS gx,
+ (x - lo) / (hi - lo) AS bt, (m - lo) / (hi - lo) AS b1, (m - lo) * (hi - m) / (s * s) - 1 AS bc, rank() OVER (PARTITION BY k.series ORDER BY x) - 1 AS a, count(*) OVER (PARTITION BY k.series ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM k JOIN e USING (series) JOIN g USING (series)),
+w AS (SELECT *, b1 * bc AS ba, (1 - b1) * bc AS bb FROM v),
+f AS (SELECT series, x, n, a, b, unnest(['norm', 'expon', 'uniform', 'lognorm', 'gamma', 'beta']) AS family, unnest([{cdf_sql('z1')}, 1 - exp(-(x - lo) / (m - lo)), (x - lo) / (hi - lo), {cdf_sql('z2')}, {_GAMMA}, {_BETA}]) AS c FROM w),
 dd AS (SELECT series, family, max(greatest(abs(b / CAST(n AS DOUBLE) - c), abs(c - a / CAST(n AS DOUBLE)))) AS distance FROM f GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY series ORDER BY distance, family) = 1 AS best FROM dd""")
 def _(spark, d):
-    return bt.fit_best(bt.residuals(trading_input(spark, d)), ["series"], families=("norm", "expon", "uniform", "lognorm"))
+    return bt.fit_best(bt.residuals(trading_input(spark, d)), ["series"])
 
 
 @query("forecast_certainty", "series:s ts:t decrease_chance:d increase_chance:d certainty:d kind:s", f"{CERT_SQL} SELECT * FROM cert")
@@ -253,22 +265,30 @@ def _(spark, d):
     return bt.best_sets(swept(spark, d), ["series"])
 
 
-_QS = [0.7 + 0.29 * i / 28 for i in range(29)]
-_CAND = f"""SELECT series, unnest({_QS!r}::DOUBLE[]) AS q, unnest(quantile_cont(high / open - 1, {_QS!r})) AS value FROM inp WHERE real_return >= 0 GROUP BY series"""
-_FIELDS = {**_BASE, "follow_flow": False, "max_leverage": 1.0, "stp": -0.9}
-SEARCH_SQL = measure_sql(bt_sql([], "SELECT series, CAST(round(q * 10000) AS INT) AS pid, " + ", ".join(
-    f"value AS {n}" if n == "ltp" else f"CAST({_lit(_FIELDS[n])} AS {'BOOLEAN' if t == 'boolean' else 'DOUBLE'}) AS {n}" for n, t in bt.RULES.items() if n != "pid") + f" FROM ({_CAND})"))
+_RULES = {**_BASE, "follow_flow": False, "max_leverage": 1.0}
+# Per field: its side of the pair, the fixed rate of the other side, and where candidates come from.
+_PAIRS = {"ltp": ("stp", -0.9), "lsl": ("ssl", 1.0), "stp": ("ltp", 1.0), "ssl": ("lsl", -0.9)}
 
 
-@query("threshold_search", "series:s q:d value:d avg_real_trading_return:d", f"""{SEARCH_SQL}, cand AS ({_CAND}) SELECT p.series, q, value, avg_real_trading_return FROM perf p JOIN cand c ON c.series = p.series AND CAST(round(c.q * 10000) AS INT) = p.pid
-QUALIFY row_number() OVER (PARTITION BY p.series ORDER BY round(avg_real_trading_return, 12) DESC NULLS LAST, q) = 1""")
+def _search_sql() -> str:
+    """Every candidate of every field as a parameter set of the whole back-test; field and quantile make the id."""
+    cand, sets = [], []
+    for i, (n, f) in enumerate(bt.STOP_FIELDS.items()):
+        qs = list(f.quantiles)
+        cand.append(f"""SELECT series, '{n}' AS field, {100 * i} + unnest(range(1, {len(qs) + 1})) AS pid, unnest({qs!r}::DOUBLE[]) AS q, unnest(quantile_cont({f.extreme} / open - 1, {qs!r})) AS value FROM inp WHERE real_return {'>=' if f.of_long else '<'} 0 GROUP BY series""")
+        fixed = {**_RULES, _PAIRS[n][0]: _PAIRS[n][1]}
+        sets.append("SELECT series, CAST(pid AS INT) AS pid, " + ", ".join(
+            f"value AS {c}" if c == n else f"CAST({_lit(fixed[c])} AS {'BOOLEAN' if t == 'boolean' else 'DOUBLE'}) AS {c}" for c, t in bt.RULES.items() if c != "pid") + f" FROM cand WHERE field = '{n}'")
+    text = bt_sql([], " UNION ALL ".join(sets)).replace(", par AS (", f", cand AS MATERIALIZED ({' UNION ALL '.join(cand)}), par AS (", 1)
+    return f"""{text}, ms AS (SELECT series, pid, avg(real_trading_return) AS m, stddev_samp(real_trading_return) AS s FROM tab WHERE trading_signal GROUP BY 1, 2),
+sc AS (SELECT series, pid, avg(CASE WHEN x > m + 1.96 * s THEN m + 1.96 * s + (x - m - 1.96 * s) * 0.4 WHEN x < m - 1.96 * s THEN m - 1.96 * s - (m - 1.96 * s - x) * 0.4 ELSE x END) FILTER (trading_signal) AS avg_real_trading_return, avg((trading_signal AND (tp_triggered OR sl_triggered))::INT) AS triggers
+ FROM (SELECT *, real_trading_return AS x FROM tab) JOIN ms USING (series, pid) GROUP BY 1, 2)
+SELECT series, field, q, value, avg_real_trading_return, triggers FROM sc JOIN cand USING (series, pid) QUALIFY row_number() OVER (PARTITION BY series, field ORDER BY round(avg_real_trading_return, 12) DESC NULLS LAST, q) = 1"""
+
+
+@query("threshold_search", "series:s field:s q:d value:d avg_real_trading_return:d triggers:d", _search_sql())
 def _(spark, d):
-    x = trading_input(spark, d)
-    up = stage(x.where("real_return >= 0").select("series", (F.try_divide("high", "open") - 1).alias("r")))
-    qs = F.array(*[F.lit(q) for q in _QS])
-    cand = stage(ag.exact_quantiles(up, ["series"], "r", _QS).select(
-        "series", F.explode(F.arrays_zip(qs.alias("q"), F.col("quantiles").alias("value"))).alias("z")).select("series", "z.q", "z.value"))
-    return bt.threshold_search(x, HOUR, _FIELDS, cand, "ltp", {"stp": -0.9})
+    return bt.threshold_search(trading_input(spark, d), HOUR, _RULES)
 
 
 @query("backtest_extend", "series:s pid:i ts:t certainty:d trading_signal:b total_cum_returns:d", BT_SQL.replace(

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from barloom.functions.scalars import exposure
-from barloom.operators import backtest as bt, forecast as fc, leaderboard as lb, select as se, transform as tr, windows as win
+from barloom.operators import backtest as bt, forecast as fc, leaderboard as lb, models as ml, select as se, transform as tr, windows as win
 from barloom.operators.aggregate import long_thresholds
 from barloom.operators.blocks import bounded
 from barloom.operators.features import refine_panel
+from barloom.operators.grouped import column_features
+from barloom.operators.trees import fit_trees, tree_forecast
 from barloom.plans.base import DENSE, HOUR, RET, W, hour_dense, hour_returns, stage_table
-from barloom.plans.q_backtest import CERT_SQL, INPUT_SQL, SETS, SWEEP_SQL, swept, t_sql, trading_input
+from barloom.plans.q_backtest import CERT_SQL, INPUT_SQL, SETS, SWEEP_SQL, bt_sql, measure_sql, swept, t_sql, trading_input
 from barloom.plans.q_scalars import CANDLE_SQL, HOLIDAYS, SHAPE_SQL, cdf_sql
 from barloom.plans.q_windows import bf, ema_sql, ff, lagged, roll
 from barloom.plans.registry import query
-from barloom.session import stage
+from barloom.session import fresh_path, stage
 
 X = ["x_ret", "x_acc", "x_vol", "x_ticks", "x_range", "x_body", "x_copy", "b_up"]
 CATS = ["manual_session", "manual_busy"]
@@ -81,6 +82,41 @@ def _(spark, d):
     return refine_panel(hour_returns(spark, d), HOUR, [10], [1, 3], [6])
 
 
+# Look-backs of an hourly panel, in bars.
+LAGS = [1, 2, 3, 5, 11, 23, 167, 719]
+ROLLING = [6, 12, 24]
+KINDS = {"price": "pct", "high": "pct", "low": "pct", "volume": "pct", "return": "diff"}
+_STATS = {"mean": "avg", "min": "min", "max": "max"}
+
+
+def _columns_sql() -> tuple[str, str]:
+    """Layout and text: every look-back of every column of ``KINDS``, in plain windows over whole series."""
+    q = {c: f'"{c}"' for c in KINDS}
+    base = f"""{RET}, fu AS (SELECT series, ts, {", ".join(q.values())} FROM rets UNION ALL SELECT series, max(ts) + INTERVAL 1 HOUR, {", ".join("NULL" for _ in q)} FROM rets GROUP BY 1),
+m0 AS (SELECT series, ts, {", ".join(f"{lagged(x)} AS {x}" for x in q.values())} FROM fu), mv AS (SELECT series, ts, {", ".join(f"coalesce({ff(x)}, {bf(x)}, 0) AS {x}" for x in q.values())} FROM m0),
+d1 AS (SELECT *, {", ".join(f"{x} - {lagged(x)} AS {c}_r" if KINDS[c] == "diff" else f"CASE WHEN {lagged(x)} <> 0 THEN ({x} - {lagged(x)}) / {lagged(x)} END AS {c}_r" for c, x in q.items())} FROM mv),
+d2 AS (SELECT *, {", ".join(f"{c}_r - {lagged(f'{c}_r')} AS {c}_a" for c in q)} FROM d1), d3 AS (SELECT *, {", ".join(f"{c}_a - {lagged(f'{c}_a')} AS {c}_j" for c in q)} FROM d2)"""
+    text = ema_sql({f"{c}_{n}": (x, 2 / (n + 1)) for c, x in q.items() for n in ROLLING}, "d3", base)
+    layout, cells = ["series:s", "ts:t"], []
+    for c, x in q.items():
+        mine = {c: x, **{f"{c}_{level}": f"coalesce({ff(f'{c}_{level[0]}')}, {bf(f'{c}_{level[0]}')}, 0)" for level in ("return", "acceleration", "jerk")}}
+        mine |= {f"{c}_lag_{k}": f"coalesce({lagged(x, k)}, first_value({x}) OVER ({W}))" for k in LAGS}
+        for n in ROLLING:
+            mine |= {f"{c}_rolling_{n}_{s}": roll(f, x, n) for s, f in _STATS.items()}
+            mine[f"{c}_rolling_{n}_std"] = f"coalesce({roll('stddev_samp', x, n)}, stddev_samp({x}) OVER ({W} ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), 0)"
+            mine[f"{c}_rolling_{n}_range"] = f"{roll('max', x, n)} - {roll('min', x, n)}"
+            mine[f"{c}_ema_{n}"] = f"{c}_{n}"
+        layout += [f"{n}:d" for n in mine]
+        cells += [f'{e} AS "{n}"' for n, e in mine.items()]
+    return " ".join(layout), f"""{text} SELECT series, ts, {", ".join(cells)} FROM (SELECT d3.*, em.* EXCLUDE (series, ts) FROM d3 JOIN em ON em.series = d3.series AND em.ts = d3.ts)"""
+
+
+@query("refine_columns", *_columns_sql())
+def _(spark, d):
+    moved = win.shift_with_forecast_row(hour_returns(spark, d).select("series", "ts", *KINDS), HOUR, list(KINDS))
+    return column_features(moved, HOUR, KINDS, LAGS, ROLLING, ROLLING, width=2)
+
+
 # ---- selection ---------------------------------------------------------------------------------
 
 _PAIR_ROWS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS s FROM feat" for i, a in enumerate(X) for b in X[i + 1:])
@@ -131,7 +167,7 @@ def _(spark, d):
 
 @query("rfe_select", "feature:s position:i")
 def _(spark, d):
-    return _names(spark, se.rfe_select(feat(spark, d), X, "y", 4, step=0.25, trees=5, depth=3))
+    return _names(spark, se.rfe_select(feat(spark, d), X, "y", 4))
 
 
 _Q9 = [i / 10 for i in range(1, 10)]
@@ -185,6 +221,26 @@ def _(spark, d):
     return spark.createDataFrame([(f, h, s) for f, (h, s) in found.items()], "feature string, hits int, decision string")
 
 
+# Kendall's test over all pairs of rows and the two-sample distance at every value, in plain joins and windows.
+_KF = ["x_ret", "x_ticks", "x_body"]
+KENDALL_SQL = f"""{FEAT}, lg AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, y FROM feat WHERE y IS NOT NULL" for c in _KF)}), nb AS (SELECT *, row_number() OVER (PARTITION BY feature) AS i FROM lg),
+sg AS (SELECT a.feature, sum(sign(a.x - b.x) * sign(a.y - b.y))::DOUBLE AS s FROM nb a JOIN nb b ON a.feature = b.feature AND b.i < a.i GROUP BY 1),
+tx AS (SELECT feature, sum(t * (t - 1) / 2) AS x2, sum(t * (t - 1) * (t - 2)) AS x0, sum(t * (t - 1) * (2 * t + 5)) AS x1, sum(t) AS n FROM (SELECT feature, count(*)::DOUBLE AS t FROM lg GROUP BY feature, x) GROUP BY 1),
+ty AS (SELECT feature, sum(t * (t - 1) / 2) AS y2, sum(t * (t - 1) * (t - 2)) AS y0, sum(t * (t - 1) * (2 * t + 5)) AS y1 FROM (SELECT feature, count(*)::DOUBLE AS t FROM lg GROUP BY feature, y) GROUP BY 1),
+kz AS (SELECT *, greatest(-7, -abs(s / sqrt((n * (n - 1) * (2 * n + 5) - x1 - y1) / 18 + 2 * x2 * y2 / (n * (n - 1)) + x0 * y0 / (9 * n * (n - 1) * (n - 2))))) AS zz FROM sg JOIN tx USING (feature) JOIN ty USING (feature))"""
+
+
+@query("kendall_tau", "feature:s n:i tau:d p_value:d", f"{KENDALL_SQL} SELECT feature, n, s / sqrt((n * (n - 1) / 2 - x2) * (n * (n - 1) / 2 - y2)) AS tau, 2 * {cdf_sql('zz')} AS p_value FROM kz")
+def _(spark, d):
+    return se.kendall_exact(feat(spark, d), _KF, "y")
+
+
+@query("two_sample_distance", "feature:s distance:d", f"""{FEAT}, cu AS (SELECT b_up, y, sum(count(*) FILTER (b_up = 0)) OVER (ORDER BY y) AS a, sum(count(*) FILTER (b_up = 1)) OVER (ORDER BY y) AS c FROM feat WHERE y IS NOT NULL GROUP BY b_up, y)
+SELECT 'b_up' AS feature, max(abs(a / (SELECT count(*) FROM feat WHERE b_up = 0 AND y IS NOT NULL)::DOUBLE - c / (SELECT count(*) FROM feat WHERE b_up = 1 AND y IS NOT NULL)::DOUBLE)) AS distance FROM cu""")
+def _(spark, d):
+    return se.two_sample_ks_exact(feat(spark, d), ["b_up"], "y")
+
+
 @query("fdr_correction", "feature:s p_value:d p_corrected:d rejected:b", f"{REL_SQL} SELECT feature, p_value, p_corrected, p_corrected <= 0.05 AS rejected FROM bh WHERE true")
 def _(spark, d):
     x = feat(spark, d)
@@ -303,13 +359,31 @@ def _(spark, d):
 @query("panel_tree_forecast", "series:s ts:t y:d forecast:d")
 def _(spark, d):
     parts = stage(tr.time_split(feat(spark, d), HOUR))
-    _, out = fc.fit_predict(parts.where("split = 'train'"), parts.where("split <> 'train'"), _NUM, "y", trees=5, depth=4)
+    _, out = fc.fit_predict(parts.where("split = 'train'"), parts.where("split <> 'train'"), _NUM, "y")
     return out
 
 
+def _split_trees(spark, d, algorithm):
+    parts = stage(tr.time_split(feat(spark, d), HOUR))
+    fitted = fit_trees(parts.where("split = 'train'"), HOUR, _NUM, "y", HOUR.keys, algorithm)
+    return tree_forecast(fitted, parts.where("split <> 'train'").select("series", "ts", "y", *_NUM), HOUR)
+
+
+@query("series_tree_forecast", "series:s ts:t y:d forecast:d")
+def _(spark, d):
+    """A forest per series, all grown together."""
+    return _split_trees(spark, d, "random_forest")
+
+
+@query("boosted_tree_forecast", "series:s ts:t y:d forecast:d")
+def _(spark, d):
+    """Boosted trees per series, all grown together."""
+    return _split_trees(spark, d, "boosted_trees")
+
+
 @query("walk_forward", "series:s ts:t batch:i y:d forecast:d")
 def _(spark, d):
-    return fc.walk_forward(feat(spark, d), HOUR, ["x_ret", "x_acc", "x_body"], "y", F.expr("ts >= timestamp_ntz'2024-01-25'"), 50, 100, trees=3, depth=3)
+    return fc.walk_forward(feat(spark, d), HOUR, ["x_ret", "x_acc", "x_body"], "y", F.expr("ts >= timestamp_ntz'2024-01-25'"), 50, 100)
 
 
 @query("target_inversion", "series:s ts:t from_acceleration:d from_jerk:d from_price:d", f"""{RET}, f AS (SELECT *, 0.5 * "return" AS f FROM rets)
@@ -329,33 +403,73 @@ def _(spark, d):
     return fc.adjust(x.where("ts >= timestamp_ntz'2024-01-20'"), train, ["series"], "real_return", 0.002, True)
 
 
-@query("best_series_for_model", "pid:i series:s metric:d", f"{SWEEP_SQL} SELECT pid, series, weighted_trading_accuracy AS metric FROM perf QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(weighted_trading_accuracy, 12) DESC NULLS LAST, round(avg_real_trading_return, 12) DESC NULLS LAST, series) = 1")
+# One linear model of the whole panel on the last return and the last upward reach, fitted on the bars before a day, tried on those after it.
+PANEL = ["x_real", "x_reach"]
+PANEL_CUT = "2024-01-20"
+_PX = INPUT_SQL.replace("inp AS (SELECT u.series", "inp0 AS (SELECT u.series", 1) + f""", px AS (SELECT *, lag(real_return) OVER ({W}) AS x_real, lag(high / open - 1) OVER ({W}) AS x_reach FROM inp0),
+pm AS (SELECT avg(x_real) AS m1, avg(x_reach) AS m2, avg(real_return) AS my, var_pop(x_real) AS s11, var_pop(x_reach) AS s22, covar_pop(x_real, x_reach) AS s12, covar_pop(x_real, real_return) AS s1y, covar_pop(x_reach, real_return) AS s2y FROM px WHERE x_real IS NOT NULL AND ts < TIMESTAMP '{PANEL_CUT}'),
+pc AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM pm),
+inp AS (SELECT series, ts, open, high, low, price, real_return, my + b1 * (x_real - m1) + b2 * (x_reach - m2) AS return_forecast FROM px, pc WHERE ts >= TIMESTAMP '{PANEL_CUT}')"""
+PANEL_SQL = measure_sql(bt_sql(SETS, prefix=_PX + CERT_SQL[len(INPUT_SQL):]))
+
+
+@query("best_series_for_model", "pid:i series:s metric:d avg_real_trading_return:d", f"""{PANEL_SQL} SELECT pid, series, weighted_trading_accuracy AS metric, avg_real_trading_return FROM perf
+QUALIFY row_number() OVER (PARTITION BY pid ORDER BY round(weighted_trading_accuracy, 12) DESC NULLS LAST, round(avg_real_trading_return, 12) DESC NULLS LAST, series) = 1""")
 def _(spark, d):
-    return bt.best_sets(swept(spark, d).withColumnsRenamed({"pid": "_p"}).withColumn("pid", F.col("series")), ["_p"], "weighted_trading_accuracy").select(
-        F.col("_p").alias("pid"), "series", F.col("weighted_trading_accuracy").alias("metric"))
+    rows = stage(bounded(trading_input(spark, d).drop("return_forecast"), HOUR, lambda w: {
+        "x_real": F.lag("real_return").over(w), "x_reach": F.lag(F.try_divide("high", "open") - 1).over(w)}, back=1))
+    model = stage(ml.fit_linear(rows.where(f"x_real is not null and ts < timestamp_ntz'{PANEL_CUT}'"), [], PANEL, "real_return"))
+    scored = ml.apply_linear(rows.where(f"ts >= timestamp_ntz'{PANEL_CUT}'"), model, [], PANEL)
+    return fc.best_series(bt.sweep(scored, HOUR, SETS), "pid", "series", "weighted_trading_accuracy").withColumnRenamed("weighted_trading_accuracy", "metric")
 
 
 @query("feature_importance", "feature:s importance:d share:d")
 def _(spark, d):
     x = feat(spark, d)
-    model, _out = fc.fit_predict(x, x, _NUM, "y", trees=5, depth=4)
+    model, _out = fc.fit_predict(x, x, _NUM, "y")
     return fc.feature_importance(model, _NUM, x)
 
 
-@query("inference_row", "series:s ts:t return_forecast:d certainty:d kind:s leverage:d exposure:d tp_price:d sl_price:d", f"""{CERT_SQL}, l AS (SELECT series, max(ts) AS ts FROM inp GROUP BY 1), n AS (SELECT i.series, l.ts + INTERVAL 1 HOUR AS ts, i.real_return AS f, i.price AS open FROM inp i JOIN l USING (series, ts)),
-z AS (SELECT n.*, (-f - loc) / scale AS zz FROM n JOIN fit USING (series)), c AS (SELECT *, {cdf_sql('zz')} AS dc FROM z), k AS (SELECT *, greatest(dc, 1 - dc) AS certainty, CASE WHEN 1 - dc >= dc THEN 'long' ELSE 'short' END AS kind FROM c)
+# The linear model of a series on the last return and the last body, from covariances, and the normal fit of its residuals.
+LINEAR = ["x_ret", "x_body"]
+LINEAR_COLS = ["open", "price", "return"]
+
+
+def linear_sql(until: str) -> str:
+    """Tables ``rets`` (bars) and ``lin`` (coefficients, means, ``loc`` and ``scale`` of each series) fitted on the rows before ``until``."""
+    return f"""{FEAT}, ltr AS (SELECT * FROM feat WHERE ts < TIMESTAMP '{until}'),
+lmo AS (SELECT series, avg(x_ret) AS m1, avg(x_body) AS m2, avg(y) AS my, var_pop(x_ret) AS s11, var_pop(x_body) AS s22, covar_pop(x_ret, x_body) AS s12, covar_pop(x_ret, y) AS s1y, covar_pop(x_body, y) AS s2y FROM ltr GROUP BY 1),
+lco AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM lmo),
+lrs AS (SELECT series, y - (my + b1 * (x_ret - m1) + b2 * (x_body - m2)) AS r FROM ltr JOIN lco USING (series)), lzs AS (SELECT series, avg(r) AS zm, stddev_pop(r) AS zd FROM lrs GROUP BY 1),
+lft AS (SELECT series, avg(r) AS loc, stddev_pop(r) AS scale FROM lrs JOIN lzs USING (series) WHERE abs((r - zm) / zd) < 2.1 GROUP BY 1), lin AS (SELECT * FROM lco JOIN lft USING (series))"""
+
+
+def scored_sql(until: str, newest: str) -> str:
+    """``newest``: the last bar of each series at every scoring, as rows of ``rets``."""
+    return f"""{linear_sql(until)}, nw AS ({newest}), nf AS (SELECT series, ts + INTERVAL 1 HOUR AS ts, price AS open, my + b1 * ("return" - m1) + b2 * ((price - open) / open - m2) AS f, loc, scale FROM nw JOIN lin USING (series)),
+nz AS (SELECT *, (-f - loc) / scale AS zz FROM nf), nc AS (SELECT *, {cdf_sql('zz')} AS dc FROM nz), nk AS (SELECT *, greatest(dc, 1 - dc) AS certainty, CASE WHEN 1 - dc >= dc THEN 'long' ELSE 'short' END AS kind FROM nc)
 SELECT series, ts, f AS return_forecast, certainty, kind, CASE WHEN certainty > 0.9 THEN 3 ELSE 1 END AS leverage, CASE WHEN certainty > 0.55 THEN greatest(0.5, least(ln(100 * certainty - 49) / ln(41) + 0.1, 1)) ELSE 0 END AS exposure,
- open * (1 + CASE WHEN kind = 'long' THEN 0.012 ELSE -0.012 END) AS tp_price, open * (1 + CASE WHEN kind = 'long' THEN -0.016 ELSE 0.016 END) AS sl_price FROM k""")
+ open * (1 + CASE WHEN kind = 'long' THEN 0.012 ELSE -0.012 END) AS tp_price, open * (1 + CASE WHEN kind = 'long' THEN -0.016 ELSE 0.016 END) AS sl_price FROM nk"""
+
+
+def linear_features(moved):
+    """The features of ``LINEAR`` from columns that moved one bar forward."""
+    return moved.withColumns({"x_ret": F.col("return"), "x_body": F.try_divide(F.col("price") - F.col("open"), F.col("open"))})
+
+
+def stored_model(spark, d, until):
+    """A store whose newest version was fitted on the rows before ``until``."""
+    store = ml.Versions(spark, fresh_path(spark, "models"))
+    store.put(ml.fit_state(feat(spark, d).where(f"ts < timestamp_ntz'{until}'"), ["series"], LINEAR, "y"), f"linear, rows before {until}")
+    return store
+
+
+@query("inference_row", "series:s ts:t return_forecast:d certainty:d kind:s leverage:d exposure:d tp_price:d sl_price:d", scored_sql(
+    "2024-01-25", "SELECT * FROM rets QUALIFY row_number() OVER (PARTITION BY series ORDER BY ts DESC) = 1"))
 def _(spark, d):
-    x = trading_input(spark, d)
-    fit = bt.fit_normal(bt.residuals(x), ["series"])
-    last = x.groupBy("series").agg(F.max_by(F.struct("ts", "price", "real_return"), F.col("ts")).alias("l"))
-    row = last.select("series", F.expr("l.ts + interval '1' hour").alias("ts"), F.col("l.price").alias("open"), F.col("l.real_return").alias("return_forecast"),
-                      F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"))
-    rules = bt.with_rules(bt.certainty(row, fit, ["series"]), SETS[:1]).withColumn("flow", F.col("kind"))
-    out = bt.take_profit_stop_loss(rules)
-    active = F.col("certainty") > F.col("param.certainty_threshold")
-    return out.withColumns({"leverage": F.when(F.col("certainty") > 0.9, F.col("param.max_leverage")).otherwise(1.0), "exposure": exposure(F.col("certainty"), active)})
+    _, state = stored_model(spark, d, "2024-01-25").get()
+    rows = ml.next_bars(hour_returns(spark, d), HOUR, linear_features, LINEAR_COLS)
+    return ml.scored_bars(rows, state, ["series"], LINEAR, SETS[0])
 
 
 # ---- leaderboard -------------------------------------------------------------------------------

@@ -7,11 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from barloom.functions.time import epoch_seconds
-from barloom.operators import backtest as bt
 from barloom.operators.blocks import bounded, frame
-from barloom.plans.base import BARS, DENSE, GAPPY, W, hour_bars, hour_dense
-from barloom.plans.q_backtest import BT_SQL, CERT_SQL, SETS, certain_rows, trading_input
-from barloom.plans.q_scalars import cdf_sql
+from barloom.plans.base import BARS, DENSE, GAPPY, HOUR, W, hour_bars, hour_dense, hour_returns
+from barloom.plans.q_backtest import BT_SQL, SETS, certain_rows
+from barloom.plans.q_features import LINEAR, LINEAR_COLS, linear_features, scored_sql, stored_model
 from barloom.plans.q_windows import ema_sql
 from barloom.plans.registry import query
 from barloom.session import fresh_path, stage
@@ -74,23 +73,36 @@ def _(spark, d):
     return spark.read.parquet(out).withColumn("ts", F.expr("cast(date_trunc('SECOND', ts) as timestamp_ntz)"))
 
 
+LATE = 6 * 3600
+
+
+def late_chunks(df):
+    """The three time ranges, every fifth bar of the last hours of a range handed in with the next one."""
+    parts = []
+    for i, cut in enumerate([*CUTS, None]):
+        own = chunks(df)[i]
+        slow = F.lit(False) if cut is None else (F.col("ts") >= F.expr(f"timestamp_ntz'{cut}' - interval 5 hours")) & (F.hour("ts") % 5 == 0)
+        parts.append((own.where(~slow), own.where(slow)))
+    return [parts[0][0], parts[1][0].unionByName(parts[0][1]), parts[2][0].unionByName(parts[1][1])]
+
+
 @query("stream_position_state", "series:s ts:t flow:s trading_signal:b", BT_SQL + " SELECT * FROM tab WHERE pid = 1")
 def _(spark, d):
-    rule = SETS[0]
+    """Late bars included."""
     rows = certain_rows(spark, d).where("pid = 1").select("series", "ts", "certainty", "kind", "open", "high", "low")
-    out = fresh_path(spark, "positions")
-    make = lambda: st.PositionState(rule["certainty_threshold"], rule["ltp"], rule["stp"], rule["lsl"], rule["ssl"])
-    _replay(spark, chunks(rows), lambda s, c: st.run_append(
-        st.with_state(s, make(), "series string, ts timestamp_ntz, flow string, trading_signal boolean"), out, c))
+    folder, out = fresh_path(spark, "position"), fresh_path(spark, "positions")
+    handle = st.carry_on(folder, out, HOUR, LATE, *st.position_step(HOUR, SETS[0]))
+    _replay(spark, late_chunks(rows), lambda s, c: st.run_batches(s, handle, c))
     return spark.read.parquet(out)
 
 
 @query("stream_ema_state", "series:s ts:t ema:d ha_open:d", ema_sql({"ema": ("price", 2 / 11), "ha_open": ("x", 0.5)}, "hain", f"{DENSE}, hain AS (SELECT *, coalesce((lag(open) OVER ({W}) + lag(high) OVER ({W}) + lag(low) OVER ({W}) + lag(price) OVER ({W})) / 4, (open + price) / 2) AS x FROM dense)") + " SELECT * FROM em")
 def _(spark, d):
-    out = fresh_path(spark, "ema")
+    """Late bars included."""
     rows = hour_dense(spark, d).select("series", "ts", "open", "high", "low", "price")
-    _replay(spark, chunks(rows), lambda s, c: st.run_append(
-        st.with_state(s, st.EmaState(2 / 11), "series string, ts timestamp_ntz, ema double, ha_open double"), out, c))
+    folder, out = fresh_path(spark, "ema"), fresh_path(spark, "averages")
+    handle = st.carry_on(folder, out, HOUR, LATE, *st.ema_step(HOUR, 2 / 11))
+    _replay(spark, late_chunks(rows), lambda s, c: st.run_batches(s, handle, c))
     return spark.read.parquet(out)
 
 
@@ -113,22 +125,10 @@ def _(spark, d):
     return spark.read.parquet(path).select("series", age.alias("hours_old"), (age > 12).alias("stale"))
 
 
-@query("stream_score_latest", "series:s ts:t return_forecast:d certainty:d kind:s tp_price:d sl_price:d", f"""{CERT_SQL}, c AS (SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-11' THEN 1 WHEN ts < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS k FROM inp),
-n AS (SELECT series, ts + INTERVAL 1 HOUR AS ts, real_return AS f, price AS open FROM c QUALIFY row_number() OVER (PARTITION BY series, k ORDER BY ts DESC) = 1),
-z AS (SELECT n.*, (-f - loc) / scale AS zz FROM n JOIN fit USING (series)), p AS (SELECT *, {cdf_sql('zz')} AS dc FROM z)
-SELECT series, ts, f AS return_forecast, greatest(dc, 1 - dc) AS certainty, CASE WHEN 1 - dc >= dc THEN 'long' ELSE 'short' END AS kind, open * (1 + CASE WHEN 1 - dc >= dc THEN 0.012 ELSE -0.012 END) AS tp_price, open * (1 + CASE WHEN 1 - dc >= dc THEN -0.016 ELSE 0.016 END) AS sl_price FROM p""")
+@query("stream_score_latest", "series:s ts:t return_forecast:d certainty:d kind:s tp_price:d sl_price:d", scored_sql(CUTS[0], f"""
+SELECT * EXCLUDE (k) FROM (SELECT *, CASE WHEN ts < TIMESTAMP '{CUTS[0]}' THEN 1 WHEN ts < TIMESTAMP '{CUTS[1]}' THEN 2 ELSE 3 END AS k FROM rets) QUALIFY row_number() OVER (PARTITION BY series, k ORDER BY ts DESC) = 1"""))
 def _(spark, d):
-    x = trading_input(spark, d)
-    fit = stage(bt.fit_normal(bt.residuals(x), ["series"]))
-    out = fresh_path(spark, "scored")
-
-    def score(batch, batch_id):
-        newest = stage(batch, "batch").groupBy("series").agg(F.max_by(F.struct("ts", "price", "real_return"), F.col("ts")).alias("l"))
-        row = newest.select("series", F.expr("l.ts + interval '1' hour").alias("ts"), F.col("l.price").alias("open"),
-                            F.col("l.real_return").alias("return_forecast"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"))
-        ruled = bt.with_rules(bt.certainty(row, fit, ["series"]), SETS[:1]).withColumn("flow", F.col("kind"))
-        bt.take_profit_stop_loss(ruled).select("series", "ts", "return_forecast", "certainty", "kind", "tp_price", "sl_price").withColumn(
-            "batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
-
-    _replay(spark, chunks(x), lambda s, c: st.run_batches(s, score, c))
+    store, out = stored_model(spark, d, CUTS[0]), fresh_path(spark, "scored")
+    handle = st.score_newest(store, fresh_path(spark, "tails"), out, HOUR, LINEAR_COLS, 24, linear_features, LINEAR, SETS[0])
+    _replay(spark, chunks(hour_returns(spark, d).select("series", "ts", *LINEAR_COLS)), lambda s, c: st.run_batches(s, handle, c))
     return spark.read.parquet(out)

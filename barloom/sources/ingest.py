@@ -94,7 +94,11 @@ def key_uniform(*cols: str | Column, salt: str = "") -> Column:
 
 def combined_panel(y: DataFrame, x: DataFrame, g: Grid, keep: float, sample: float) -> DataFrame:
     """Targets and features of all series on common rows: the newest ``keep`` of each series, then a
-    repeatable sample by key hash. Keys must be unique."""
+    repeatable sample by key hash. Keys that are not unique in both tables are refused."""
+    for name, df in (("targets", y), ("features", x)):
+        twice = df.groupBy(*g.keys, g.ts).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(3).collect()
+        if twice:
+            raise ValueError(f"{name}: keys stand more than once, such as {[tuple(r)[:-1] for r in twice]}")
     return tail_share(align([y, x], [*g.keys, g.ts]), g, keep).where(key_uniform(*g.keys, g.ts) < sample)
 
 

@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from barloom.operators.blocks import Grid
+from barloom.operators.backtest import position_flow, take_profit_stop_loss, trading_signal, with_rules
+from barloom.operators.blocks import Grid, bounded, ema
+from barloom.operators.models import Versions, next_bars, scored_bars
 from barloom.operators.sets import overlap_merge, tail_rows
+from barloom.operators.windows import ha_price
 from barloom.session import fresh_path, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -28,9 +31,15 @@ def source(spark: SparkSession, path: str, schema: StructType, max_files: int |
 
 
 def run_append(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Process what has arrived and append results to a table."""
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start(out).awaitTermination()
+    """Process what has arrived and append results to a table. State is kept in RocksDB for this run; the setting of the session is put back."""
+    conf, setting = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(setting, None)
+    conf.set(setting, ROCKSDB)
+    try:
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start(out).awaitTermination()
+    finally:
+        conf.unset(setting) if before is None else conf.set(setting, before)
 
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -93,32 +102,153 @@ def revise(path: str, g: Grid, revisable: int = 24) -> Callable[[DataFrame, int]
     return handle
 
 
+def _merged_days(rows: DataFrame, old: DataFrame, g: Grid) -> DataFrame:
+    """Rows with the stored ones of the same days, which an overwrite of these days would take away."""
+    key = [*g.keys, g.ts]
+    days = rows.select(F.date_format(g.ts, "yyyy-MM-dd").alias("day")).distinct()
+    first = rows.agg(F.min(F.date_format(g.ts, "yyyy-MM-dd"))).first()[0]
+    kept = old.where(F.col("day") >= first).join(days, "day", "left_semi").join(rows.select(*key), key, "left_anti")
+    return stage(rows.unionByName(kept.drop("day")), "days")
+
+
+def _needed_days(counts: DataFrame, new: DataFrame, g: Grid, overlap: int) -> DataFrame:
+    """(keys, _from): the day from which a series of the batch has ``overlap`` stored bars beside those that the batch may replace."""
+    batch = new.groupBy(*g.keys).agg(F.count(F.lit(1)).alias("_mine"))
+    later = Window.partitionBy(*g.keys).orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    known = counts.join(batch, list(g.keys)).withColumn("_later", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    return known.where(F.col("_later") < F.col("_mine") + overlap).groupBy(*g.keys).agg(F.min("day").alias("_from"))
+
+
 def append_features(path: str, out: str, g: Grid, overlap: int, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """Batch handler: store new bars and compute features for them only, with the last ``overlap`` stored
-    bars of each series as history."""
+    bars of each series as history.
+
+    A list of bars per series and day (``path`` + ``-days``) says how far back a batch has to read; older days are not touched. The list is written last: where a
+    run broke off before it, it counts too few bars and the next batch reads more than it needs.
+    """
+    listed = path.rstrip("/") + "-days"
+
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = stage(batch, "batch").withColumn("_new", F.lit(True))
-        first = new.agg(F.min(F.date_format(g.ts, "yyyy-MM-dd"))).first()[0]
-        if first is None:
+        if new.isEmpty():
             return
         key = [*g.keys, g.ts]
-        rest = stored(spark, path, batch.schema).join(new.select(*key), key, "left_anti")
-        both = stage(tail_rows(rest.drop("day"), g, overlap).withColumn("_new", F.lit(False)).unionByName(new))
+        count_schema = StructType([*[new.schema[k] for k in g.keys], StructField("n", LongType())])
+        needed = stage(_needed_days(stored(spark, listed, count_schema), new, g, overlap), "needed")
+        first = needed.agg(F.min("_from")).first()[0]
+        history = stored(spark, path, batch.schema)
+        near = history.where(F.col("day") >= first) if first is not None else history.limit(0)
+        rest = near.join(needed, list(g.keys)).where("day >= _from").drop("day", "_from").join(new.select(*key), key, "left_anti")
+        both = stage(tail_rows(rest, g, overlap).withColumn("_new", F.lit(False)).unionByName(new))
         made = stage(build(both).where("_new").drop("_new"), "features")
-        days = new.select(F.date_format(g.ts, "yyyy-MM-dd").alias("day")).distinct()
+        # features first: a batch that is repeated after a failure between the writes finds the store as it was
+        _write_days(_day(_merged_days(made, stored(spark, out, made.schema), g)), out)
+        days = _merged_days(new.drop("_new"), history, g)
+        _write_days(_day(days), path)
+        _write_days(_day(days).groupBy(*g.keys, "day").agg(F.count(F.lit(1)).alias("n")), listed)
+    return handle
 
-        def with_stored(rows: DataFrame, old: DataFrame) -> DataFrame:
-            """Rows of the batch with the stored ones of the same days, which the overwrite would take away."""
-            kept = old.where(F.col("day") >= first).join(days, "day", "left_semi").join(new.select(*key), key, "left_anti")
-            return stage(rows.unionByName(kept.drop("day")), "days")
 
-        # features first: a batch that is repeated after a failure between the writes finds the store as it was
-        _write_days(_day(with_stored(made, stored(spark, out, made.schema))), out)
-        _write_days(_day(with_stored(new.drop("_new"), stored(spark, path, batch.schema))), path)
+def _newest(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame:
+    """Rows that the last batch before ``batch_id`` left in ``path``, empty before the first."""
+    with_batch = StructType([*schema.fields, StructField("after", LongType())])
+    try:
+        kept = spark.read.schema(with_batch).parquet(path).where(F.col("after") < batch_id)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    last = kept.agg(F.max("after")).first()[0]
+    return kept.where(F.col("after") == (last if last is not None else -1)).drop("after")
+
+
+def _leave(df: DataFrame, path: str, batch_id: int) -> None:
+    df.withColumn("after", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("after").parquet(path)
+
+
+def carry_on(
+    folder: str, out: str, g: Grid, late: int, step: Callable[[DataFrame], DataFrame], state: str, seed: Callable[[DataFrame], DataFrame],
+) -> Callable[[DataFrame, int], None]:
+    """Batch handler for operators that carry a state from bar to bar, in event time and with late bars.
+
+    The operator itself is the batch one: its carries are associative, so it can go on from any bar. ``step`` computes its columns for
+    rows and ``seed(last)``, one row per series that stands for all bars so far (made of the columns of ``state``, a schema, at the last final bar). Bars of the last ``late`` seconds of a series
+    stay open: they are kept and computed again with what arrives between them, and their results are written again. Bars older than that are put
+    aside in ``folder``/late. A series is spread over blocks like in a batch run; nothing runs row by row.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        key, keys = [*g.keys, g.ts], list(g.keys)
+        new = stage(batch.dropDuplicates(key), "batch")
+        if new.isEmpty():
+            return
+        kept = StructType.fromDDL(state)
+        last = stage(_newest(spark, f"{folder}/state", StructType([*[new.schema[k] for k in key], *kept.fields]), batch_id), "last")
+        seen = stage(new.join(last.select(*keys, F.col(g.ts).alias("_last")), keys, "left"), "seen")
+        fresh = seen.where(F.col("_last").isNull() | (F.col(g.ts) > F.col("_last"))).drop("_last")
+        passed = seen.where(F.col(g.ts) <= F.col("_last")).drop("_last")
+        open_rows = _newest(spark, f"{folder}/open", new.schema, batch_id)
+        rows = stage(open_rows.join(fresh.select(*key), key, "left_anti").unionByName(fresh).withColumn("_seed", F.lit(False)), "rows")
+        moving = last.join(rows.select(*keys).distinct(), keys, "left_semi")
+        begun = stage(rows.unionByName(seed(moving).withColumn("_seed", F.lit(True)), allowMissingColumns=True), "begun")
+        done = stage(step(begun).where("not _seed").drop("_seed"), "done")
+        limit = rows.groupBy(*keys).agg((F.max(F.col(g.ts).cast("timestamp").cast("long")) - late).alias("_limit"))
+        bounded_rows = stage(done.join(stage(limit, "limit"), keys), "bounded")
+        final = F.col(g.ts).cast("timestamp").cast("long") <= F.col("_limit")
+        settled = bounded_rows.where(final).groupBy(*keys).agg(F.max_by(F.struct(g.ts, *kept.names), F.col(g.ts)).alias("_s")).select(*keys, "_s.*")
+        settled = stage(settled, "settled")
+        settled = settled.unionByName(last.join(settled.select(*keys), keys, "left_anti"))
+        made = done.select(*[c for c in done.columns if c not in new.columns or c in key])
+        if made.isEmpty():  # late bars only
+            made = None
+        if made is not None:
+            _write_days(_day(_merged_days(made, stored(spark, out, made.schema), g)), out)
+        if not passed.isEmpty():
+            _leave(passed, f"{folder}/late", batch_id)
+        _leave(rows.drop("_seed").join(bounded_rows.where(~final).select(*key), key, "left_semi"), f"{folder}/open", batch_id)
+        _leave(settled, f"{folder}/state", batch_id)
     return handle
 
 
+def ema_step(g: Grid, alpha: float) -> tuple:
+    """Exponential average ``ema`` of the price and Heikin-Ashi open ``ha_open`` for ``carry_on``: step, state, seed.
+
+    An average that starts at its last value goes on as if it had never stopped, so a seed is a bar whose price is the average and whose
+    Heikin-Ashi open and price are those of the last final bar.
+    """
+    def step(rows: DataFrame) -> DataFrame:
+        given = {c: F.col(c) if c in rows.columns else F.lit(None).cast("double") for c in ("_ha", "_open")}
+        priced = rows.withColumns(given).withColumn("ha_price", F.coalesce("_ha", ha_price()))
+        fed = bounded(priced, g, lambda w: {"_in": F.coalesce("_open", F.lag("ha_price").over(w), (F.col("open") + F.col("price")) / 2)}, back=1)
+        return ema(stage(fed, "fed"), g, {"ema": (F.col("price"), alpha), "ha_open": (F.col("_in"), 0.5)}).drop("_in", "_ha", "_open")
+
+    def seed(last: DataFrame) -> DataFrame:
+        return last.select(*g.keys, g.ts, F.col("ema").alias("price"), F.col("ha_price").alias("_ha"), F.col("ha_open").alias("_open"))
+
+    return step, "ema double, ha_open double, ha_price double", seed
+
+
+def position_step(g: Grid, rules: dict) -> tuple:
+    """Flow and trading signal of a position that follows the flow, for ``carry_on``.
+
+    A position depends on the last certain bar and the last stop after it. A seed is a bar of the kind of the last flow: certain when the position was
+    on, past its stop when it had been stopped.
+    """
+    high, low = F.col("open") * (1 + abs(rules["ltp"]) + abs(rules["ssl"]) + 1), F.col("open") * 0
+
+    def step(rows: DataFrame) -> DataFrame:
+        ruled = with_rules(rows, [{**rules, "follow_flow": True}])
+        signals = trading_signal(stage(take_profit_stop_loss(position_flow(ruled, g)), "signals"), g)
+        stopped = F.col("tp_triggered") | F.col("sl_triggered")
+        return signals.withColumn("stopped", stopped).drop("param", "pid", "tp_price", "sl_price", "tp_triggered", "sl_triggered", "passive_trading")
+
+    def seed(last: DataFrame) -> DataFrame:
+        sure = F.when(F.col("trading_signal"), 2.0).otherwise(-1.0).alias("certainty")
+        one = last.select(*g.keys, g.ts, F.col("flow").alias("kind"), sure, F.lit(1.0).alias("open"), "stopped")
+        return one.withColumns({"high": F.when(F.col("stopped"), high).otherwise(F.lit(None)), "low": F.when(F.col("stopped"), low).otherwise(F.lit(None))}).drop("stopped")
+
+    return step, "flow string, trading_signal boolean, stopped boolean", seed
+
+
 def store_snapshot(path: str, g: Grid, rows: int = 150) -> Callable[[DataFrame, int], None]:
     """Batch handler: keep the last ``rows`` bars of each series of the batch as a snapshot partition."""
     def handle(batch: DataFrame, _: int) -> None:
@@ -198,8 +328,7 @@ class PositionState(StatefulProcessor):
 
 
 def with_state(rows: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Keyed state per series, in RocksDB, so state size is not bound by executor memory."""
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """Keyed state per series, for rows that come in order; ``run_append`` keeps it in RocksDB, so state size is not bound by executor memory."""
     return rows.groupBy("series").transformWithStateInPandas(processor, schema, "Append", "None")
 
 
@@ -219,3 +348,38 @@ def replay(spark: SparkSession, chunks: Sequence[DataFrame], run: Callable[[Data
             run(source(spark, inbox, chunk.schema), checkpoint)
     finally:
         spark.conf.set(setting, before)
+
+
+def score_newest(
+    versions: Versions, tails: str, out: str, g: Grid, cols: Sequence[str], back: int, build: Callable[[DataFrame], DataFrame], features: Sequence[str], rules: dict,
+) -> Callable[[DataFrame, int], None]:
+    """Batch handler: score the bar after the newest one of each series that moved on, with the newest stored model.
+
+    The last ``back`` bars of each series are kept per batch under ``tails`` as history for the look-backs of ``build``, so a batch of one bar has
+    its features and no older bar is read. A late bar joins the history and is not scored; a repeated batch writes the same rows again.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        key = [*g.keys, g.ts]
+        new = stage(batch.select(*key, *cols).dropDuplicates(key), "batch")
+        if new.isEmpty():
+            return
+        schema = StructType([*new.schema.fields, StructField("after", LongType())])
+        try:
+            kept = spark.read.schema(schema).parquet(tails).where(F.col("after") < batch_id)
+        except AnalysisException:
+            kept = spark.createDataFrame([], schema)
+        newest = kept.agg(F.max("after")).first()[0]
+        old = kept.where(F.col("after") == newest).drop("after") if newest is not None else kept.drop("after")
+        both = stage(old.join(new.select(*key), key, "left_anti").unionByName(new), "history")
+        seen = old.groupBy(*g.keys).agg(F.max(g.ts).alias("_seen"))
+        moved = new.groupBy(*g.keys).agg(F.max(g.ts).alias("_new")).join(seen, list(g.keys), "left").where("_seen is null or _new > _seen").select(*g.keys)
+        version, state = versions.get()
+        rows = next_bars(both.join(stage(moved, "moved"), list(g.keys), "left_semi"), g, build, cols)
+        scored = scored_bars(rows, state, list(g.keys), features, rules)
+        names = [*key, "return_forecast", "certainty", "kind", "leverage", "exposure", "tp_price", "sl_price"]
+        scored.select(*names, F.lit(version).cast("long").alias("version"), F.lit(batch_id).alias("batch")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        tail_rows(both, g, back).withColumn("after", F.lit(batch_id).cast("long")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("after").parquet(tails)
+    return handle

@@ -4,6 +4,7 @@ import math
 import random
 from statistics import NormalDist
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,54 @@ def test_extend_equals_whole(bars):
 def test_too_few_rows_give_no_fit(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(10)], "series string, return_residual double")
     assert bt.fit_normal(df, ["series"]).first()["loc"] is None
+
+
+def test_threshold_search_equals_a_back_test_per_candidate(spark):
+    """Hot, short and broken series; smoothed and plain averages."""
+    import random
+
+    from barloom.operators import aggregate as ag
+
+    rnd = random.Random(8)
+    rows = []
+    for s, n in (("hot", 500), ("cold", 60)):
+        for t in hours(n):
+            o = 100 + rnd.random()
+            r = rnd.gauss(0, 0.01)
+            hi, lo = max(0.0, r) + abs(rnd.gauss(0, 0.004)), min(0.0, r) - abs(rnd.gauss(0, 0.004))
+            rows.append((s, t, r * 0.3 + rnd.gauss(0, 0.01), r, o, o * (1 + hi), o * (1 + lo), o * (1 + r)))
+    for k in (5, 70, 90):  # moves past the far exit of the other side, and an open of nothing
+        s, t, f, r, o, hi, lo, p = rows[k]
+        rows[k] = (s, t, f, r, o, o * 2.5, o * 0.05, p) if k != 90 else (s, t, f, r, o, o, o, p)
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, return_forecast double, real_return double, open double, high double, low double, price double").repartition(3)
+    base = {"pid": 0, "follow_flow": False, "certainty_threshold": 0.55, "ltp": None, "stp": None, "lsl": None, "ssl": None, "long_permission": True, "short_permission": True,
+            "max_leverage": 2.0, "fee": -0.0004}
+    g = Grid()
+    pairs = {"ltp": "stp", "stp": "ltp", "lsl": "ssl", "ssl": "lsl"}
+    cands = {(c["series"], c["field"]): [(x["q"], x["v"]) for x in c["cands"]] for c in bt.stop_candidates(df, ["series"]).collect()}
+    assert {k: len(v) for k, v in cands.items() if k[0] == "hot"} == {("hot", "ltp"): 29, ("hot", "stp"): 29, ("hot", "lsl"): 14, ("hot", "ssl"): 14}
+    fit = bt.fit_normal(bt.residuals(df), ["series"])
+    for smooth in (True, False):
+        got = {(r["series"], r["field"]): r for r in bt.threshold_search(df, g, base, smooth_returns=smooth).collect()}
+        assert set(got) == set(cands)
+        for (s, field), grid in cands.items():
+            spec = bt.STOP_FIELDS[field]
+            sets = [{**base, "pid": i, field: v, pairs[field]: spec.other} for i, (_, v) in enumerate(grid)]
+            table = bt.backtest(bt.with_rules(df.where(F.col("series") == s), sets), Grid(keys=("series", "pid")), fit, ["series"])
+            each = {}
+            for r in table.where("trading_signal").collect():
+                each.setdefault(r["pid"], []).append((r["real_trading_return"], r["tp_triggered"] or r["sl_triggered"]))
+            score = []
+            for i, (q, v) in enumerate(grid):
+                x = np.array([e[0] for e in each[i]])
+                if smooth:
+                    m, d = x.mean(), x.std(ddof=1)
+                    x = np.where(x > m + 1.96 * d, m + 1.96 * d + 0.4 * (x - m - 1.96 * d), np.where(x < m - 1.96 * d, m - 1.96 * d - 0.4 * (m - 1.96 * d - x), x))
+                score.append((round(x.mean(), 12), -q, v, sum(e[1] for e in each[i])))
+            best = max(score)
+            r = got[s, field]
+            assert (r["q"], r["value"]) == (-best[1], best[2])
+            assert r["avg_real_trading_return"] == pytest.approx(best[0], abs=1e-11)
+            assert r["triggers"] == pytest.approx(best[3] / (500 if s == "hot" else 60))
+    with pytest.raises(ValueError):
+        bt.threshold_search(df, g, {**base, "follow_flow": True})

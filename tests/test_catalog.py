@@ -23,8 +23,8 @@ def test_contract():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     q, o = {k: q[k] for k in CATALOG}, {k: v for k, v in o.items() if k in CATALOG}
-    assert len(q) == 225
-    assert sorted(set(q) - set(o)) == ["boruta_select", "feature_importance", "panel_tree_forecast", "pca_95", "rfe_select", "select_panel", "walk_forward"]
+    assert len(q) == 230
+    assert sorted(set(q) - set(o)) == ["boosted_tree_forecast", "boruta_select", "feature_importance", "panel_tree_forecast", "pca_95", "rfe_select", "select_panel", "series_tree_forecast", "walk_forward"]
 
 
 def test_entry(spark):

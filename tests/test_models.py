@@ -1,6 +1,7 @@
 """Selection, transforms, forecasts: where SQL has no say, small fixtures with a known answer."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -192,3 +193,74 @@ def test_pair_correlations_equal_numpy_on_common_rows(spark):
         else:
             assert r == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-9)
     assert pair_correlations(df.limit(0), df.columns).where("r is not null").count() == 0
+
+
+def plain_kendall(x, y):
+    s = sum(np.sign(a - b) * np.sign(c - d) for (a, c), (b, d) in itertools.combinations(list(zip(x, y)), 2))
+    n = len(x)
+    tx, ty = (np.unique(v, return_counts=True)[1].astype(float) for v in (x, y))
+    f = lambda t, g: sum(g(v) for v in t)
+    pairs = n * (n - 1)
+    tau = s / np.sqrt((pairs / 2 - f(tx, lambda t: t * (t - 1) / 2)) * (pairs / 2 - f(ty, lambda t: t * (t - 1) / 2)))
+    var = (pairs * (2 * n + 5) - f(tx, lambda t: t * (t - 1) * (2 * t + 5)) - f(ty, lambda t: t * (t - 1) * (2 * t + 5))) / 18
+    var += 2 * f(tx, lambda t: t * (t - 1) / 2) * f(ty, lambda t: t * (t - 1) / 2) / pairs
+    var += f(tx, lambda t: t * (t - 1) * (t - 2)) * f(ty, lambda t: t * (t - 1) * (t - 2)) / (9 * pairs * (n - 2))
+    return tau, math.erfc(abs(s) / np.sqrt(var) / np.sqrt(2))
+
+
+@pytest.mark.parametrize("parts", [2, 5, 64])
+def test_kendall_counts_every_pair(spark, parts):
+    rnd = np.random.default_rng(parts)
+    n = 240
+    y = rnd.integers(-20, 20, n).astype(float)
+    cols = {"many": y + rnd.normal(0, 8, n), "few": np.sign(y) + rnd.integers(0, 2, n), "hot": np.where(rnd.random(n) < 0.5, 3.0, rnd.normal(size=n)), "against": -y, "none": rnd.normal(size=n)}
+    rows = [(float(y[i]), *[None if c == "none" and i % 3 == 0 else float("nan") if c == "hot" and i == 5 else float(v[i]) for c, v in cols.items()]) for i in range(n)]
+    rows += [(None, 1.0, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "y double, " + ", ".join(f"{c} double" for c in cols)).repartition(3)
+    got = {r.feature: r for r in se.kendall_exact(df, list(cols), "y", parts).collect()}
+    assert set(got) == set(cols)
+    for i, c in enumerate(cols):
+        known = [(r[i + 1], r[0]) for r in rows if r[0] is not None and r[i + 1] is not None and not math.isnan(r[i + 1])]
+        tau, p = plain_kendall(*map(np.array, zip(*known)))
+        assert (got[c].n, got[c].tau, got[c].p_value) == (len(known), pytest.approx(tau, abs=1e-12), pytest.approx(p, abs=1e-10))
+    assert se.kendall_exact(df.limit(0), ["many"], "y").count() == 0
+
+
+def test_signed_pairs():
+    rnd = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 17, 60):
+        x, y, w = rnd.integers(0, 6, n).astype(float), rnd.integers(0, 6, n).astype(float), rnd.integers(1, 4, n)
+        want = sum(np.sign(x[i] - x[j]) * np.sign(y[i] - y[j]) * w[i] * w[j] for i, j in itertools.combinations(range(n), 2))
+        assert se.signed_pairs(x, y, w) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_two_sample_distance_at_every_value(spark, parts):
+    rnd = np.random.default_rng(7)
+    y = np.round(rnd.normal(size=300), 1)
+    a, b = rnd.random(300) < 0.3, y > 0.5
+    df = spark.createDataFrame([(float(v), 2.0 * p + 1, float(q)) for v, p, q in zip(y, a, b)], "y double, a double, b double").repartition(4)
+    got = {r.feature: r.distance for r in se.two_sample_ks_exact(df, ["a", "b"], "y", parts).collect()}
+    for name, g in (("a", a), ("b", b)):
+        want = max(abs((y[g] <= v).mean() - (y[~g] <= v).mean()) for v in y)
+        assert got[name] == pytest.approx(want)
+
+
+def test_boruta_decisions_against_hand_worked_tests():
+    p = [0.001, 0.5, 0.02, 0.03]
+    assert se.false_discoveries(p, 0.05) == [True, False, True, True] and se.false_discoveries([0.04, 0.9], 0.05) == [False, False]
+    # ten rounds, three features: 10 wins of 10 has a chance of 1/1024, 0 wins the same; 9 wins 11/1024 > 0.05 / 10
+    assert se.decide({"a": 10, "b": 9, "c": 0}, ["a", "b", "c"], 10, 0.05) == (["a"], ["c"])
+    assert se.decide({"a": 4}, ["a"], 4, 0.05) == ([], [])  # 1/16 is no proof
+
+
+def test_permuted_rows_are_a_bijection(spark):
+    df = spark.range(101).select(F.col("id").alias("_row"), F.array(F.col("id").cast("double")).alias("_x"))
+    one, two = ({r["_row"]: r["_shadow"][0] for r in se.permuted(df, 101, s).collect()} for s in (1, 2))
+    assert sorted(one.values()) == [float(i) for i in range(101)] and one != two and sum(k == v for k, v in one.items()) < 10
+
+
+def test_boruta_rejects_noise_and_ends_early(data):
+    found = se.boruta_select(data, ["series", "ts"], ["a", "c"], "y", rounds=12, trees=5, depth=3)
+    assert found["a"][1] == "accepted" and found["a"][0] < 12 and found["c"][1] == "rejected"
+    assert se.boruta_select(data.limit(0), ["series", "ts"], ["a"], "y", rounds=3) == {"a": (0, "tentative")}

@@ -80,3 +80,12 @@ def test_dedup_hot_key_keeps_every_other_row(spark):
     df = spark.createDataFrame(rows, "series string, k int, load int")
     got = {(r.series, r.k): r.load for r in sets.dedup(df, ["series", "k"], F.col("load"), "last").collect()}
     assert len(got) == 6 and got["hot", 0] == 999
+
+
+def test_combined_panel_refuses_double_keys(spark, panel):
+    from barloom.sources.ingest import combined_panel
+
+    y, x = panel.select("series", "ts", "x"), panel.select("series", "ts", "v")
+    assert combined_panel(y, x, Grid(dense=False), 1.0, 2.0).count() == panel.count()
+    with pytest.raises(ValueError, match="features"):
+        combined_panel(y, x.unionByName(x.limit(1)), Grid(dense=False), 1.0, 2.0)
