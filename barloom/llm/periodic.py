@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import stage
 
 UNIT = 1 << 14
+TOGETHER = 1 << 18  # words whose boundaries are compared at once
 BEFORE, AFTER = 2, 6  # tile around a boundary, in Q
 FRAGMENT = pa.struct([("period", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -74,34 +76,74 @@ def tile_fragments(s: list, c: int, q0: int) -> Iterator[tuple[int, int, int]]:
             yield q, start, end
 
 
-def fragments(code: np.ndarray, lo: int, octaves: range, cores: tuple[int, int] | None = None) -> list[tuple[int, int, int]]:
-    """Fragments of the words ``code`` that stand from ``lo`` on in their document, joined where they overlap by a period.
+@dataclass(frozen=True)
+class Piece:
+    """Words ``code`` that stand from ``lo`` on in their document, the octaves to solve in them, and their boundaries ``first`` to ``last``."""
 
-    ``octaves``: exponents of Q. ``cores``: boundaries from, to (all when None). A tile that lies in a fragment of a shorter period is
-    left out: whatever else repeats there three times is a repetition of that period.
+    code: np.ndarray
+    lo: int
+    octaves: range
+    first: int
+    last: int
+
+
+def live_boundaries(pieces: list[Piece]) -> list[dict[int, list[int]]]:
+    """Per piece and octave the boundaries (positions in the piece) where some period of the octave goes on for eight words, or for Q if that is less.
+
+    All pieces are looked at together, one comparison of arrays for each period and word.
     """
-    n = len(code)
-    out: list[tuple[int, int, int]] = []
-    wide: list[tuple[int, int]] = []
-    for k in octaves:
+    size = np.array([len(p.code) for p in pieces])
+    base = np.cumsum(size) - size
+    out: list[dict[int, list[int]]] = [{} for _ in pieces]
+    if not size.sum():
+        return out
+    widest = max((p.octaves[-1] for p in pieces if len(p.octaves)), default=0)
+    code = np.concatenate([*[p.code for p in pieces], np.full((2 << widest) + 8, -1, np.int32)])
+    for k in range(widest + 1):
         q0 = 1 << k
-        a, b = cores or (lo, lo + n)
-        c = np.arange(-(-a // q0) * q0, b, q0) - lo
-        c = c[(c >= 0) & (c + q0 < n)]
-        if not len(c):
+        own = np.array([i for i, p in enumerate(pieces) if k in p.octaves], np.int64)
+        if not len(own):
+            continue
+        lo = np.array([pieces[i].lo for i in own])
+        at = -(-np.array([pieces[i].first for i in own]) // q0) * q0 - lo  # the first boundary of the piece
+        at += np.where(at < 0, -(at // q0) * q0, 0)
+        upto = np.minimum(np.array([pieces[i].last for i in own]) - lo, size[own] - q0)
+        count = np.maximum(0, -(-(upto - at) // q0))
+        n = int(count.sum())
+        if not n:
             continue
+        nth = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
+        c = np.repeat(base[own] + at, count) + nth * q0
+        end = np.repeat(base[own] + size[own], count)
         depth = min(8, q0)
-        live = np.zeros(len(c), bool)
+        live = np.zeros(n, bool)
+        here = code[c]
         for q in range(q0, 2 * q0):
-            m = int(np.searchsorted(c, n - q - depth, "right"))  # boundaries with room
-            hit = np.flatnonzero(code[c[:m]] == code[c[:m] + q])
+            hit = np.flatnonzero((code[c + q] == here) & (c + (q + depth) <= end))
             for d in range(1, depth):
                 if not len(hit):
                     break
-                hit = hit[code[c[hit] + d] == code[c[hit] + q + d]]
+                x = c[hit] + d
+                hit = hit[code[x] == code[x + q]]
             live[hit] = True
+        owner = np.repeat(own, count)
+        for j in np.flatnonzero(live):
+            out[owner[j]].setdefault(k, []).append(int(c[j] - base[owner[j]]))
+    return out
+
+
+def fragments(piece: Piece, live: dict[int, list[int]]) -> list[tuple[int, int, int]]:
+    """Fragments (period, start, end) of a piece at its live boundaries, joined where they overlap by a period.
+
+    A tile that lies in a fragment of a shorter period is left out: whatever else repeats there three times is a repetition of that period.
+    """
+    code, lo, n = piece.code, piece.lo, len(piece.code)
+    out: list[tuple[int, int, int]] = []
+    wide: list[tuple[int, int]] = []
+    for k in sorted(live):
+        q0 = 1 << k
         found: dict[int, list[list[int]]] = {}
-        for x in c[live].tolist():
+        for x in live[k]:
             t0, t1 = max(0, x - BEFORE * q0), min(n, x + AFTER * q0)
             if any(s <= t0 + lo and t1 + lo <= e for s, e in wide):
                 continue
@@ -116,6 +158,10 @@ def fragments(code: np.ndarray, lo: int, octaves: range, cores: tuple[int, int]
     return out
 
 
+def solve(pieces: list[Piece]) -> list[list[tuple[int, int, int]]]:
+    return [fragments(p, live) for p, live in zip(pieces, live_boundaries(pieces))]
+
+
 def codes(words: list[bytes]) -> np.ndarray:
     """One number per different word of a document."""
     number: dict[bytes, int] = {}
@@ -154,30 +200,34 @@ def solved(docs: DataFrame, doc_id: str, text: str, times: int, unit: int) -> Da
         def given(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
-        for batch in batches:
+        def taken(docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+            whole = [Piece(code, 0, octaves_of(len(code), times) if len(code) <= unit else range(0), 0, len(code)) for _, _, code, _ in docs]
             rows, held = [], 0
-            for row, own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
-                words = (t.as_py() or b"").split()
-                n, body = len(words), b" ".join(words)
-                code = codes(words)
-                if n > unit:
-                    rows.append((row, own, n, hashlib.sha256(body).hexdigest(), body, [], None))
-                    for k, to, a, b, lo, part in _tiles(code, times, unit):
-                        rows.append((row, None, None, None, None, None, {"octave": k, "to": to, "first": a, "last": b, "lo": lo, "codes": part}))
-                        held += len(part)
-                        if held > 1 << 22:
-                            yield given(rows)
-                            rows, held = [], 0
-                else:
-                    found = fragments(code, 0, octaves_of(n, times))
-                    rows.append((row, own, n, hashlib.sha256(body).hexdigest(), body if found else None, [{"period": q, "start": s, "end": e} for q, s, e in found], None))
-                held += len(body)
-                if held > 1 << 22:
-                    yield given(rows)
-                    rows, held = [], 0
+            for (row, own, code, body), found in zip(docs, solve(whole)):
+                n, digest = len(code), hashlib.sha256(body).hexdigest()
+                kept = body if found or n > unit else None
+                rows.append((row, own, n, digest, kept, [{"period": q, "start": s, "end": e} for q, s, e in found], None))
+                for k, to, a, b, lo, part in _tiles(code, times, unit) if n > unit else ():
+                    rows.append((row, None, None, None, None, None, {"octave": k, "to": to, "first": a, "last": b, "lo": lo, "codes": part}))
+                    held += len(part)
+                    if held > 1 << 22:
+                        yield given(rows)
+                        rows, held = [], 0
             if rows:
                 yield given(rows)
 
+        for batch in batches:
+            docs, words_held = [], 0
+            for row, own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())):
+                words = (t.as_py() or b"").split()
+                docs.append((row, own, codes(words), b" ".join(words)))
+                words_held += len(words)
+                if words_held > TOGETHER:
+                    yield from taken(docs)
+                    docs, words_held = [], 0
+            if docs:
+                yield from taken(docs)
+
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return stage(d.mapInArrow(run, f"row long, doc_id string, n long, sha string, body binary, fragments array<{FRAGMENT_SQL}>, tile {TILE_SQL}"), "solved")
 
@@ -187,11 +237,19 @@ def tile_rows(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, tile in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = fragments(np.frombuffer(tile["codes"], np.int32), tile["lo"], range(tile["octave"], tile["to"]), (tile["first"], tile["last"]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([row] * len(out), pa.int64()), pa.array([{"period": q, "start": s, "end": e} for q, s, e in out], FRAGMENT)], ["row", "f"])
+            rows, tiles = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            pieces = [Piece(np.frombuffer(t["codes"], np.int32), t["lo"], range(t["octave"], t["to"]), t["first"], t["last"]) for t in tiles]
+            lo = 0
+            while lo < len(pieces):  # some pieces at a time
+                hi, held = lo, 0
+                while hi < len(pieces) and held <= TOGETHER:
+                    held += len(pieces[hi].code)
+                    hi += 1
+                for row, out in zip(rows[lo:hi], solve(pieces[lo:hi])):
+                    if out:
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array([row] * len(out), pa.int64()), pa.array([{"period": q, "start": s, "end": e} for q, s, e in out], FRAGMENT)], ["row", "f"])
+                lo = hi
 
     tiles = found.filter("tile is not null").select("row", "tile")
     spread = tiles.repartition("row", "tile.octave", "tile.first")
