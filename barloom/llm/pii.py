@@ -85,26 +85,66 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sums(a: Column) -> Column:
+    """Sum up to and with each element; the array is copied for each element."""
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0))
+    return F.aggregate(a, F.expr("cast(array() as array<int>)"), lambda acc, x: F.concat(acc, F.array(last(acc) + x)))
+
+
+def running_sums(a: Column, part: int = 64) -> Column:
+    """The same for long arrays: sums inside parts, on top of the sums of the parts before, so only short arrays are copied."""
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / part).cast("int")), lambda c: F.slice(x, c * part + 1, F.lit(part)))
+    total = lambda q: F.aggregate(q, F.lit(0), lambda acc, y: acc + y)
+
+    def joined_parts(parts: Column) -> Column:
+        ends = _sums(F.transform(parts, total))
+        shifted = lambda q, e: _bound(e - total(q), lambda before: F.transform(_sums(q), lambda v: v + before))
+        return F.flatten(F.zip_with(parts, ends, shifted))
+
+    return _bound(a, lambda x: _bound(cut(x), joined_parts))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the leftmost matches that do not overlap."""
+    """array<struct<start, end, value, near>> of the leftmost matches that do not overlap; ``near``: the match with ``NEAR`` code points on both sides.
+
+    Everything comes from the matches and what lies between them; the text is not looked up again, so the cost does not grow with the square of the matches.
+    """
     values, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(values.alias("v"), F.slice(F.transform(between, lambda s: F.length(s)), 1, F.size(values)).alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string,near:string>>)")
+
+    def placed(p: Column) -> Column:
+        before = F.transform(p, lambda x: F.right(F.concat(x["b"], x["v"]), F.lit(NEAR)))  # ends of what stands before the next match
+        after = F.transform(p, lambda x: F.left(F.concat(x["v"], x["a"]), F.lit(NEAR)))
+        ends = running_sums(F.transform(p, lambda x: F.length(x["b"]) + F.length(x["v"])))
+
+        def spans(m: Column) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                # a match is a code point at least, so NEAR matches hold NEAR code points
+                left = F.array_join(F.slice(m["before"], F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR))), "")
+                right = F.array_join(F.slice(m["after"], i + 2, F.lit(NEAR)), "")
+                near = F.concat(F.right(F.concat(left, F.right(x["b"], F.lit(NEAR))), F.lit(NEAR)), x["v"], F.left(F.concat(F.left(x["a"], F.lit(NEAR)), right), F.lit(NEAR)))
+                end = F.get(m["ends"], i)
+                return F.struct((end - F.length(x["v"])).alias("start"), end.alias("end"), x["v"].alias("value"), near.alias("near"))
+            return F.transform(p, span)
+
+        return _bound(F.struct(before.alias("before"), after.alias("after"), ends.alias("ends")), spans)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        end = start + F.length(x["v"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value")))).alias("out"))
+    def zipped(v: Column) -> Column:
+        return _bound(between, lambda g: F.arrays_zip(v.alias("v"), F.slice(g, 1, F.size(v)).alias("b"), F.slice(g, 2, F.size(v)).alias("a")))
 
-    return F.when(F.size(values) == 0, zero["out"]).otherwise(F.aggregate(pairs, zero, step, lambda acc: acc["out"]))
+    return _bound(values, lambda v: F.when(F.size(v) == 0, none).otherwise(_bound(zipped(v), placed)))
 
 
-def _confirmed(no: int, k: Kind, text: Column, proposed: Column) -> Column:
+def _confirmed(no: int, k: Kind, proposed: Column) -> Column:
     """Proposals of one kind that are valid, with their score; kinds outside the base need ``MIN_SCORE``."""
 
     def scored(x: Column) -> Column:
-        near = F.call_function("substring", text, F.greatest(x["start"] - NEAR, F.lit(0)) + 1, x["end"] - x["start"] + 2 * NEAR)
-        score = F.lit(k.score) + F.when(near.rlike(k.context), 0.2).otherwise(0.0)
+        score = F.lit(k.score) + F.when(x["near"].rlike(k.context), 0.2).otherwise(0.0)
         return F.struct(
             x["start"].alias("start"), F.lit(no).alias("kind_no"), x["end"].alias("end"), F.lit(k.name).alias("kind"), x["value"].alias("value"),
             F.round(score, 2).alias("score"), F.lit(k.base).alias("base"),
@@ -118,7 +158,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     """(doc_id, spans): spans are sorted structs of start, kind_no, end, kind, value, score, base."""
     d = docs.select(F.col(doc_id).alias("doc_id"), text_of(F.col(text)).alias("_b_text"))
     d = d.withColumns({f"_b_{k.name}": matches(F.col("_b_text"), k.pattern) for k in KINDS})
-    parts = [_confirmed(no, k, F.col("_b_text"), F.col(f"_b_{k.name}")) for no, k in enumerate(KINDS)]
+    parts = [_confirmed(no, k, F.col(f"_b_{k.name}")) for no, k in enumerate(KINDS)]
     return d.select("doc_id", F.sort_array(F.concat(*parts)).alias("spans"))
 
 
