@@ -1,8 +1,9 @@
 """Lines that many documents share, by levelled sorted runs of line hashes (DataFrame functions only).
 
-A run is a table of (hash, number of documents), sorted by hash. Each batch of documents adds a run at level 0; ``fanout`` runs
-of a level are merged into one of the next, so a line is rewritten once per level and not once per batch. New batches are
-merge-joined with the runs: ``unseen`` is the anti join, ``drop_frequent`` removes lines that enough documents hold.
+A run is a table of (hash, number of documents), sorted by hash. Each batch of documents is merge-anti-joined with the runs so far: hashes that no run
+holds become a run at level 0, so every hash stands in one run; what known hashes gain is a run of increments beside them. ``fanout`` runs
+of a level are merged into one of the next, so a line is rewritten once per level and not once per batch. ``unseen`` gives the lines
+of a batch that no earlier one holds, ``drop_frequent`` removes lines that enough documents hold.
 
 Defined results: null or empty text is one empty line; empty keys (only white space) are never counted nor dropped; repeated
 rows count as documents of their own; rows with null ids are kept as they are; an empty table gives an empty result.
@@ -10,6 +11,7 @@ rows count as documents of their own; rows with null ids are kept as they are; a
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,34 +40,50 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 4, min_chars: int = 1):
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
         self.levels: list[list[str]] = [[]]
+        self.more: list[list[str]] = [[]]
 
     def _keys(self, docs: DataFrame, text: str) -> DataFrame:
         """A row for each document and different key in it."""
         keys = F.array_distinct(F.transform(lines(F.col(text)), line_key))
         return _hashed(docs.select(F.explode(keys).alias("_b_key")).filter(F.length("_b_key") >= self.min_chars), "_b_key")
 
-    def _write(self, run: DataFrame, level: int) -> None:
+    def _write(self, run: DataFrame, levels: list[list[str]], level: int) -> None:
         path = fresh_path(self.spark, f"line-run-{level}")
         run.repartitionByRange(*HASH).sortWithinPartitions(*HASH).write.parquet(path)
-        if level == len(self.levels):
-            self.levels.append([])
-        self.levels[level].append(path)
+        if level == len(levels):
+            levels.append([])
+        levels[level].append(path)
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema("_b_h1 long, _b_h2 long, _b_docs long").parquet(*paths)
 
+    def _known(self) -> DataFrame | None:
+        """The hashes of all runs, each once."""
+        paths = [p for level in self.levels for p in level]
+        return self._read(paths).select(*HASH) if paths else None
+
     def add(self, docs: DataFrame, text: str = "text") -> None:
-        """Add the run of one batch, and merge levels that are full."""
-        self._write(self._keys(docs, text).groupBy(*HASH).agg(F.count("*").alias("_b_docs")), 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self._read(full).groupBy(*HASH).agg(F.sum("_b_docs").alias("_b_docs")), level + 1)
-            level += 1
+        """Add the run of one batch: its new hashes, and what known ones gain. Levels that are full are merged."""
+        batch = self._keys(docs, text).groupBy(*HASH).agg(F.count("*").alias("_b_docs"))
+        known = self._known()
+        if known is None:
+            self._write(stage(batch, "batch"), self.levels, 0)
+        else:
+            met = stage(batch.join(known.withColumn("_b_old", F.lit(True)), HASH, "left"), "batch")
+            self._write(met.filter("_b_old is null").drop("_b_old"), self.levels, 0)
+            self._write(met.filter("_b_old").drop("_b_old"), self.more, 0)
+        for levels in (self.levels, self.more):
+            level = 0
+            while level < len(levels) and len(levels[level]) >= self.fanout:
+                full, levels[level] = levels[level], []
+                # hashes of runs differ, so they are merged as they are; increments of one hash become one
+                merged = self._read(full)
+                self._write(merged if levels is self.levels else merged.groupBy(*HASH).agg(F.sum("_b_docs").alias("_b_docs")), levels, level + 1)
+                level += 1
 
     def counts(self) -> DataFrame:
         """(hash, documents) over all runs."""
-        paths = [p for level in self.levels for p in level]
+        paths = [p for levels in (self.levels, self.more) for level in levels for p in level]
         if not paths:
             return self.spark.createDataFrame([], "_b_h1 long, _b_h2 long, _b_docs long")
         return self._read(paths).groupBy(*HASH).agg(F.sum("_b_docs").alias("_b_docs"))
@@ -77,7 +95,8 @@ class LineRuns:
     def unseen(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """(document columns, line number, line) of the batch's lines that no earlier batch holds: the merge anti join."""
         rows = docs.select(*docs.columns, F.posexplode(lines(F.col(text))).alias("line_no", "line")).withColumn("_b_key", line_key(F.col("line")))
-        return _hashed(rows, "_b_key").join(self.counts().select(*HASH), HASH, "left_anti").drop(*HASH)
+        known, rows = self._known(), _hashed(rows, "_b_key")
+        return (rows if known is None else rows.join(known, HASH, "left_anti")).drop(*HASH)
 
     def drop_frequent(self, docs: DataFrame, min_docs: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, n_lines, n_dropped, kept) for each row of ``docs``."""
@@ -97,8 +116,21 @@ class LineRuns:
         )
 
 
-def file_batches(df: DataFrame, spark: SparkSession, files_per_batch: int) -> list[DataFrame]:
-    """The table as batches of its files, as they would arrive one after the other."""
-    files = sorted(df.inputFiles())
-    reader = spark.read.schema(df.schema)
-    return [reader.parquet(*files[i:i + files_per_batch]) for i in range(0, len(files), files_per_batch)] or [df]
+def batches(df: DataFrame, parts: int) -> list[DataFrame]:
+    """A table as at most ``parts`` batches of whole files of like size, as they would arrive one after the other.
+
+    Whatever was done to ``df`` stays: a batch is ``df`` itself with a range of file names, which Spark prunes when it lists files. A frame that does not come
+    from files is one batch. The runs are read once per batch, so batches should be few and large.
+    """
+    try:
+        found = df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+    except AnalysisException:
+        return [df]
+    files = sorted((r["path"], r["bytes"]) for r in found.distinct().collect())
+    total, cuts, size = sum(b for _, b in files), [], 0
+    for i, (_, b) in enumerate(files):
+        if not cuts or size * parts >= total * len(cuts):
+            cuts.append(i)
+        size += b
+    spans = [(files[a][0], files[b - 1][0]) for a, b in zip(cuts, [*cuts[1:], len(files)])]
+    return [df.filter(F.col("_metadata.file_path").between(lo, hi)) for lo, hi in spans] or [df]

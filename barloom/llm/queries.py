@@ -17,7 +17,7 @@ log = logging.getLogger(__name__)
 # The rules that the url query applies.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 MIN_DOCS = 10
-FILES_PER_BATCH = 4
+BATCHES = 4
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,9 +65,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as files of a tree: a repository per source, a directory per language, a file per document."""
+    """Documents as files of trees: a repository per source and language, with up to two levels of directories below, a file per document at one of three depths."""
     docs = table(spark, folder, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    deep = F.pmod(F.xxhash64(F.lit("depth"), "doc_id"), F.lit(3))
+    levels = [F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.when(deep >= 1, F.expr("doc_id div 256").cast("string")), F.when(deep >= 2, F.expr("doc_id div 32").cast("string"))]
+    path = F.concat_ws("/", *levels, F.col("doc_id").cast("string"))
     found = stage(licenses.own_licenses(docs.withColumn("path", path), ["doc_id", "path"]), "licenses")
     out = licenses.inherit(found)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "path", "license", F.round("cosine", 6).alias("cosine"), "is_license_file", "inherited_license", "inherited_from")
@@ -76,7 +78,7 @@ def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     runs = line_dedup.LineRuns(spark)
-    for batch in line_dedup.file_batches(docs, spark, FILES_PER_BATCH):
+    for batch in line_dedup.batches(docs, BATCHES):
         runs.add(batch)
     out = runs.drop_frequent(docs, MIN_DOCS)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))

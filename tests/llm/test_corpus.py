@@ -417,6 +417,105 @@ def test_licenses(spark, docs, empty):
     assert got[None] == (None, None) and licenses.own_licenses(empty, ["doc_id"]).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2021 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL_HEADER = """/*
+ * frobnicate the widgets
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+""" + "\n".join(f"int widget_{i}(void) {{ return frob({i}); }}" for i in range(200))
+GPL_FILE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+""" + "\n".join(f"  {i}. Some paragraph number {i} of a very long text about covered works and propagation." for i in range(300))
+LICENSE_TEXTS = {
+    "mit/LICENSE": MIT, "gpl/COPYING": GPL_FILE, "gpl/src/deep/er/widget.c": GPL_HEADER, "gpl/src/deep/plain.c": "int x;", "gpl/README": "nothing here", "mit/a/b/c.py": "print(1)",
+    "mit/a/LICENSE": "# SPDX-License-Identifier: Apache-2.0", "mit/a/b/d.py": "x = 1\n", "free/e.py": "one. two three four. Released under the MIT License. " + "more words of its own " * 30,
+    "free/f.py": "a license to print money\nand the permission of the king", "free/g.py": None, "free/h.py": "", "quoted/late.txt": "own words here\n" * 6 + "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + "own words here\n" * 50,
+}
+
+
+def plain_licence(text, frequency, documents, least=0.8):
+    """Every window of consecutive segments against every template, vectors built anew."""
+    every = [(n, t, False) for n, ts in licenses.TEMPLATES.items() for t in ts] + [(n, t, True) for n, t in licenses.TITLES.items()]
+    known = {w for _, t, _ in every for w in licenses.tokens(t)}
+    idf = lambda w: np.log((1 + documents) / (1 + (frequency.get(w, 0) if w in known else 0))) + 1
+    parts = licenses.segments(text)
+    vector = lambda words: {w: n * idf(w) for w, n in Counter(words).items()}
+    norm = lambda v: np.sqrt(sum(x * x for x in v.values()))
+    near = [2 * sum(x * x for w, x in vector(p).items() if w in known) >= norm(vector(p)) ** 2 for p in parts]
+    goals = [(n, vector(licenses.tokens(t)), len(licenses.tokens(t)), title) for n, t, title in every]
+    best, own, titled = (0.0, ""), set(), False
+    for i in range(len(parts)):
+        for j in range(i + 1, min(len(parts), i + 60) + 1):
+            words = [w for p in parts[i:j] for w in p]
+            if not all(near[i:j]) or licenses.ANCHORS.isdisjoint(words):
+                continue
+            v = vector(words)
+            for name, t, size, title in goals:
+                cosine = sum(x * t.get(w, 0) for w, x in v.items()) / norm(v) / norm(t)
+                if cosine >= least and 0.6 * size <= len(words) <= 1.6 * size and (not title or i < licenses.TITLE_WITHIN):
+                    best, titled = max(best, (cosine, name)), titled or title
+                    own |= set(range(i, j))
+    whole = bool(own) and (titled or 2 * sum(len(parts[k]) for k in own) >= sum(map(len, parts)))
+    return best[1] or None, best[0], whole
+
+
+def test_licenses_of_headers_and_whole_files(spark):
+    df = spark.createDataFrame([(p, t) for p, t in LICENSE_TEXTS.items()], "path string, text string")
+    every = [t for ts in licenses.TEMPLATES.values() for t in ts] + list(licenses.TITLES.values())
+    frequency, documents = licenses.template_frequencies(df, "text", every)
+    assert documents == len(LICENSE_TEXTS)
+    for p, t in LICENSE_TEXTS.items():
+        for w in {w for x in every for w in licenses.tokens(x)}:
+            assert (w in licenses.tokens(t or "")) <= (frequency.get(w, 0) > 0)
+    found = {r["path"]: r for r in licenses.own_licenses(df, ["path"]).collect()}
+    for p, t in LICENSE_TEXTS.items():
+        name, cosine, whole = plain_licence(t or "", frequency, documents)
+        assert (found[p]["license"], found[p]["is_license_file"]) == (name, whole), p
+        assert found[p]["cosine"] is None if name is None else found[p]["cosine"] == pytest.approx(min(1, cosine), abs=1e-9)
+    assert {p: r["license"] for p, r in found.items() if r["license"]} == {
+        "mit/LICENSE": "MIT", "gpl/COPYING": "GPL-3.0", "gpl/src/deep/er/widget.c": "GPL-3.0", "mit/a/LICENSE": "Apache-2.0", "free/e.py": "MIT"}
+    assert {p for p, r in found.items() if r["is_license_file"]} == {"mit/LICENSE", "gpl/COPYING", "mit/a/LICENSE"}
+    out = {r["path"]: (r["inherited_license"], r["inherited_from"]) for r in licenses.inherit(licenses.own_licenses(df, ["path"])).collect()}
+    assert out["gpl/src/deep/plain.c"] == ("GPL-3.0", "gpl") and out["gpl/README"] == ("GPL-3.0", "gpl")
+    assert out["mit/a/b/c.py"] == ("Apache-2.0", "mit/a") and out["mit/a/b/d.py"] == ("Apache-2.0", "mit/a") and out["free/f.py"] == (None, None)
+
+
 # lines
 
 
@@ -443,6 +542,27 @@ def test_line_dedup(docs, rows, empty, spark):
     assert [r["line"] for r in fresh.unseen(b).collect()] == ["ef"]
 
 
+def test_batches_anti_join_the_runs(docs, rows, spark, tmp_path):
+    """Every hash stands in one run, whatever was batched before; batches keep what was done to the table."""
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    for k in range(6):
+        runs.add(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(3)) == k % 3))  # every batch comes twice
+    known = runs._known()
+    assert known.count() == known.distinct().count() and sum(map(len, runs.more)) > 0
+    twice = Counter({tuple(r)[:2]: r["_b_docs"] for r in runs.counts().collect()})
+    once = line_dedup.LineRuns(spark)
+    once.add(docs)
+    assert twice == Counter({tuple(r)[:2]: 2 * r["_b_docs"] for r in once.counts().collect()})
+
+    path = str(tmp_path / "files")
+    spark.range(1000).selectExpr("id as doc_id", "concat('line ', id % 7, '\nown ', id) as text").repartition(9).write.parquet(path)
+    part = spark.read.parquet(path).filter("doc_id % 2 = 0").select("text", "doc_id")
+    parts = line_dedup.batches(part, 4)
+    assert 2 <= len(parts) <= 4 and all(b.columns == ["text", "doc_id"] for b in parts)
+    same([r["doc_id"] for b in parts for r in b.collect()], range(0, 1000, 2))
+    assert len(line_dedup.batches(part, 1)) == 1 and line_dedup.batches(docs, 3) == [docs]
+
+
 # urls
 
 
@@ -493,3 +613,21 @@ def test_pages_meet_their_documents(spark):
     same([tuple(r) for r in got.collect()], [(f"h{i}.x", i in bad, bad.get(i)) for i in (1, 2, 3, 4, 5, 7, 8)])
     base = url_reputation.linked_pages(*(spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("pages", "documents")), spark.createDataFrame([], "doc_id long, bad double"))
     assert base.filter("not linked").count() == 0
+
+
+def test_pii_of_a_dense_text_is_not_quadratic(spark):
+    """Ten times the matches take about ten times as long; offsets stay right."""
+    import time
+
+    def run(n):
+        text = " ".join(f"u{i % 97}@h{i % 13}.de" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = pii.digest(pii.find(df)).collect()[0]
+        return text, row, time.perf_counter() - start
+
+    run(100)
+    text, row, little = run(20_000)
+    assert row["base_sha256"] == hashlib.sha256(",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text)).encode()).hexdigest()
+    _, row, much = run(200_000)
+    assert row["n_email"] == 200_000 and much < 25 * max(little, 1.0)
