@@ -8,7 +8,8 @@ shuffled by (document, period) and stitched: two that share q words or more belo
 
 A document of up to ``unit`` words is solved where its text is read. A longer one is exploded into rows of tiles, some ``unit`` words
 or one tile each, which are dealt out to all tasks. Before Z-functions are built, eight words are compared for all boundaries and periods at once, and
-only tiles with a period left are solved. Neighbouring fragments are joined before the shuffle. Texts are kept and met again only where
+only tiles with a period left are solved. Neighbouring fragments are joined before the shuffle, and those of a whole document that are too short
+are left out, since they cannot grow any more. Texts are kept and met again only where
 a fragment was found.
 
 Defined results: null or empty text has no words and no run; ids are carried along, null or repeated; repeated rows give repeated
@@ -190,7 +191,7 @@ TILE_SQL = "struct<octave: int, to: int, first: long, last: long, lo: long, code
 FRAGMENT_SQL = "struct<period: long, start: long, end: long>"
 
 
-def solved(docs: DataFrame, doc_id: str, text: str, times: int, unit: int) -> DataFrame:
+def solved(docs: DataFrame, doc_id: str, text: str, least: int, times: int, unit: int) -> DataFrame:
     """(row, doc_id, n, sha, body, fragments, tile): a row per document, with its words where a run may be, and rows of tiles of long ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +206,7 @@ def solved(docs: DataFrame, doc_id: str, text: str, times: int, unit: int) -> Da
             rows, held = [], 0
             for (row, own, code, body), found in zip(docs, solve(whole)):
                 n, digest = len(code), hashlib.sha256(body).hexdigest()
+                found = [(q, s, e) for q, s, e in found if e - s >= max(least, times * q)]  # in a whole document a joined fragment cannot grow any more
                 kept = body if found or n > unit else None
                 rows.append((row, own, n, digest, kept, [{"period": q, "start": s, "end": e} for q, s, e in found], None))
                 for k, to, a, b, lo, part in _tiles(code, times, unit) if n > unit else ():
@@ -306,7 +308,7 @@ def find_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least
     """
     if times < 4:
         raise ValueError("times: tiles are as wide as runs of four periods need")
-    found = solved(docs, doc_id, text, times, unit)
+    found = solved(docs, doc_id, text, least, times, unit)
     own = found.filter("tile is null")
     parts = own.select("row", F.explode("fragments").alias("f")).unionByName(tile_rows(found))
     runs = stitched(parts, least, times).groupBy("row").agg(F.collect_list(F.struct("start", "period", "length")).alias("runs"))

@@ -163,4 +163,49 @@ ORACLES = {
             FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.pos = x.pos GROUP BY x.doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(sha, sha256('')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
     """,
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE bits AS (SELECT range::UBIGINT AS b, 0 AS k, range::UBIGINT AS c FROM range(256) UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+        raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+        coded AS (SELECT raw.* EXCLUDE (name), xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(name, ''), lambda x: ord(x)::UBIGINT)), lambda c, b: xor(t[(xor(c, b) & 255)::BIGINT + 1], c >> 8)), 4294967295::UBIGINT) % 20 AS code FROM raw, crc),
+        hurt AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM coded, (SELECT unnest([0, 1]) AS copy) WHERE code <> 0 AND (copy = 0 OR code = 3)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+        known AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+        faults AS (
+            SELECT conv_id, turn, role, text, i, role[1] AS own, CASE WHEN body = '' THEN 'b' WHEN again THEN 'd' WHEN body[-1] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+                before IS NOT NULL AND before || role[1] NOT IN ('su', 'ua', 'au') AS illegal FROM known),
+        marks AS MATERIALIZED (SELECT * FROM faults),
+        moves(s, k, z) AS (VALUES ('', 0, ''), ('', 1, 'u'), ('', 2, 'a'), ('', 3, 'u'), ('s', 0, 's'), ('s', 1, 'u'), ('s', 2, 'a'), ('s', 3, 'u'), ('u', 0, 'u'), ('u', 1, 'a'), ('u', 2, 'u'), ('u', 3, 'a'), ('a', 0, 'a'), ('a', 1, 'u'), ('a', 2, 'a'), ('a', 3, 'u')),
+        edits(z, next) AS (VALUES ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+        best AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS i, '' AS s, 0 AS cost, '' AS audit FROM marks
+            UNION ALL
+            SELECT conv_id, i, s, cost, audit FROM (
+                SELECT m.conv_id, m.i, e.s, b.cost + 5 * v.k + e.cost AS cost, b.audit || repeat('I', v.k) || e.letter AS audit
+                FROM best b JOIN moves v ON v.s = b.s JOIN marks m ON m.conv_id IS NOT DISTINCT FROM b.conv_id AND m.i = b.i + 1 JOIN edits n ON n.z = v.z,
+                    LATERAL (
+                        SELECT v.z AS s, 2 AS cost, 'D' AS letter
+                        UNION ALL SELECT n.next, 1 + 5 * (m.fault = 't')::INT, 'R' WHERE m.fault NOT IN ('b', 'd')
+                        UNION ALL SELECT m.own, 5 * (m.fault = 't')::INT, 'K' WHERE m.fault NOT IN ('b', 'd') AND (m.own = n.next OR (m.own = 's' AND v.z = ''))) e)
+            QUALIFY row_number() OVER (PARTITION BY conv_id, i, s ORDER BY cost, audit) = 1),
+        ends AS (
+            SELECT b.conv_id, b.cost + 5 * v.k AS cost, b.audit || repeat('I', v.k) AS audit FROM best b JOIN moves v ON v.s = b.s JOIN (SELECT conv_id, max(i) AS n FROM marks GROUP BY 1) l ON l.conv_id IS NOT DISTINCT FROM b.conv_id AND l.n = b.i
+            WHERE v.z IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + 5 * v.k, b.audit || repeat('I', v.k)) = 1),
+        letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(1, len(audit) + 1)) AS p FROM ends WHERE audit <> ''),
+        steps AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS j FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+        lines AS (
+            SELECT t.conv_id, t.p, t.letter, t.j, m.role, m.text, bool_or(t.letter = 'K' AND t.j = 1 AND m.own = 's') OVER (PARTITION BY t.conv_id) AS led
+            FROM steps t LEFT JOIN marks m ON m.conv_id IS NOT DISTINCT FROM t.conv_id AND m.i = t.i AND t.letter <> 'I'),
+        repaired AS (
+            SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role ELSE CASE WHEN (j - led::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS text
+            FROM lines WHERE letter <> 'D' GROUP BY conv_id),
+        counts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal FROM marks GROUP BY 1)
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+            coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
