@@ -55,8 +55,9 @@ def chi2_scores(df: DataFrame, columns: Sequence[str], up: Column) -> DataFrame:
 
 def chi2_categorical(df: DataFrame, columns: Sequence[str], up: Column, share: float = 0.1) -> list[str]:
     """Columns with a value among the top ``share`` of all values by chi-square."""
-    scores = [(r.column, r.chi2) for r in chi2_scores(df, columns, up).orderBy(F.col("chi2").desc(), "column", "value").collect()]
-    top = {c for c, _ in scores[:max(1, int(share * len(scores)))]}
+    scores = stage(chi2_scores(df, columns, up), "scores")
+    first = scores.orderBy(F.col("chi2").desc(), "column", "value").limit(max(1, int(share * scores.count())))
+    top = {r.column for r in first.select("column").distinct().collect()}  # column names, not values
     return [c for c in columns if c in top]
 
 

@@ -30,11 +30,14 @@ def train_flag(df: DataFrame, g: Grid, share: float = 0.85) -> DataFrame:
     return row_numbers(df, g, "_rn", "_n").withColumn("_train", F.col("_rn") <= F.floor(F.col("_n") * share + 1e-9)).drop("_rn", "_n")
 
 
-def categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
-    """Known values of each categorical column (short lists)."""
+def categories(df: DataFrame, cols: Sequence[str], most: int = 10_000) -> dict[str, list[str]]:
+    """Known values of each categorical column. Each becomes a column, so more than ``most`` are refused before any comes to the driver."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("_x")).select("_x.*")
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in long.where("v is not null").distinct().orderBy("c", "v").collect():
+    found = stage(long.where("v is not null").distinct(), "categories")
+    if (n := found.count()) > most:
+        raise ValueError(f"{n} values in {list(cols)} are more than {most}: not categories")
+    for r in found.orderBy("c", "v").collect():
         out[r.c].append(r.v)
     return out
 

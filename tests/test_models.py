@@ -264,3 +264,10 @@ def test_boruta_rejects_noise_and_ends_early(data):
     found = se.boruta_select(data, ["series", "ts"], ["a", "c"], "y", rounds=12, trees=5, depth=3)
     assert found["a"][1] == "accepted" and found["a"][0] < 12 and found["c"][1] == "rejected"
     assert se.boruta_select(data.limit(0), ["series", "ts"], ["a"], "y", rounds=3) == {"a": (0, "tentative")}
+
+
+def test_too_many_values_are_no_categories(spark):
+    df = spark.range(30).selectExpr("cast(id as string) as c", "id % 2 as d")
+    assert {k: len(v) for k, v in tr.categories(df, ["c", "d"]).items()} == {"c": 30, "d": 2}
+    with pytest.raises(ValueError):
+        tr.categories(df, ["c", "d"], most=31)
