@@ -256,6 +256,7 @@ def kendall_exact(df: DataFrame, features: Sequence[str], target: str, parts: in
     of the target whose feature ranges differ are counted there, with range numbers in place of values. No task sees a whole feature unless a value
     holds its rows, and ranges of one value have ties only.
     """
+    parts = max(2, parts)
     long = df.select(F.col(target).cast("double").alias("_y"), *[F.col(f).cast("double").alias(f) for f in features]).unpivot(["_y"], list(features), "feature", "_x")
     pairs = stage(long.where("_x is not null and _y is not null and not isnan(_x) and not isnan(_y)").groupBy("feature", "_x", "_y").agg(F.count(F.lit(1)).alias("_n")), "pairs")
     placed = pairs
@@ -288,6 +289,7 @@ def two_sample_ks_exact(df: DataFrame, features: Sequence[str], target: str, par
 
     Equal values are counted first; running counts are taken inside ``parts`` ranges of the target, on top of the counts of the ranges before.
     """
+    parts = max(2, parts)
     ends = df.agg(*[F.min(f).alias(f"lo{i}") for i, f in enumerate(features)]).first()
     marked = df.select(F.col(target).cast("double").alias("_y"), *[(F.col(f) > F.lit(ends[f"lo{i}"])).cast("int").alias(f) for i, f in enumerate(features)])
     long = marked.unpivot(["_y"], list(features), "feature", "_b").where("_y is not null and not isnan(_y) and _b is not null")
