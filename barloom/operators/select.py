@@ -16,6 +16,7 @@ from barloom.functions import stats
 from barloom.functions.scalars import normal_cdf
 from barloom.operators.aggregate import above_quantile, correlations, exact_quantiles, pair_correlations
 from barloom.operators.forecast import assemble, repeatable
+from barloom.operators.grouped import bucketed
 from barloom.session import stage
 from barloom.sources.ingest import key_uniform
 
@@ -426,21 +427,26 @@ def decide(hits: dict[str, int], undecided: Sequence[str], n: int, alpha: float)
 
 
 def permuted(df: DataFrame, n: int, seed: int, row: str = "_row", vector: str = "_x", name: str = "_shadow") -> DataFrame:
-    """Row i with the vector of row (a * i + b) mod n, a bijection keyed by ``seed``: one join, whatever the number of features."""
+    """Row i with the vector of row (a * i + b) mod n, a bijection keyed by ``seed``: one join, whatever the number of features.
+
+    The inverse bijection says which row each vector goes to, so only vectors travel when ``df`` is bucketed by ``row``. The join stays a merge
+    join, whose partitions are those of ``row``.
+    """
     rnd = random.Random(seed)
     a = next(k for k in iter(lambda: rnd.randrange(1, max(2, n)), None) if math.gcd(k, n) == 1) if n > 1 else 1
     b = rnd.randrange(max(1, n))
-    other = df.select(F.col(row).alias("_from"), F.col(vector).alias(name))
-    to = F.expr(f"cast((cast({a} as decimal(38,0)) * {row} + {b}) % {max(1, n)} as bigint)")
-    return df.withColumn("_from", to).join(other, "_from").drop("_from")
+    back = pow(a, -1, max(1, n))
+    wide = "bigint" if n < 1 << 31 else "decimal(38,0)"  # back * (row + n) fits
+    to = F.expr(f"cast((cast({back} as {wide}) * ({row} + {n - b})) % {max(1, n)} as bigint)")
+    return df.join(df.select(to.alias(row), F.col(vector).alias(name)).hint("merge"), row)
 
 
 def boruta_select(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, rounds: int | None = None, alpha: float = 0.05, seed: int = 7,
                   trees: int = 10, depth: int = 4) -> dict[str, tuple[int, str]]:
     """Features that beat the best shadow more often than chance: ``{feature: (hits, decision)}``.
 
-    Feature vectors are written once with row numbers in hash order. A round gives every row the vector of another row as its shadows and fits one forest
-    on both; a feature has a hit when it matters more than every shadow. After each round features are accepted and rejected by binomial tests with two corrections
+    Feature vectors are written once with row numbers in hash order, bucketed by them. A round sends every row the vector of another row as its shadows (one
+    shuffle), keeps both while it fits one forest on them, and lets go of them; a feature has a hit when it matters more than every shadow. After each round features are accepted and rejected by binomial tests with two corrections
     (see ``decide``); rejected ones and their shadows leave the pool, and the search ends when none is undecided or after ``rounds`` (default 30). Hits are those
     until the decision.
     """
@@ -451,17 +457,18 @@ def boruta_select(df: DataFrame, keys: Sequence[str], features: Sequence[str], t
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = u.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy("_u", *keys))
-    staged = stage(u.withColumn("_rn", inside).join(offsets, "_part").select((F.col("_rn") + F.col("_off") - 1).alias("_row"), "_y", "_x"), "vectors")
+    numbered = u.withColumn("_rn", inside).join(offsets, "_part").select((F.col("_rn") + F.col("_off") - 1).alias("_row"), "_y", "_x")
+    staged = bucketed(numbered, ["_row"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "vectors")
     n = staged.count()
     hits, decision, pool = dict.fromkeys(features, 0), {}, list(features)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for r in range(1, rounds + 1):
         if n < 2 or len(decision) == len(features):
             break
         at = [features.index(f) for f in pool]
-        both = permuted(staged, n, seed * 1000 + r).select("_row", "_y", F.array(*[F.col("_x")[i] for i in at], *[F.col("_shadow")[i] for i in at]).alias("_v"))
-        data = both.repartition(parts, "_row").sortWithinPartitions("_row").select("_y", array_to_vector("_v").alias("_x"))
+        both = permuted(staged, n, seed * 1000 + r).sortWithinPartitions("_row")
+        data = both.select("_y", array_to_vector(F.array(*[F.col("_x")[i] for i in at], *[F.col("_shadow")[i] for i in at])).alias("_x")).persist()  # a fit reads its rows three times
         model = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed + r).fit(data)
+        data.unpersist()
         weight = [float(v) for v in model.featureImportances.toArray()]
         best = max(weight[len(pool):])
         for f, v in zip(pool, weight):

@@ -260,6 +260,20 @@ def test_permuted_rows_are_a_bijection(spark):
     assert sorted(one.values()) == [float(i) for i in range(101)] and one != two and sum(k == v for k, v in one.items()) < 10
 
 
+def test_a_round_of_shadows_is_one_shuffle_and_each_row_keeps_its_partition(spark):
+    from barloom.operators.grouped import bucketed
+    df = spark.range(1000).select(F.col("id").alias("_row"), F.array(F.col("id").cast("double")).alias("_x"))
+    out = se.permuted(bucketed(df, ["_row"], 4, "vectors"), 1000, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 1
+    got = {(r["_row"], r.p, r["_shadow"][0]) for r in out.withColumn("p", F.spark_partition_id()).collect()}
+    rnd = random.Random(3)
+    a = next(k for k in iter(lambda: rnd.randrange(1, 1000), None) if math.gcd(k, 1000) == 1)
+    b = rnd.randrange(1000)
+    home = {r["_row"]: r.p for r in df.repartition(4, "_row").withColumn("p", F.spark_partition_id()).collect()}
+    assert got == {(i, home[i], float((a * i + b) % 1000)) for i in range(1000)}
+
+
 def test_boruta_settles_a_signal_early(data):
     # noise beats both shadows in a third of the rounds, which takes more of them to reject
     found = se.boruta_select(data, ["series", "ts"], ["a", "c"], "y", rounds=12, trees=5, depth=3)
