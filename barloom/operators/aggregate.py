@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.session import stage
+from barloom.session import join_staged, stage
 
 
 def band_thresholds(df: DataFrame, keys: Sequence[str], cols: Sequence[str], z: float = 1.96) -> DataFrame:
@@ -64,13 +64,43 @@ def value_ranks(df: DataFrame, keys: Sequence[str], col: str, parts: int = 64) -
     return ranked.select(*keys, "_v", (last - F.col("_n") + 1).alias("_first"), last.alias("_last"), "_total")
 
 
+SKETCH = 10_000  # accuracy of the sketch that proposes where to look for a rank
+
+
+def ranks_near(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], accuracy: int = SKETCH) -> DataFrame:
+    """The rows of ``value_ranks`` that hold the ranks of the quantiles ``qs``, and few others.
+
+    A bounded sketch proposes two cuts around each quantile. One pass counts exactly what lies at the cuts and between them, which says in which of
+    these ranges the wanted ranks are; only the values there are counted one by one and ranked. Nothing else is shuffled, and a sketch that misses makes
+    ranges longer, not results wrong.
+    """
+    rows = stage(df.where(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("_v")), "values")
+    near = sorted({min(1.0, max(0.0, q + d)) for q in qs for d in (-2 / accuracy, 2 / accuracy)})
+    cuts = rows.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", near, accuracy))).alias("_cuts"))
+    at = [F.get("_cuts", F.lit(i)) for i in range(len(near))]  # a lambda over the cuts would cost more than all else
+    below = sum((F.coalesce((c < F.col("_v")).cast("int"), F.lit(0)) for c in at), F.lit(0))
+    equal = F.coalesce(F.greatest(*[(c == F.col("_v")).cast("int") for c in at]), F.lit(0))
+    placed = join_staged(rows, cuts, keys).withColumn("_part", 2 * below + equal).drop("_cuts")
+    by_part = [*keys, "_part"]
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(*by_part).agg(F.count(F.lit(1)).alias("_m")).select(
+        *by_part, "_m", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_off"), F.sum("_m").over(Window.partitionBy(*keys)).alias("_total"))
+    holds = lambda rank: (rank >= F.col("_off")) & (rank < F.col("_off") + F.col("_m"))
+    spots = F.array(*[(F.col("_total") - 1) * F.lit(float(q)) for q in qs])
+    wanted = sizes.where(F.exists(spots, lambda p: holds(F.floor(p)) | holds(F.ceil(p)))).drop("_m")
+    counts = join_staged(placed, wanted, by_part).groupBy(*by_part, "_off", "_total", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(*by_part).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.col("_off") + F.col("_cum") - 1
+    return counts.withColumn("_cum", F.sum("_n").over(inside)).select(*keys, "_v", (last - F.col("_n") + 1).alias("_first"), last.alias("_last"), "_total")
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, qs: Sequence[float], parts: int = 64) -> DataFrame:
     """Linear-interpolated quantiles, exact, as array ``quantiles`` per key.
 
     ``percentile`` would hold every distinct value of a hot key in one task; this picks the wanted ranks
-    from ``value_ranks``.
+    from ``ranks_near``, or for many quantiles from ``value_ranks``.
     """
-    ranked = value_ranks(df, keys, col, parts)
+    ranked = ranks_near(df, keys, col, qs) if len(qs) <= 4 else value_ranks(df, keys, col, parts)
     spots = F.transform(F.array(*[F.lit(float(q)) for q in qs]), lambda q, i: F.struct(i.alias("i"), ((F.col("_total") - 1) * q).alias("p")))
     covers = lambda rank: (rank >= F.col("_first")) & (rank <= F.col("_last"))
     hits = ranked.select(*keys, "_v", "_first", "_last", F.explode(F.filter(
@@ -93,11 +123,13 @@ def most_frequent(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
 def imputer_statistics(df: DataFrame, numbers: Sequence[str], strings: Sequence[str]) -> DataFrame:
     """One row per column: median of numbers, most frequent string."""
     whole = df.withColumn("_all", F.lit(1))
-    parts = [
-        exact_quantiles(whole, ["_all"], c, [0.5]).select(
-            F.lit(c).alias("column"), F.col("quantiles")[0].alias("number"), F.lit(None).cast("string").alias("text"))
-        for c in numbers
-    ] + [
+    parts = []
+    if numbers:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in numbers]).unpivot([], list(numbers), "column", "_x")
+        found = exact_quantiles(long, ["column"], "_x", [0.5])
+        names = df.sparkSession.createDataFrame([(c,) for c in numbers], "column string")
+        parts.append(names.join(found, "column", "left").select("column", F.col("quantiles")[0].alias("number"), F.lit(None).cast("string").alias("text")))
+    parts += [
         most_frequent(whole, ["_all"], c).select(
             F.lit(c).alias("column"), F.lit(None).cast("double").alias("number"), F.col(c).alias("text"))
         for c in strings

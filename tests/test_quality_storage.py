@@ -62,6 +62,29 @@ def test_exact_quantiles_with_a_hot_key(spark, parts):
     assert got["hot"] == pytest.approx(list(np.quantile(hot, qs))) and got["cold"] == pytest.approx(list(np.quantile(cold, qs)))
 
 
+@pytest.mark.parametrize("accuracy", [4, 1000])
+def test_only_values_near_the_wanted_ranks_are_ranked(spark, accuracy):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    some = {"flat": rng.normal(0, 1, 20001), "ties": np.r_[np.zeros(9000), rng.normal(0, 1, 11000)], "two": np.array([1.0, 2.0]), "one": np.array([7.0]), "same": np.full(50, 3.0)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in some.items() for v in vs] + [("one", None), ("null", None)], "k string, x double").repartition(3)
+    qs = [0.0, 0.37, 0.5, 1.0]
+    near = ag.ranks_near(df, ["k"], "x", qs, accuracy)
+    if accuracy == 1000:  # 31001 values of five keys
+        assert near.count() < 2000
+    rank = {k: np.sort(v) for k, v in some.items()}
+    for r in near.collect():
+        assert r["_total"] == len(some[r.k]) and (rank[r.k][r["_first"]:r["_last"] + 1] == r["_v"]).all() and (rank[r.k] == r["_v"]).sum() == r["_last"] - r["_first"] + 1
+    got = {r.k: r.quantiles for r in ag.exact_quantiles(df, ["k"], "x", qs).collect()}
+    assert got.keys() == some.keys() and all(got[k] == pytest.approx(list(np.quantile(v, qs)), abs=1e-12) for k, v in some.items())
+
+
+def test_imputer_statistics_of_a_column_without_values(spark):
+    df = spark.createDataFrame([(1.0, None, "b"), (4.0, None, "a"), (2.0, None, None)], "x double, y double, s string")
+    got = {r["column"]: (r.number, r.text) for r in ag.imputer_statistics(df, ["x", "y"], ["s"]).collect()}
+    assert got == {"x": (2.0, None), "y": (None, None), "s": (None, "a")}
+
+
 def test_tail_rows_long_and_short(spark):
     df = spark.createDataFrame([("a", t, i) for i, t in enumerate(hours(1500))], "series string, ts timestamp_ntz, i int")
     for n in (5, 1200):
