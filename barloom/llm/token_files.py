@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,14 +36,34 @@ WIDTHS = [60 // c for c in COUNTS]
 MASK60 = np.uint64((1 << 60) - 1)
 
 
-def _sliding_max(x: np.ndarray, size: int) -> np.ndarray:
-    """Largest of the next ``size`` values, by doubling; values behind the end do not count as any."""
-    out, have = x, 1
-    while have < size:
-        step = min(have, size - have)
-        out = np.maximum(out, np.r_[out[step:], np.zeros(min(step, len(out)), out.dtype)])
-        have += step
-    return out
+BITS = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)  # of every value of 16 bits
+
+
+def _sliding_max(x: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """Largest of the next values, for several window sizes that share their doublings; values behind the end do not count as any."""
+    def joined(y: np.ndarray, step: int) -> np.ndarray:
+        out = y.copy()
+        if step:
+            np.maximum(out[:-step], y[step:], out=out[:-step])
+        return out
+
+    doubled = {1: x}
+    while max(doubled) * 2 <= max(sizes):
+        doubled[max(doubled) * 2] = joined(doubled[max(doubled)], max(doubled))
+    return {c: joined(doubled[1 << c.bit_length() - 1], c - (1 << c.bit_length() - 1)) for c in sizes}
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits of each value, exactly."""
+    if values.max() < len(BITS):
+        return BITS[values]
+    bits = np.zeros(len(values), np.uint8)
+    rest = values.copy()
+    for s in (32, 16, 8, 4, 2, 1):
+        big = rest >> np.uint64(s) > 0
+        bits[big] += s
+        rest = np.where(big, rest >> np.uint64(s), rest)
+    return bits + (rest > 0).astype(np.uint8)
 
 
 def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -51,19 +72,11 @@ def encode(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     values = np.asarray(values, np.uint64)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    # bits of each value, exactly
-    bits = np.zeros(n, np.uint8)
-    rest = values.copy()
-    for s in (32, 16, 8, 4, 2, 1):
-        big = rest >> np.uint64(s) > 0
-        bits[big] += s
-        rest = np.where(big, rest >> np.uint64(s), rest)
-    bits += (rest > 0).astype(np.uint8)
     room = np.minimum(block - np.arange(n) % block, n - np.arange(n))  # a word ends with its block
     choice = np.zeros(n, np.uint8)
+    most = _sliding_max(_bits(values), COUNTS)
     for sel in range(len(COUNTS), 0, -1):
-        fits = (_sliding_max(bits, COUNTS[sel - 1]) <= WIDTHS[sel - 1]) & (room >= COUNTS[sel - 1])
-        choice[fits] = sel
+        np.copyto(choice, sel, where=(most[COUNTS[sel - 1]] <= WIDTHS[sel - 1]) & (room >= COUNTS[sel - 1]))
     jump = np.array([1] + COUNTS, np.int64)[choice]
     # follow the words of all blocks side by side
     starts = np.arange(0, n, block)
@@ -130,7 +143,7 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 ODD, PARTED = re.compile("[\x1c-\x1f]"), re.compile(r"[^ \t-\r]+")
-STRINGS, PIECES_KEPT = 1_600_000, 1_000_000  # entries a worker remembers; then it starts anew
+STRINGS = 1_390_000  # strings and pieces a worker remembers; then it starts anew. The table of a dict doubles at 1,398,101
 
 
 def byte_letters() -> dict[int, int]:
@@ -159,8 +172,8 @@ class Encoder:
     """Texts to ids (little-endian uint32 bytes) with a tokenizer whose pieces never cross white space.
 
     Each string between white space is encoded once per worker and looked up afterwards. Strings of ``PLAIN`` characters are cut into
-    the tokenizer's own pieces first, so that a word is encoded once for all the punctuation and capitals around it; any other
-    string goes through the whole tokenizer.
+    the tokenizer's own pieces first, so that a word is encoded once for all the punctuation and capitals around it (a piece is a string of
+    its own, so one memo holds both); any other string goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -169,16 +182,20 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.strings = _Memo(self._piece, PIECES_KEPT), _Memo(self._string, STRINGS)
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+        self.strings = _Memo(self._string, STRINGS)
 
     def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)  # only PLAIN characters get here
+        ids = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _string(self, s: str) -> bytes:
-        if PLAIN.fullmatch(s) and not any(x in s for x in self.special):
-            return b"".join(map(self.pieces.__getitem__, PIECES.findall(s.lower())))
+        if (s.isascii() and s.isprintable() or PLAIN.fullmatch(s)) and not self.special.search(s):
+            low = s.lower()
+            pieces = [low] if s.isalpha() else PIECES.findall(low)  # a string of letters is one piece
+            return self._piece(s) if pieces == [s] else b"".join(map(self.strings.__getitem__, pieces))
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
@@ -198,6 +215,7 @@ def encoder(path: str) -> Encoder:
 
 
 FILE_SCHEMA = "part int, first long, n_ids long, doc_ids binary, lengths binary, length_offsets binary, words binary, offsets binary, nulls binary"
+FILE_ROW = pa.schema([(name, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[kind]) for name, kind in (c.split() for c in FILE_SCHEMA.split(", "))])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -207,24 +225,24 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: s
     d = d.select("part", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "_b_text")
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         ids: list[int] = []
         nulls: list[bool] = []
         parts: list[bytes] = []
         size = first = part = 0
 
-        def segment() -> pd.DataFrame:
+        def segment() -> pa.RecordBatch:
             words, offsets = encode(np.frombuffer(b"".join(parts), "<u4").astype(np.uint64))
             lengths, length_offsets = encode(np.array([len(p) // 4 for p in parts], np.uint64))
             row = {
                 "part": part, "first": first, "n_ids": size, "doc_ids": np.array(ids, "<i8").tobytes(), "lengths": lengths.astype("<u8").tobytes(),
                 "length_offsets": length_offsets.astype("<i8").tobytes(), "words": words.astype("<u8").tobytes(), "offsets": offsets.astype("<i8").tobytes(), "nulls": bytes(nulls),
             }
-            return pd.DataFrame([row])
+            return pa.RecordBatch.from_pylist([row], FILE_ROW)
 
-        for pdf in batches:
-            for part, i, none, t in zip(pdf["part"], pdf["doc_id"], pdf["none"], pdf["_b_text"], strict=True):
+        for batch in batches:
+            for part, i, none, t in zip(*[batch.column(c).to_pylist() for c in ("part", "doc_id", "none", "_b_text")], strict=True):
                 coded = enc(t) + end
                 ids.append(i)
                 nulls.append(none)
@@ -236,7 +254,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, doc_id: s
         if ids:
             yield segment()
 
-    d.mapInPandas(run, FILE_SCHEMA).write.parquet(path)
+    d.mapInArrow(run, FILE_SCHEMA).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -245,20 +263,23 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     sums = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                ids = np.frombuffer(r.doc_ids, "<i8")
-                lengths = decode(np.frombuffer(r.lengths, "<u8"), np.frombuffer(r.length_offsets, "<i8"), len(ids)).astype(np.int64)
-                tokens = decode(np.frombuffer(r.words, "<u8"), np.frombuffer(r.offsets, "<i8"), r.n_ids).astype("<u4").tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part, first, n = (batch.column(c)[i].as_py() for c in ("part", "first", "n_ids"))
+                ids, lengths, at, words, offsets, nulls = (
+                    np.frombuffer(batch.column(c)[i].as_buffer(), kind)
+                    for c, kind in (("doc_ids", "<i8"), ("lengths", "<u8"), ("length_offsets", "<i8"), ("words", "<u8"), ("offsets", "<i8"), ("nulls", np.bool_)))
+                lengths = decode(lengths, at, len(ids)).astype(np.int64)
+                tokens = memoryview(decode(words, offsets, n).astype("<u4").tobytes())
                 end = np.cumsum(lengths)
                 start = end - lengths
-                yield pd.DataFrame({
-                    "part": r.part, "doc_id": pd.array(ids, "Int64").copy() if not any(r.nulls) else pd.array([None if z else i for i, z in zip(ids.tolist(), r.nulls, strict=True)], "Int64"),
-                    "at": start + r.first, "n_tokens": lengths, "ids_crc32": [zlib.crc32(tokens[4 * a:4 * b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)],
-                })
+                crc = [zlib.crc32(tokens[4 * a:4 * b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(ids), part, np.int32)), pa.array(ids, mask=nulls), pa.array(start + first), pa.array(lengths), pa.array(crc, pa.int64())],
+                    ["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    docs = files.mapInPandas(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    docs = files.mapInArrow(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(sums), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -334,6 +334,32 @@ def test_simple8b_round_trip():
             assert (token_files.decode(words, offsets, n) == v).all()
 
 
+def test_windows_of_all_sizes_share_their_maxima():
+    rnd = np.random.default_rng(4)
+    for n in (1, 2, 31, 60, 61, 300):
+        x = rnd.integers(0, 65, n).astype(np.uint8)
+        got = token_files._sliding_max(x, token_files.COUNTS)
+        assert {c: m.tolist() for c, m in got.items()} == {c: [int(x[i:i + c].max()) for i in range(n)] for c in token_files.COUNTS}
+    for top in (0, 65535, 65536, (1 << 64) - 1):
+        v = np.array([0, 1, 2, 3, 4, top], np.uint64)
+        assert token_files._bits(v).tolist() == [int(x).bit_length() for x in v]
+
+
+def test_strings_of_one_piece_are_not_cut(monkeypatch):
+    enc = token_files.Encoder(tokenizer_path())
+
+    class Cut:
+        def findall(self, s):
+            raise AssertionError(s)
+
+    monkeypatch.setattr(token_files, "PIECES", Cut())
+    for s in ("word", "WORD", "Éclair", "ÀÖØÞß", "a"):
+        assert np.frombuffer(enc(s), "<u4").tolist() == enc.tokenizer.encode(s, add_special_tokens=False).ids
+    monkeypatch.undo()
+    for s in ("it's", "a1", "x<|endoftext|>y", "<|startoftext|>", "a\x7fb", "\x00a", "÷×", "ª", "don't!", "É9é"):
+        assert np.frombuffer(enc(s), "<u4").tolist() == enc.tokenizer.encode(s, add_special_tokens=False).ids
+
+
 def test_encoder_equals_the_tokenizer(rows):
     enc = token_files.Encoder(tokenizer_path())
     for t in [t for _, t, _ in rows] + ["É ẞ İ Σς ﬁ ª² ×÷ a×b", "á ́x x", "'LL 'Ve x'D 's", "a\x1cb \x1f c", "​﻿ x"]:
