@@ -3,11 +3,12 @@
 Each text is its set of word shingles, with two kinds of fingerprints: ``tables`` bucket keys of ``rows`` minima of the set each (two
 texts of similarity s share one with probability 1 - (1 - s^rows)^tables, 0.9998 at 0.8), and a 64-bit SimHash of the set. Texts that
 meet in a bucket are compared bit-sliced within ``radius`` bits of SimHash (similarity 0.8 is about 10 bits), and each pair within it
-that is not yet connected is confirmed by the Jaccard similarity of the sets. Only confirmed pairs are links.
+that is not yet connected is confirmed by the Jaccard similarity of the sets. Only confirmed pairs are links. In a large group a set meets
+all its open partners at once: the group's hashes are numbered, and one pass over the partners counts what they share.
 
 Only different sets are compared. A bucket of more than ``chunk`` sets is compared chunk by chunk, as in ``simhash.links``; a task returns a
 spanning forest of the confirmed links. Sets are made anew only for texts that meet another, and after the first ``early`` tables travel only to
-buckets whose texts are not yet all connected.
+buckets whose texts are not yet all connected, where pairs of one component are not compared again.
 
 Defined results: a text of fewer words than a shingle is one shingle; null texts and texts without words are alike; null ids take
 part, the row kept is the one with the smallest id that is not null; repeated rows are one; an empty table gives an empty result.
@@ -19,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import row_key, stage
 from barloom.llm.graph import components
-from barloom.llm.simhash import LOWERED, _roots, close_lanes, planes_of
+from barloom.llm.simhash import LOWERED, close_lanes, planes_of
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 HELD = 32 << 20  # bytes of sets that a task holds before it compares them
+FEW = 8  # open partners up to which pairs are compared one by one
 
 
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
@@ -80,35 +83,81 @@ def sketches(keyed: DataFrame, text: str, shingle: int, tables: int, rows: int)
     """doc_id, _b_k1, _b_k2, node (64 bits that stand for the set), fp, keys (one per table)."""
     minhash = MinHash(tables, rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1024):
-                part = pdf.iloc[lo:lo + 1024]
-                sets = [shingle_set(t if isinstance(t, str) else None, shingle) for t in part["_b_text"]]
-                out = part[["doc_id", "_b_k1", "_b_k2"]].copy()
-                out["node"] = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                out["fp"] = np.array([simhash_of(s) for s in sets], np.uint64).view(np.int64)
-                out["keys"] = [minhash.keys(s) for s in sets]
-                yield out
-
-    # nullable longs would reach pandas as floats: ids travel as strings
-    d = keyed.select(F.col("doc_id").cast("string").alias("doc_id"), "_b_k1", "_b_k2", F.col(text).cast("string").alias("_b_text"))
-    out = d.mapInPandas(run, "doc_id string, _b_k1 long, _b_k2 long, node long, fp long, keys array<long>")
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
-def confirmed(group: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> list[tuple[int, int]]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                sets = [shingle_set(t, shingle) for t in part.column("_b_text").to_pylist()]
+                node = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                fp = np.array([simhash_of(s) for s in sets], np.uint64).view(np.int64)
+                keys = [minhash.keys(s) for s in sets]
+                keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys)))
+                columns = [part.column(c) for c in ("doc_id", "_b_k1", "_b_k2")]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(node), pa.array(fp), keys], ["doc_id", "_b_k1", "_b_k2", "node", "fp", "keys"])
+
+    d = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_b_k1", "_b_k2", F.col(text).cast("string").alias("_b_text"))
+    return d.mapInArrow(run, "doc_id long, _b_k1 long, _b_k2 long, node long, fp long, keys array<long>")
+
+
+class Shared:
+    """How many hashes a set shares with each of others of its group, counted over the numbered hashes of the group."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.start = np.r_[0, np.cumsum(self.size)]
+        self.code = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        self.mark = np.zeros(int(self.code.max(initial=-1)) + 1, bool)
+
+    def jaccard(self, x: int, others: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+        """As ``jaccard`` of set ``x`` with each of ``others``."""
+        own = self.code[self.start[x]:self.start[x + 1]]
+        self.mark[own] = True
+        size = self.size[others]
+        end = np.cumsum(size)
+        both = np.zeros(len(others), np.int64)
+        lo = 0
+        while lo < len(others):
+            hi = max(lo + 1, int(np.searchsorted(end, end[lo] - size[lo] + step, "right")))
+            n = size[lo:hi]
+            at = np.repeat(self.start[others[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            total = np.r_[0, np.cumsum(self.mark[self.code[at]], dtype=np.int64)]
+            both[lo:hi] = np.diff(total[np.r_[0, np.cumsum(n)]])
+            lo = hi
+        self.mark[own] = False
+        every = len(own) + size - both
+        return np.where(every > 0, both / np.maximum(every, 1), 1.0)
+
+
+def confirmed(group: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list[np.ndarray], radius: int, least: float, root: np.ndarray) -> list[tuple[int, int]]:
     """Row pairs that connect all pairs of similarity ``least`` or more within ``radius`` bits inside each group (rows sorted by group).
 
-    ``side``: as in ``simhash.forest``.
+    ``side``: as in ``simhash.forest``. Rows of a group with one ``root`` are connected already.
     """
     n = len(fp)
-    label = np.arange(n)
     found: list[tuple[int, int]] = []
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, n]))
+    ends = np.r_[starts[1:], n]
+    of = np.repeat(np.arange(len(starts)), ends - starts)
+    # the least row of each component of a group stands for it
+    order = np.lexsort((root, of))
+    new = np.r_[True, (of[order][1:] != of[order][:-1]) | (root[order][1:] != root[order][:-1])]
+    label = np.zeros(n, np.int64)
+    label[order] = order[new][np.cumsum(new) - 1]
+    shared: tuple[int, Shared | None] = (-1, None)  # of the last large group
+
+    def similar(x: int, others: np.ndarray) -> np.ndarray:
+        """Which of ``others``, rows of the group of ``x``, are similar to it."""
+        nonlocal shared
+        g = of[x]
+        lo, hi = starts[g], ends[g]
+        if len(others) > FEW and shared[0] != g:
+            shared = (g, Shared(sets[lo:hi]) if 8 * sum(map(len, sets[lo:hi])) <= HELD else None)
+        if len(others) > FEW and shared[1]:
+            return shared[1].jaccard(x - lo, others - lo) >= least
+        return np.array([jaccard(sets[x], sets[y]) >= least for y in others], bool)
+
     lane_rows, query_rows = np.flatnonzero(side != 1), np.flatnonzero(side != 2)
     g = of[lane_rows]
     first = np.r_[True, g[1:] != g[:-1]] if len(g) else np.zeros(0, bool)
@@ -134,12 +183,20 @@ def confirmed(group: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list[np
             r, l = np.nonzero(near)
             a, b = q_hit[s:s + 1024][r], member[b_hit[s:s + 1024][r], l]
             # a pair meets twice where a group is compared with itself
-            open_pairs = np.flatnonzero((label[a] != label[b]) & ((a < b) | (side[a] != 0)))
-            for k in open_pairs:
-                x, y = int(a[k]), int(b[k])
-                if label[x] != label[y] and jaccard(sets[x], sets[y]) >= least:
-                    found.append((x, y))
-                    label = _roots(n, np.array([x]), np.array([y]), label)
+            open_pairs = (label[a] != label[b]) & ((a < b) | (side[a] != 0))
+            a, b = a[open_pairs], b[open_pairs]
+            cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True]) if len(a) else []
+            for u, v in zip(cuts, cuts[1:]):
+                x, others = int(a[u]), b[u:v]
+                # the first ones alone, as one link often joins many
+                for part in (others[:FEW], others[FEW:]):
+                    part = part[label[part] != label[x]]
+                    mine = label[starts[of[x]]:ends[of[x]]]
+                    for y in part[similar(x, part)]:
+                        p, q = label[x], label[y]
+                        if p != q:
+                            found.append((x, int(y)))
+                            mine[mine == max(p, q)] = min(p, q)
         i = j
     return found
 
@@ -147,15 +204,14 @@ def confirmed(group: np.ndarray, side: np.ndarray, fp: np.ndarray, sets: list[np
 def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
     """(node, fp, _b_text) rows to (node, fp, hashes): the set, 8 bytes a shingle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1024):
-                part = pdf.iloc[lo:lo + 1024]
-                out = part[["node", "fp"]].copy()
-                out["hashes"] = [shingle_set(t if isinstance(t, str) else None, shingle).tobytes() for t in part["_b_text"]]
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                hashes = pa.array([shingle_set(t, shingle).tobytes() for t in part.column("_b_text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("fp"), hashes], ["node", "fp", "hashes"])
 
-    return texts.mapInPandas(run, "node long, fp long, hashes binary")
+    return texts.mapInArrow(run, "node long, fp long, hashes binary")
 
 
 def meetings(reps: DataFrame, chunk: int) -> DataFrame:
@@ -169,12 +225,12 @@ def meetings(reps: DataFrame, chunk: int) -> DataFrame:
 
 
 def links(met: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFrame:
-    """Meetings and their sets (node, fp, hashes) to links (a, b) that connect all similar pairs of a group."""
+    """Meetings (node, g, s, root) and their sets (node, fp, hashes) to links (a, b) that, with what connects nodes of one root, connect all similar pairs of a group."""
     # groups of the same sets (near copies meet in most tables) are compared once
     same = met.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(i), "node", "s").cast("decimal(38,0)")).alias(f"m{i}") for i in (0, 1)])
     once = same.groupBy("n", "m0", "m1").agg(F.min("g").alias("g")).select("g")
     rows = met.join(once, "g", "left_semi").join(sets, "node")
-    rows = rows.select("g", "s", "node", "fp", "hashes").repartition("g").sortWithinPartitions("g", "s", "node")
+    rows = rows.select("g", "s", "node", "root", "fp", "hashes").repartition("g").sortWithinPartitions("g", "s", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -182,7 +238,7 @@ def links(met: DataFrame, sets: DataFrame, radius: int, least: float) -> DataFra
 
         def found(pdf: pd.DataFrame) -> pd.DataFrame:
             sets = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
-            pairs = confirmed(pdf["g"].to_numpy(), pdf["s"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), sets, radius, least)
+            pairs = confirmed(pdf["g"].to_numpy(), pdf["s"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), sets, radius, least, pdf["root"].to_numpy())
             node = pdf["node"].to_numpy()
             return pd.DataFrame({"a": node[[x for x, _ in pairs]], "b": node[[y for _, y in pairs]]}, dtype="int64")
 
@@ -218,11 +274,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     wanted = stage(reps.join(met.select("node").distinct(), "node", "left_semi").select("node", "fp", "_b_k1", "_b_k2"), "wanted")
     texts = keyed.select("_b_k1", "_b_k2", F.col(text).cast("string").alias("_b_text")).join(wanted, ["_b_k1", "_b_k2"])
     sets = stage(sets_of(texts.select("node", "fp", "_b_text"), shingle).dropDuplicates(["node"]), "sets")
-    found = stage(links(met.filter(F.col("t") < early), sets, radius, least), "links")
+    found = stage(links(met.filter(F.col("t") < early).withColumn("root", F.col("node")), sets, radius, least), "links")
     roots = stage(components(found), "roots")
     late = stage(met.filter(F.col("t") >= early).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "late")
     unsettled = late.groupBy("g").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("g")
-    roots = components(found.union(links(late.join(unsettled, "g", "left_semi").select("node", "g", "s"), sets, radius, least)))
+    roots = components(found.union(links(late.join(unsettled, "g", "left_semi").select("node", "g", "s", "root"), sets, radius, least)))
     keep = least_row.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("k").alias("k")).select("k._b_k1", "k._b_k2")
     copy = F.row_number().over(Window.partitionBy("_b_k1", "_b_k2").orderBy(F.lit(1)))
     return keyed.join(keep, ["_b_k1", "_b_k2"]).withColumn("_b_copy", copy).filter("_b_copy = 1").select(*docs.columns)

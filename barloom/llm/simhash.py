@@ -76,7 +76,8 @@ def band_masks(bands: int, radius: int) -> list[int]:
 def planes_of(lanes: np.ndarray) -> np.ndarray:
     """(blocks, 64) fingerprints to 64 bit planes of one word per block: bit l of plane b is bit b of lane l."""
     bits = np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), 64, 8), axis=2, bitorder="little")
-    return np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view(np.uint64).reshape(64, len(lanes))
+    planes = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
+    return np.ascontiguousarray(planes).view(np.uint64).reshape(64, len(lanes))  # of a single block, packbits returns them in another order
 
 
 def close_lanes(query: np.ndarray, block: np.ndarray, q: np.ndarray, planes: np.ndarray, lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -215,6 +215,54 @@ def test_near_copies_of_the_pipeline(spark, docs, rows, empty, chunk):
     assert near_copies.one_of_each(empty).count() == 0
 
 
+def test_near_copies_that_are_the_only_group_of_a_task(spark):
+    """What a task holds may be one group of a single block."""
+    w = [f"w{i}" for i in range(200)]
+    table = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(["x"] + w[1:])), (3, "other words")], "doc_id long, text string")
+    same([r["doc_id"] for r in near_copies.one_of_each(table).collect()], [1, 3])
+    fp = np.array([5, 7, 2**60 - 1], np.uint64)
+    assert [x.tolist() for x in simhash.forest(np.zeros(3, int), np.zeros(3, int), fp, 4)] == [[7], [5]]
+
+
+@pytest.mark.parametrize("size", [3, 40, 150])
+@pytest.mark.parametrize("held", [near_copies.HELD, 0])
+def test_confirmed_pairs_connect_what_brute_force_connects(monkeypatch, size, held):
+    """Groups compared with themselves or side with side, with and without known roots, with and without numbered hashes."""
+    monkeypatch.setattr(near_copies, "HELD", held)
+    rng = np.random.default_rng(size)
+
+    def parts(n, pairs):
+        p = list(range(n))
+
+        def root(x):
+            while p[x] != x:
+                x = p[x]
+            return x
+
+        for a, b in pairs:
+            x, y = root(a), root(b)
+            p[max(x, y)] = min(x, y)
+        return [root(i) for i in range(n)]
+
+    for trial in range(8):
+        sizes = rng.integers(1, size, rng.integers(1, 6))
+        n = int(sizes.sum())
+        group = np.repeat(np.arange(len(sizes)) - 2, sizes)
+        side = np.concatenate([np.zeros(k, int) if rng.random() < 0.5 else np.sort(rng.integers(1, 3, k)) for k in sizes])
+        base = rng.integers(0, 1 << 63, 60, np.uint64)
+        some = lambda: np.unique(np.r_[base[rng.random(60) < rng.choice([0.85, 0.95, 1])], rng.integers(0, 1 << 63, rng.integers(0, 8), np.uint64)])  # noqa: B023, E731
+        sets = [some() if rng.random() < 0.95 else np.zeros(0, np.uint64) for _ in range(n)]
+        fp = np.array([near_copies.simhash_of(x) for x in sets], np.uint64)
+        root = np.arange(n) if trial % 2 else rng.integers(0, max(2, n // 2), n)
+        met = [(i, j) for i in range(n) for j in range(i + 1, n) if group[i] == group[j]]
+        known = [(i, j) for i, j in met if root[i] == root[j]]
+        close = lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) <= 24 and near_copies.jaccard(sets[i], sets[j]) >= 0.8  # noqa: B023, E731
+        want = known + [(i, j) for i, j in met if (side[i] == 0 or side[i] != side[j]) and close(i, j)]
+        got = near_copies.confirmed(group, side, fp, sets, 24, 0.8, root)
+        assert all(close(i, j) for i, j in got)
+        assert parts(n, known + got) == parts(n, want)
+
+
 # decontamination
 
 
